@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .exact_dedup import exact_groups
 from .mixing import in_training_order, mix
 from .shared import table
 from .sharding import sharded
+from .warc import archived
+
+#: The vocabulary of the BPE query; a path that all executors can read.
+BPE_VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +59,21 @@ from y
 """
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(table(spark, sf_dir, "documents"))
+
+
+def encoded_and_decoded(docs: DataFrame) -> DataFrame:
+    both = decode(encode(docs, BPE_VOCABULARY, keep=["doc_id"]), BPE_VOCABULARY)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -71,5 +92,15 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op7_exact_dedup": op7_exact_dedup, "op10_shards": op10_shards}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+#: The digest in base 32, five bits a character, from the bits of the hexadecimal digits.
+OP3_SQL = r"""
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+g as (select h, max(page_id) as top from p group by h),
+b as (select distinct h, array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (list_sum(list_transform(range(0, 5), lambda j: ((strpos('0123456789abcdef', substr(h, 1 + ((i + j) // 4)::int, 1)) - 1) >> (3 - (i + j) % 4)::int & 1) << (4 - j)::int)))::int, 1)), '') as payload_digest from p)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from p join g using (h) join b using (h)
+"""
+
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op7_exact_dedup": op7_exact_dedup, "op10_shards": op10_shards}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL}
