@@ -105,7 +105,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 packed = packer.compress(raw) + packer.flush()
                 if out is None:
-                    out = store.open_output_stream(file, buffer_size=1 << 20)
+                    out = store.open_output_stream(file, compression=None, buffer_size=1 << 20)
                 out.write(packed)
                 index.append((page_id, url, digest, "response" if refers_to is None else "revisit", file.rsplit("/", 1)[1], at, len(packed)))
                 at += len(packed)
