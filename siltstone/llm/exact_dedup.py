@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, checked_small, new_folder, stage
 
-#: Fixed value: the class of Spark's disk-backed state store.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The disk-backed state store. Each state partition takes only the disk that it fills, and ships changes
+#: instead of whole snapshots, so that many small partitions stay small.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -30,8 +35,9 @@ def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> Da
     path = None if entries.isEmpty() else entries.inputFiles()[0].rsplit("/", 1)[0]
     out, at = new_folder(spark, "dedup-state"), new_folder(spark, "dedup-checkpoint")
     if path is not None:
-        old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        old = {k: spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         try:
             reader = spark.readStream.schema(entries.schema)
             if files_per_trigger:
@@ -40,7 +46,8 @@ def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> Da
             emit = lambda changed, trigger: changed.write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
             state.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
         finally:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         emitted = spark.read.parquet(out).select("digest", "top", "n")
     else:
         emitted = entries.select("digest", F.struct("id", "locator").alias("top"), F.lit(1).cast("long").alias("n")).limit(0)
