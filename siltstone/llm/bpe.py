@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 #: Fixed value: the pattern that splits text before merging in byte-level BPE; \s is Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Characters of text that one pair index covers.
-SLICE_CHARS = 8 << 20
+#: Bytes of text that one pair index covers.
+SLICE_CHARS = 4 << 20
 
 #: A rank with up to so many positions is merged one by one, beyond it as a vector.
 FEW = 12
@@ -236,7 +237,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive rows of up to `most` characters together; a longer row stands alone."""
+    """Bounds of consecutive rows of up to `most` bytes together; a longer row stands alone."""
     begin = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > most:
@@ -258,9 +259,9 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocabulary_path)
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in slices([len(t) for t in texts], SLICE_CHARS):
-                ids, counts = v.encode(texts[a:b])
+            texts = batch.column(len(kept))
+            for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE_CHARS):
+                ids, counts = v.encode(texts.slice(a, b - a).to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*kept, ids_col])
 
