@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .exact_dedup import exact_groups
 from .mixing import in_training_order, mix
+from .quality import quality
 from .shared import table
 from .sharding import sharded
+from .toxicity import toxicity
 from .warc import archived
 
 #: The vocabulary of the BPE query; a path that all executors can read.
@@ -74,6 +76,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _scored(scores: DataFrame) -> DataFrame:
+    return scores.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -102,5 +116,5 @@ select page_id, payload_bytes, payload_digest, case when page_id = top then 'res
 from p join g using (h) join b using (h)
 """
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op7_exact_dedup": op7_exact_dedup, "op10_shards": op10_shards}
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op10_shards": op10_shards}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL}
