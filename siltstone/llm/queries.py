@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .exact_dedup import exact_groups
+from .html_extraction import extract
 from .mixing import in_training_order, mix
 from .quality import quality
 from .shared import table
 from .sharding import sharded
+from .topk_search import top_k
 from .toxicity import toxicity
 from .warc import archived
 
@@ -76,6 +78,24 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+OP8_SQL = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
 def _scored(scores: DataFrame) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -116,5 +136,5 @@ select page_id, payload_bytes, payload_digest, case when page_id = top then 'res
 from p join g using (h) join b using (h)
 """
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op10_shards": op10_shards}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op10_shards": op10_shards}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL}
