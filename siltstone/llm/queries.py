@@ -12,6 +12,7 @@ from .bpe import decode, encode
 from .exact_dedup import exact_groups
 from .html_extraction import extract
 from .mixing import in_training_order, mix
+from .near_dedup import near_groups
 from .quality import quality
 from .shared import table
 from .sharding import sharded
@@ -120,6 +121,11 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d
 """
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
@@ -136,5 +142,5 @@ select page_id, payload_bytes, payload_digest, case when page_id = top then 'res
 from p join g using (h) join b using (h)
 """
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op10_shards": op10_shards}
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL}
