@@ -159,7 +159,6 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "near-labels")
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        heard = stage(heard, "near-heard")
         nearer = stage(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")), "near-nearer")
         jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = stage(nearer.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "near-labels")
@@ -170,6 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (node, comp) after the links join components."""
+    if links.isEmpty():
+        return comp
     for side in ("a", "b"):
         links = links.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}")), side)
     edges = stage(links.where("c_a != c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "near-joins")
@@ -238,11 +239,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comp = merged(comp, confirmed(pairs.distinct(), some, sets))
     open_ = mixed(members.select("key", "band", "node"), comp)
     for turn in range(1, HUB_ROUNDS):
+        if open_.isEmpty():
+            break
         hubs = stage(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("x")).select("key", "x.hub", "x.hub_comp"), "near-hubs")
         pairs = open_.join(hubs, "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         comp = merged(comp, confirmed(pairs.distinct(), some, sets))
         open_ = mixed(open_.select("key", "band", "node"), comp)
-    comp = merged(comp, confirmed(squares(open_, some).distinct(), some, sets))
+    if not open_.isEmpty():
+        comp = merged(comp, confirmed(squares(open_, some).distinct(), some, sets))
 
     by_node = classes.select("node", "least").join(comp, "node", "left")
     joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "near-least")
