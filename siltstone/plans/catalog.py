@@ -1,5 +1,297 @@
-"""The registered queries of the relational and streaming operators."""
+"""The registered queries of the relational and streaming operators, with the SQL that DuckDB answers alike.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Where one text is good SQL in both engines it serves both. Sums of money are decimal, widths are cast, and
+orders have tie-breakers, so that results don't depend on the engine or on partitioning.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.columns import dot, json_long, masked_emails, money, revenue
+from ..operators.grouping import running_total, sessions, top_per_key
+from ..operators.joins import asof_join, interval_join, skewed_join
+from ..sources.tables import TABLES, register, round_trip, table
+from ..streaming import events as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "revenue_by_nation"
+
+#: SQL that both engines run as it is.
+SHARED_SQL: dict[str, str] = {
+    "outer_joins": """
+        select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'P'
+        union all select c_custkey, o_orderkey from customer right join orders on c_custkey = o_custkey and c_mktsegment = 'BUILDING'""",
+    "full_outer_join": """
+        select coalesce(c.n, s.n) as nation, c.customers, s.suppliers
+        from (select c_nationkey as n, count(*) as customers from customer where c_acctbal > 8000 group by c_nationkey) c
+        full outer join (select s_nationkey as n, count(*) as suppliers from supplier where s_acctbal > 5000 group by s_nationkey) s on c.n = s.n""",
+    "semi_and_anti_join": """
+        select 'with' as kind, count(*) as n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)
+        union all select 'without', count(*) from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""",
+    "theta_join": """
+        select a.s_nationkey, count(*) as pairs from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal group by a.s_nationkey""",
+    "correlated_subqueries": """
+        select p_partkey, p_brand from part where p_retailprice > (select avg(p2.p_retailprice) from part p2 where p2.p_brand = part.p_brand)
+          and p_partkey not in (select l_partkey from lineitem where l_quantity >= 50)""",
+    "filtered_and_distinct_aggregates": """
+        select l_returnflag, l_linestatus, count(distinct l_suppkey) as suppliers, count(*) filter (where l_discount > 0.05) as discounted,
+          cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity, cast(max(l_tax) as double) as most_tax
+        from lineitem group by l_returnflag, l_linestatus having count(*) > 10""",
+    "ranks": """
+        select o_orderkey, cast(rank() over (partition by o_orderpriority order by o_totalprice desc) as bigint) as rk,
+          cast(dense_rank() over (partition by o_orderpriority order by o_orderstatus) as bigint) as dr,
+          cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as rn,
+          lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as earlier,
+          cast(ntile(4) over (partition by o_orderstatus order by o_orderdate, o_orderkey) as bigint) as quarter
+        from orders""",
+    "window_frames": """
+        select event_id, cast(sum(cast(value as decimal(18,4))) over w as double) as moving, first_value(event_id) over w as first_id, last_value(event_id) over w as last_id,
+          cast(count(*) over (partition by user_id order by ts range between interval '1' day preceding and current row) as bigint) as in_a_day
+        from events window w as (partition by user_id order by ts, event_id rows between 2 preceding and 1 following)""",
+    "limit_and_offset": """
+        select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 5""",
+    "set_operations": """
+        (select c_nationkey as k from customer intersect select s_nationkey from supplier)
+        union all (select n_nationkey from nation except select s_nationkey from supplier where s_acctbal > 0)
+        union all (select o_custkey from orders where o_orderstatus = 'F' intersect all select o_custkey from orders where o_orderstatus = 'O')
+        union all (select o_custkey from orders where o_orderstatus = 'O' except all select o_custkey from orders where o_orderstatus = 'P')
+        union (select n_regionkey from nation)""",
+    "recursive_hierarchy": """
+        with recursive steps(user_id, event_id, depth) as (
+          select user_id, min(event_id), 0 from events group by user_id
+          union all
+          select s.user_id, n.nxt, s.depth + 1 from steps s
+          join (select event_id, lead(event_id) over (partition by user_id order by event_id) as nxt from events) n on n.event_id = s.event_id
+          where s.depth < 5 and n.nxt is not null)
+        select user_id, max(event_id) as sixth, cast(max(depth) as bigint) as depth from steps group by user_id""",
+    "case_and_nulls": """
+        select n_regionkey, sum(case when c_acctbal < 0 then 1 else 0 end) as in_debt, count(nullif(c_mktsegment, 'BUILDING')) as others, coalesce(min(nullif(c_nationkey, n_regionkey)), -1) as least
+        from customer join nation on c_nationkey = n_nationkey group by n_regionkey""",
+    "market_share": """
+        select cast(extract(year from o_orderdate) as bigint) as y, n_name,
+          cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2)))) as double) as volume
+        from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+        where l_shipdate >= timestamp '1996-01-01 00:00:00' and l_shipdate < timestamp '1998-01-01 00:00:00' group by 1, 2""",
+    "pricing_summary": """
+        select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(18,2))) as double) as sum_qty, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as sum_base,
+          cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2))) * (1 + cast(l_tax as decimal(3,2)))) as double) as sum_charge, count(*) as n
+        from lineitem where l_shipdate <= timestamp '2001-09-02 00:00:00' group by l_returnflag, l_linestatus""",
+    "forecast_revenue": """
+        select cast(sum(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(3,2))) as double) as revenue, count(*) as n from lineitem
+        where l_shipdate >= timestamp '1997-01-01 00:00:00' and l_shipdate < timestamp '1998-01-01 00:00:00' and l_discount between 0.03 and 0.07 and l_quantity < 24""",
+    "unshipped_priority": """
+        select o_orderkey, o_orderpriority, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2)))) as double) as revenue
+        from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey
+        where c_mktsegment = 'BUILDING' and o_orderdate < timestamp '1998-03-15 00:00:00' and l_shipdate > timestamp '1998-03-15 00:00:00' group by o_orderkey, o_orderpriority""",
+}
+
+
+def _sql(text: str) -> Query:
+    names = [t for t in TABLES if t in text]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, names)
+        return spark.sql(text)
+
+    return run
+
+
+def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
+    by_order = line.groupBy("l_orderkey").agg(F.sum(revenue()).alias("r"), F.count(F.lit(1)).alias("n"))
+    named = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, F.col("n_regionkey") == region.r_regionkey)
+    rows = by_order.join(orders, by_order.l_orderkey == orders.o_orderkey).join(named, F.col("o_custkey") == named.c_custkey)
+    return rows.groupBy("r_name", "n_name").agg(F.sum("r").cast("double").alias("revenue"), F.sum("n").alias("lines"))
+
+
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    level = (F.grouping("l_returnflag") * 2 + F.grouping("l_linestatus")).cast("long").alias("level")
+    measures = [F.count(F.lit(1)).alias("n"), F.sum(money("l_extendedprice")).cast("double").alias("price")]
+    return line.cube("l_returnflag", "l_linestatus").agg(level, *measures).unionByName(line.rollup("l_returnflag", "l_linestatus").agg((level + 10).alias("level"), *measures))
+
+
+def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    return line.groupBy("l_returnflag").agg(F.median("l_quantity").alias("median"), F.percentile("l_quantity", F.lit(0.9)).alias("p90"), F.round(F.stddev("l_quantity"), 6).alias("spread"))
+
+
+def distinct_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketch is within five standard errors of the exact count."""
+    line = table(spark, sf_dir, "lineitem")
+    both = line.agg(F.approx_count_distinct("l_orderkey", 0.02).alias("about"), F.count_distinct("l_orderkey").alias("exact"))
+    return both.select("exact", (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within"))
+
+
+def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return top_per_key(orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice", F.col("rank").cast("long").alias("rank"))
+
+
+def lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["customer", "orders"])
+    return spark.sql("select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000")
+
+
+def asof_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    buys = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
+    return asof_join(buys, views, "user_id", "ts", "view_ts", ["view_id"]).select("event_id", "user_id", "view_id")
+
+
+def clicks_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    buys = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("buy_id"), F.col("ts").alias("buy_ts"))
+    return interval_join(clicks, buys, "user_id", "click_ts", "buy_ts", 6 * 3600).select("user_id", "click_id", "buy_id")
+
+
+def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    return skewed_join(line.withColumnRenamed("l_suppkey", "s_suppkey"), supplier.select("s_suppkey", "s_nationkey"), "s_suppkey").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("price", money("o_totalprice"))
+    total = running_total(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], "price", F.date_trunc("month", "o_orderdate"))
+    return total.select("o_orderkey", F.col("running").cast("double").alias("running"))
+
+
+def pivot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["click", "purchase", "view"]
+    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).select("user_id", *(F.coalesce(k, F.lit(0)).alias(k) for k in kinds))
+
+
+def unpivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"))
+    return wide.unpivot("o_orderpriority", ["f", "o"], "status", "n")
+
+
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", json_long("props", "$.k").alias("k"))
+
+
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return v.select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm2"), F.size("embedding").cast("long").alias("width"))
+
+
+def exploded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
+    return v.groupBy("label", F.col("place").cast("long").alias("place")).agg(F.count_if(F.col("x") > 0).alias("positive"))
+
+
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("w.start").alias("hour"), "event_type", "n")
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "first_at", "last_at", "n")
+
+
+def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.latest(streams.finished(streams.tumbling(streams.stream(spark, sf_dir)), "update"), ["w", "event_type"])
+    return out.select(F.unix_seconds("w.start").alias("hour"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+def streamed_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.finished(streams.first_of_each(streams.stream(spark, sf_dir), ["event_id"])).select("event_id", "user_id")
+
+
+def text_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("masked", masked_emails(F.col("text")))
+    return docs.where("masked != text").select("doc_id", F.md5("masked").alias("masked"))
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).alias("host"))
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return turns.select("conv_id", F.md5(F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")).alias("digest"), F.size("t").cast("long").alias("turns"))
+
+
+def labelled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quality").cast("long")).alias("good"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
+
+
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey", F.upper("p_name").alias("upper"), F.greatest("p_size", F.lit(10)).alias("most"), F.sha2("p_brand", 256).alias("sha"), F.split("p_name", " ")[0].alias("first_word"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"),
+        F.substring("p_type", 2, 3).alias("middle"), (F.col("p_size") % 7).alias("rest"), F.reverse("p_brand").alias("back"), F.expr("try_cast(p_brand as int)").alias("none"),
+    )
+
+
+def previous_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select("event_id", (micros - F.lag(micros).over(W.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap_us"))
+
+
+def _through(kind: str) -> Query:
+    return lambda spark, sf_dir: round_trip(table(spark, sf_dir, "events"), kind, ["event_type"] if kind == "parquet" else [])
+
+
+BUILT: dict[str, tuple[Query, str | None]] = {
+    "revenue_by_nation": (revenue_by_nation, """
+        select r_name, n_name, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2)))) as double) as revenue, count(*) as lines
+        from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2"""),
+    "grouping_sets": (grouping_sets, """
+        select l_returnflag, l_linestatus, cast(grouping(l_returnflag) * 2 + grouping(l_linestatus) as bigint) as level, count(*) as n, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as price
+        from lineitem group by cube (l_returnflag, l_linestatus)
+        union all select l_returnflag, l_linestatus, cast(grouping(l_returnflag) * 2 + grouping(l_linestatus) + 10 as bigint), count(*), cast(sum(cast(l_extendedprice as decimal(18,2))) as double)
+        from lineitem group by rollup (l_returnflag, l_linestatus)"""),
+    "quantiles": (quantiles, "select l_returnflag, median(l_quantity) as median, quantile_cont(l_quantity, 0.9) as p90, round(stddev(l_quantity), 6) as spread from lineitem group by 1"),
+    "distinct_estimate": (distinct_estimate, "select count(distinct l_orderkey) as exact, true as within from lineitem"),
+    "top_orders_per_customer": (top_orders_per_customer, "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3"),
+    "lateral_top": (lateral_top, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000"),
+    "asof_purchase": (asof_purchase, """
+        select b.event_id, b.user_id, v.event_id as view_id from (select * from events where event_type = 'purchase') b
+        asof left join (select * from events where event_type = 'view') v on b.user_id = v.user_id and b.ts >= v.ts"""),
+    "clicks_before_purchase": (clicks_before_purchase, """
+        select c.user_id, c.event_id as click_id, b.event_id as buy_id from events c join events b on c.user_id = b.user_id and c.event_type = 'click' and b.event_type = 'purchase'
+        and b.ts >= c.ts and b.ts <= c.ts + interval 6 hour"""),
+    "salted_join": (salted_join, "select s_nationkey, count(*) as n from lineitem join supplier on l_suppkey = s_suppkey group by 1"),
+    "running_spend": (running_spend, "select o_orderkey, cast(sum(cast(o_totalprice as decimal(18,2))) over (partition by o_orderstatus order by o_orderdate, o_orderkey rows unbounded preceding) as double) as running from orders"),
+    "pivot_events": (pivot_events, "select user_id, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'purchase') as purchase, count(*) filter (where event_type = 'view') as view from events group by 1"),
+    "unpivot_counts": (unpivot_counts, "select o_orderpriority, lower(o_orderstatus) as status, count(*) as n from orders where o_orderstatus in ('F', 'O') group by 1, 2"),
+    "json_fields": (json_fields, "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"),
+    "vector_norms": (vector_norms, "select vec_id, round(list_dot_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double)), 5) as norm2, cast(len(embedding) as bigint) as width from embeddings"),
+    "exploded_vectors": (exploded_vectors, "select label, cast(place - 1 as bigint) as place, count(*) filter (where embedding[place] > 0) as positive from embeddings, range(1, 65) r(place) group by 1, 2"),
+    "hourly_events": (hourly_events, "select cast(epoch(date_trunc('hour', ts)) as bigint) as hour, event_type, count(*) as n from events group by 1, 2"),
+    "user_sessions": (user_sessions, """
+        with g as (select *, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
+        s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+        select user_id, min(ts) as first_at, max(ts) as last_at, count(*) as n from s group by user_id, session"""),
+    "streamed_hours": (streamed_hours, "select cast(epoch(date_trunc('hour', ts)) as bigint) as hour, event_type, count(*) as n, cast(sum(cast(value as decimal(18,4))) as double) as total from events group by 1, 2"),
+    "streamed_first_events": (streamed_first_events, "select event_id, user_id from events"),
+    "text_copies": (text_copies, "select md5(text) as digest, count(*) as n, min(doc_id) as first_id from documents group by 1"),
+    "masked_text": (masked_text, r"select doc_id, md5(masked) as masked from (select doc_id, text, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g') as masked from documents) where masked <> text"),
+    "page_titles": (page_titles, "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) as host from pages"),
+    "dialogues": (dialogues, "select conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn, role, text)) as digest, count(*) as turns from conversations group by 1"),
+    "labelled_rates": (labelled_rates, "select lang, count(*) as n, cast(sum(quality) as bigint) as good, cast(sum(toxic) as bigint) as toxic from documents join labels using (doc_id) group by 1"),
+    "scalar_functions": (scalar_functions, """
+        select p_partkey, upper(p_name) as upper, greatest(p_size, 10) as most, sha256(p_brand) as sha, split_part(p_name, ' ', 1) as first_word, lpad(cast(p_size as varchar), 4, '0') as padded,
+          substring(p_type, 2, 3) as middle, p_size % 7 as rest, reverse(p_brand) as back, try_cast(p_brand as int) as none from part"""),
+    "previous_gap": (previous_gap, "select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_us from events"),
+    **{f"{kind}_round_trip": (_through(kind), "select * from events") for kind in ("parquet", "orc", "json", "csv")},
+}
+
+QUERIES: dict[str, Query] = {name: _sql(text) for name, text in SHARED_SQL.items()} | {name: q for name, (q, _) in BUILT.items()}
+ORACLES: dict[str, str] = SHARED_SQL | {name: text for name, (_, text) in BUILT.items() if text}

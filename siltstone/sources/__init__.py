@@ -1 +1 @@
-""""""
+"""Reading tables and writing them in other formats."""
