@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import hashlib
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from siltstone.llm.bpe import decode, encode, vocabulary
+from siltstone.llm.queries import QUERIES
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+REFERENCE = Tokenizer.from_file(PATH)
+ODD = ["", " ", "  ", " \n", "a", "don't we'll 'S", "x" * 3000, "a  b\t\n c ", "<|endoftext|>", "a<|endoftext|> b <|endoftext|", "漢字 ñandú é", "\0a \0\0<|endoftext|>", "１２½ \x85 ​ x", "aaaaaaaaaaaa", "😀 👍🏽!!"]
+
+
+def ids(texts):
+    flat, counts = vocabulary(PATH).encode(texts)
+    out, at = [], 0
+    for n in counts.tolist():
+        out.append(flat[at : at + n].tolist())
+        at += n
+    return out
+
+
+def test_odd_texts():
+    assert ids(ODD) == [e.ids for e in REFERENCE.encode_batch(ODD, add_special_tokens=False)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=60), min_size=1, max_size=5), st.lists(st.text(alphabet=" \n\tabs'tre1,.!é", max_size=60), max_size=5))
+def test_any_text(texts, more):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts + more]
+    assert ids(texts) == [e.ids for e in REFERENCE.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_query_over_whole_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = QUERIES["op2_bpe"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = REFERENCE.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(REFERENCE.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, 7), (1, "a b", 8), (1, "a b", 8), (None, "", None)]])
+def test_nulls_repeats_and_clashes(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    out = decode(encode(docs, PATH), PATH)
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert sorted((r.doc_id or 0, r.decoded) for r in out.collect()) == sorted((a or 0, b or "") for a, b, _ in rows)
+
+
+def test_bytes_that_are_not_utf8(spark):
+    broken = spark.createDataFrame([([vocabulary(PATH).byte_ids[0xE9].item(), 64],), (None,)], "ids array<int>")
+    assert {r.decoded for r in decode(broken, PATH).collect()} == {"�a", ""}
