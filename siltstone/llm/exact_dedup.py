@@ -25,6 +25,10 @@ STATE = {
 }
 
 
+#: A column added for a while.
+DIGEST = "_dedup_digest"
+
+
 def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
@@ -86,10 +90,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs. Of repeated rows all but one go."""
     groups = exact_groups(docs, id_col, text_col)
-    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id").distinct(), "dedup-gone")
-    held = docs.join(checked_small(gone), docs[id_col].eqNullSafe(gone["id"]), "left_anti")
-    twice = stage(groups.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").count().where("count > 1").select("id"), "dedup-twice")
-    if twice.isEmpty():
-        return held
-    again = held.join(twice, held[id_col].eqNullSafe(twice["id"]), "left_semi").dropDuplicates([id_col])
-    return held.join(twice, held[id_col].eqNullSafe(twice["id"]), "left_anti").unionByName(again)
+    named = docs.withColumn(DIGEST, F.sha2(normalised(docs[text_col]), 256))
+    same = lambda other: named[id_col].eqNullSafe(other["id"]) & (named[DIGEST] == other["digest"])
+    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone")
+    held = named.join(checked_small(gone), same(gone), "left_anti")
+    twice = stage(groups.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice")
+    if not twice.isEmpty():
+        again = held.join(twice, same(twice), "left_semi").dropDuplicates([id_col, DIGEST])
+        held = held.join(twice, same(twice), "left_anti").unionByName(again)
+    return held.drop(DIGEST)
