@@ -38,7 +38,7 @@ SHINGLE = 5
 LEAST, AGREE = 85, int(0.70 * SLOTS)
 
 #: Rounds with one hub a bucket; members of a block of a compared bucket; bytes of text at once.
-HUB_ROUNDS, SQUARE, BLOCK = 3, 100, 2 << 20
+HUB_ROUNDS, SQUARE, BLOCK = 2, 200, 2 << 20
 
 U = np.uint64
 
@@ -187,34 +187,101 @@ def mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     return stage(now.join(keys, "key"), "near-mixed")
 
 
-def squares(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket that agree on enough coordinates, each from the first
-    band that it shares. A bucket is dealt into blocks of about SQUARE members, and every two of its blocks
-    meet in one task."""
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now])) + 1).tolist()
+        if held and any(held[-1][k][-1].as_py() != c[0] for k, c in zip(keys, now, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for x, y in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            held.append(batch.slice(x, y - x))
+            if y < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a square: the rows of its two blocks, sizes of the sets, components as numbers, and which rows may pair."""
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    own, size = t["own"].to_numpy(), t["n"].to_numpy()
+    comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    a, b = size[left][:, None], size[right][None, :]
+    may = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * LEAST)
+    return left, right, size, comp, may & (left[:, None] < right[None, :]) if i == j else may
+
+
+def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each square that agree on enough coordinates with a row of another component in the
+    other block, in a bucket of the first band that the two share."""
+    for t in runs(batches, ("key", "i", "j")):
+        left, right, _, _, may = _sides(t)
+        if may.any():
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
+            band, keep = t["band"][0].as_py(), np.zeros(t.num_rows, dtype=bool)
+            for x in np.flatnonzero(may.any(axis=1)):
+                others = right[may[x]]
+                same = sketch[others] == sketch[left[x]]
+                good = others[(same.sum(axis=1) >= AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+                keep[good] = True
+                keep[left[x]] |= len(good) > 0
+            yield from t.drop_columns(["sketch", "band"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, as products of 0/1 matrices of `width` columns."""
+    sizes = np.fromiter(map(len, left + right), dtype=np.int64, count=len(left) + len(right))
+    values, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)))
+    for a in range(0, len(values), width):
+        x, y = np.searchsorted(column, [a, a + width])
+        m = np.zeros((len(sizes), min(width, len(values) - a)), dtype=np.float32)
+        m[row[x:y], column[x:y] - a] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between components in each square, by the full sets; of links that join the same
+    components, one each."""
+    for t in runs(batches, ("key", "i", "j")):
+        left, right, size, comp, may = _sides(t)
+        if not may.any():
+            continue
+        sets = [x.values.to_numpy() for x in t["set"]]
+        both = common([sets[x] for x in left], [sets[x] for x in right])
+        x, y = np.nonzero(may & (both * 100 >= (size[left][:, None] + size[right][None, :] - both) * LEAST))
+        x, y = left[x], right[y]
+        pair = np.minimum(comp[x], comp[y]).astype(np.int64) * t.num_rows + np.maximum(comp[x], comp[y])
+        one = np.unique(pair, return_index=True)[1]
+        node = t["node"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(x[one])), node.take(pa.array(y[one]))], names=["a", "b"])
+
+
+def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between different components within a bucket. A bucket is dealt into blocks of about
+    SQUARE members, and every two of its blocks meet in one task: first with their sketches, which leaves
+    the members that may have a partner there; then these with their full sets."""
     n = F.ceil(F.col("m") / SQUARE).cast("int")
     rows = open_.join(classes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch")
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        band, i, j = (k.as_py() for k in key[1:])
-        node, comp = (np.array(t[c].to_pylist(), dtype=object) for c in ("node", "comp"))
-        size, own = t["n"].to_numpy(), t["own"].to_numpy()
-        sketch = np.array([np.frombuffer(s, dtype=np.uint16) for s in t["sketch"].to_pylist()])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a_out, b_out = [], []
-        for a in left:
-            with_ = right[node[right] > node[a]] if i == j else right
-            with_ = with_[(comp[with_] != comp[a]) & (np.minimum(size[with_], size[a]) * 100 >= np.maximum(size[with_], size[a]) * LEAST)]
-            if not len(with_):
-                continue
-            same = sketch[with_] == sketch[a]
-            good = (same.sum(axis=1) >= AGREE) & (same.reshape(len(with_), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
-            b_out += node[with_[good]].tolist()
-            a_out += [node[a]] * int(good.sum())
-        return pa.table({"a": pa.array(a_out, type=pa.binary()), "b": pa.array(b_out, type=pa.binary())})
-
-    return rows.groupBy("key", "band", "i", "j").applyInArrow(compare, "a binary, b binary")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch", "band")
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    square = ["key", "i", "j"]
+    kept = "key long, i int, j int, own int, node binary, comp binary, n long"
+    some = stage(rows.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(hopeful, kept), "near-hopeful")
+    full = some.join(sets, "node").select(*some.columns, "set")
+    return stage(full.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(linked, "a binary, b binary"), "near-links")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +313,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         comp = merged(comp, confirmed(pairs.distinct(), some, sets))
         open_ = mixed(open_.select("key", "band", "node"), comp)
     if not open_.isEmpty():
-        comp = merged(comp, confirmed(squares(open_, some).distinct(), some, sets))
+        comp = merged(comp, squares(open_, some, sets))
 
     by_node = classes.select("node", "least").join(comp, "node", "left")
     joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "near-least")
