@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import dot, json_long, masked_emails, money, revenue
 from ..operators.grouping import running_total, sessions, top_per_key
@@ -244,6 +246,23 @@ def previous_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", (micros - F.lag(micros).over(W.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap_us"))
 
 
+def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["lineitem"])
+    spark.sql("create or replace temporary function net_price(price double, discount double) returns decimal(22,4) return cast(price as decimal(18,2)) * (1 - cast(discount as decimal(3,2)))")
+    return spark.sql("select l_linestatus, cast(sum(net_price(l_extendedprice, l_discount)) as double) as net from lineitem group by l_linestatus")
+
+
+@F.pandas_udf(T.LongType())
+def _checksum(text: pd.Series) -> pd.Series:
+    """Sum of the code points of the digits in a text, a batch at a time."""
+    digits = text.fillna("").str.replace(r"[^0-9]", "", regex=True)
+    return digits.map(lambda s: sum(map(ord, s))).astype("int64")
+
+
+def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", _checksum("c_name").alias("checksum"))
+
+
 def _through(kind: str) -> Query:
     return lambda spark, sf_dir: round_trip(table(spark, sf_dir, "events"), kind, ["event_type"] if kind == "parquet" else [])
 
@@ -290,6 +309,8 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         select p_partkey, upper(p_name) as upper, greatest(p_size, 10) as most, sha256(p_brand) as sha, split_part(p_name, ' ', 1) as first_word, lpad(cast(p_size as varchar), 4, '0') as padded,
           substring(p_type, 2, 3) as middle, p_size % 7 as rest, reverse(p_brand) as back, try_cast(p_brand as int) as none from part"""),
     "previous_gap": (previous_gap, "select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_us from events"),
+    "sql_function": (sql_function, "select l_linestatus, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2)))) as double) as net from lineitem group by 1"),
+    "vectorised_function": (vectorised_function, "select c_custkey, cast(list_sum(list_transform(string_split(regexp_replace(c_name, '[^0-9]', '', 'g'), ''), lambda c: ord(c))) as bigint) as checksum from customer"),
     **{f"{kind}_round_trip": (_through(kind), "select * from events") for kind in ("parquet", "orc", "json", "csv")},
 }
 
