@@ -19,6 +19,7 @@ a compared pair needs (0.70) is more than four standard deviations below 0.85.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ LEAST, AGREE = 85, int(0.70 * SLOTS)
 #: Rounds with one hub a bucket; members of a block of a compared bucket; bytes of text at once.
 HUB_ROUNDS, SQUARE, BLOCK = 2, 200, 2 << 20
 
+#: Rows that a broadcast may hold: of nodes with labels (some 8 MB), and of nodes with sketches (some 8 MB).
+NODE_ROWS, SKETCH_ROWS = 150_000, 25_000
+
 U = np.uint64
 
 
@@ -62,7 +66,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     five at a time; all of them if there are fewer; none if there is no word."""
     words = [t.encode().lower().split() for t in texts]  # on bytes, lower() and split() know ASCII only
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    h = np.fromiter((d for ws in words for d in map(xxhash.xxh3_64_intdigest, ws)), dtype=np.uint64, count=int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))
     counts = np.where(sizes > 0, np.maximum(sizes - SHINGLE + 1, 1), 0)
     first, total = np.cumsum(sizes) - sizes, int(counts.sum())
     ends = np.cumsum(counts)
@@ -141,15 +145,16 @@ def _agree(a: str, b: str):
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of nodes those that are links: first by size and sketch, then on the full sets."""
+    """Of the pairs (a, b) of nodes those that are links: first by size and sketch, then on the full sets.
+    A pair may come twice. No grouping follows the joins, so their hot keys can be split."""
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        pairs = pairs.join(checked_small(classes, SKETCH_ROWS).select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     close = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * LEAST) & _agree("s_a", "s_b")).select("a", "b", "n_a", "n_b")
     close = stage(close, "near-close")
     for side in ("a", "b"):
         close = close.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return stage(close.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * LEAST).select("a", "b").distinct(), "near-links")
+    return stage(close.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * LEAST).select("a", "b"), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,9 +163,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "near-labels")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        heard = both.join(checked_small(labels, NODE_ROWS).select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         nearer = stage(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")), "near-nearer")
-        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jump = checked_small(nearer, NODE_ROWS).select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = stage(nearer.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "near-labels")
         labels = moved.select("node", "label")
         if moved.where("label != old").isEmpty():
@@ -172,19 +177,19 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return comp
     for side in ("a", "b"):
-        links = links.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}")), side)
+        links = links.join(checked_small(comp, NODE_ROWS).select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}")), side)
     edges = stage(links.where("c_a != c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "near-joins")
     if edges.isEmpty():
         return comp
-    label = components(edges).select(F.col("node").alias("comp"), "label")
+    label = checked_small(components(edges), NODE_ROWS).select(F.col("node").alias("comp"), "label")
     return stage(comp.join(label, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "near-comp")
 
 
 def mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members (key, band, node) of buckets that hold several components, with comp and m, their number."""
-    now = stage(members.join(comp, "node"), "near-now")
+    now = stage(members.join(checked_small(comp, NODE_ROWS), "node"), "near-now")
     keys = stage(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1").select("key", "m"), "near-keys")
-    return stage(now.join(keys, "key"), "near-mixed")
+    return stage(now.join(checked_small(keys, NODE_ROWS), "key"), "near-mixed")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -273,7 +278,7 @@ def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     SQUARE members, and every two of its blocks meet in one task: first with their sketches, which leaves
     the members that may have a partner there; then these with their full sets."""
     n = F.ceil(F.col("m") / SQUARE).cast("int")
-    rows = open_.join(classes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
+    rows = open_.join(checked_small(classes, SKETCH_ROWS).select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch", "band")
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -309,7 +314,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if open_.isEmpty():
             break
         hubs = stage(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("x")).select("key", "x.hub", "x.hub_comp"), "near-hubs")
-        pairs = open_.join(hubs, "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = open_.join(checked_small(hubs, NODE_ROWS), "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         comp = merged(comp, confirmed(pairs.distinct(), some, sets))
         open_ = mixed(open_.select("key", "band", "node"), comp)
     if not open_.isEmpty():
