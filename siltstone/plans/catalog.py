@@ -72,7 +72,7 @@ SHARED_SQL: dict[str, str] = {
           where s.depth < 5 and n.nxt is not null)
         select user_id, max(event_id) as sixth, cast(max(depth) as bigint) as depth from steps group by user_id""",
     "case_and_nulls": """
-        select n_regionkey, sum(case when c_acctbal < 0 then 1 else 0 end) as in_debt, count(nullif(c_mktsegment, 'BUILDING')) as others, coalesce(min(nullif(c_nationkey, n_regionkey)), -1) as least
+        select n_regionkey, cast(sum(case when c_acctbal < 0 then 1 else 0 end) as bigint) as in_debt, count(nullif(c_mktsegment, 'BUILDING')) as others, coalesce(min(nullif(c_nationkey, n_regionkey)), -1) as least
         from customer join nation on c_nationkey = n_nationkey group by n_regionkey""",
     "market_share": """
         select cast(extract(year from o_orderdate) as bigint) as y, n_name,
