@@ -126,6 +126,21 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) end) as shingle from w
+), n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+ways as (select x, y from e union all select y, x from e),
+r(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, ways.y from r join ways on r.other = ways.x),
+g as (select doc_id, min(other) as component_id from r group by doc_id)
+select g.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, g.doc_id = component_id as kept from g left join n on n.doc_id = g.doc_id
+"""
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
@@ -143,4 +158,4 @@ from p join g using (h) join b using (h)
 """
 
 QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL}

@@ -50,6 +50,12 @@ def test_exact_documents_that_stay(spark):
     assert exact_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_equals_sql(spark, sf_dir):
+    from oracle import expected, rows
+
+    assert rows(QUERIES["op9_near_dedup"](spark, sf_dir)) == expected(sf_dir, ORACLES["op9_near_dedup"])
+
+
 def brute(rows):
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:
