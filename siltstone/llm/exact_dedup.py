@@ -25,6 +25,9 @@ STATE = {
 }
 
 
+#: Rows with a digest that a broadcast may hold: some 12 MB.
+DIGEST_ROWS = 100_000
+
 #: A column added for a while.
 DIGEST = "_dedup_digest"
 
@@ -75,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Full bytes: all texts of a digest are one text if the least equals the greatest. The aggregation
     # is partial in each task first, so a large group of copies sends one row from each.
-    texts = docs.select(F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes")).join(checked_small(hits), "digest", "left_semi")
+    texts = docs.select(F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes")).join(checked_small(hits, DIGEST_ROWS), "digest", "left_semi")
     unequal = stage(texts.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least != most").select("digest"), "dedup-unequal")
     groups = entries.select("id", "digest").join(state.select("digest", "keep", "n"), "digest")
     if unequal.isEmpty():
@@ -93,7 +96,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = docs.withColumn(DIGEST, F.sha2(normalised(docs[text_col]), 256))
     same = lambda other: named[id_col].eqNullSafe(other["id"]) & (named[DIGEST] == other["digest"])
     gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone")
-    held = named.join(checked_small(gone), same(gone), "left_anti")
+    held = named.join(checked_small(gone, DIGEST_ROWS), same(gone), "left_anti")
     twice = stage(groups.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice")
     if not twice.isEmpty():
         again = held.join(twice, same(twice), "left_semi").dropDuplicates([id_col, DIGEST])
