@@ -62,42 +62,49 @@ def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> Da
     return stage(last.select("digest", F.col("top.id").alias("keep"), F.col("top.locator").alias("locator"), "n"), "dedup-groups")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int | None = None) -> DataFrame:
-    """A row per row of docs: id, digest (SHA-256 of the normalised text), keep, n (size of its group).
-
-    A null text is an empty one; empty texts form a group like others. Texts are equal when they are
-    so after lower-casing A-Z. The largest identifier of a group stays, null counts as the smallest;
-    of repeated rows with that identifier all carry it as `keep`. An empty table gives no rows.
-    Only `id_col` and `text_col` are read; other columns may have any name.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The staged entries (id, digest, locator), and the groups of exact_groups()."""
     text = normalised(docs[text_col])
     locator = F.struct(F.input_file_name().alias("file"), F.octet_length(text).alias("bytes"))
     entries = stage(docs.select(docs[id_col].alias("id"), F.sha2(text, 256).alias("digest"), locator.alias("locator")), "dedup-entries")
     state = stream_state(entries, files_per_trigger)
     hits = stage(state.where("n > 1").select("digest"), "dedup-hits")
 
-    # Full bytes: all texts of a digest are one text if the least equals the greatest. The aggregation
-    # is partial in each task first, so a large group of copies sends one row from each.
-    texts = docs.select(F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes")).join(checked_small(hits, DIGEST_ROWS), "digest", "left_semi")
-    unequal = stage(texts.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least != most").select("digest"), "dedup-unequal")
+    # Full bytes: a digest stands for one text if its distinct texts are one. Copies meet in the task that
+    # reads them, so a large group sends one row from each; where the hits are many all texts take part.
+    texts = docs.select(F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes"))
+    if hits.count() <= DIGEST_ROWS:
+        texts = texts.join(F.broadcast(hits), "digest", "left_semi")
+    unequal = stage(texts.distinct().groupBy("digest").count().where("count > 1").select("digest"), "dedup-unequal")
     groups = entries.select("id", "digest").join(state.select("digest", "keep", "n"), "digest")
     if unequal.isEmpty():
-        return groups
+        return entries, groups
     # Digests that stand for several texts: group these rows by the bytes themselves.
     odd = docs.select(docs[id_col].alias("id"), F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes")).join(unequal, "digest", "left_semi")
     by_text = odd.groupBy("digest", "bytes").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     split = odd.join(by_text, ["digest", "bytes"]).select("digest", "id", "keep", "n")
-    return groups.join(unequal, "digest", "left_anti").unionByName(split)
+    return entries, groups.join(unequal, "digest", "left_anti").unionByName(split)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int | None = None) -> DataFrame:
+    """A row per row of docs: id, digest (SHA-256 of the normalised text), keep, n (size of its group).
+
+    A null text is an empty one; empty texts form a group like others. Texts are equal when they are
+    so after lower-casing A-Z. The largest identifier of a group stays, null counts as the smallest;
+    of repeated rows with that identifier all carry it as `keep`. An empty table gives no rows.
+    Only `id_col` and `text_col` are read; other columns may have any name.
+    """
+    return _grouped(docs, id_col, text_col, files_per_trigger)[1]
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs. Of repeated rows all but one go."""
-    groups = exact_groups(docs, id_col, text_col)
+    entries, groups = _grouped(docs, id_col, text_col)
     named = docs.withColumn(DIGEST, F.sha2(normalised(docs[text_col]), 256))
     same = lambda other: named[id_col].eqNullSafe(other["id"]) & (named[DIGEST] == other["digest"])
-    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone")
+    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest"), "dedup-gone")
     held = named.join(checked_small(gone, DIGEST_ROWS), same(gone), "left_anti")
-    twice = stage(groups.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice")
+    twice = stage(entries.groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice")
     if not twice.isEmpty():
         again = held.join(twice, same(twice), "left_semi").dropDuplicates([id_col, DIGEST])
         held = held.join(twice, same(twice), "left_anti").unionByName(again)

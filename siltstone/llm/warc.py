@@ -77,7 +77,8 @@ def revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", bo
     body = F.coalesce(pages[body_col], F.lit(""))
     seen = stage(pages.select(pages[id_col].alias("id"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).alias("bytes")), "warc-seen").where(F.col("bytes") >= least_bytes)
     first = stage(seen.groupBy("sha1").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("sha1", "refers_to"), "warc-first")
-    return stage(seen.join(first, "sha1").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select("id", "sha1", "refers_to").distinct(), "warc-revisits")
+    each = seen.select("id", "sha1").distinct()  # before the join: a grouping after it would keep a hot payload in one task
+    return stage(each.join(first, "sha1").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select("id", "sha1", "refers_to"), "warc-revisits")
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", level: int = 1) -> DataFrame:
