@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import in_small_batches
+
 #: Fixed value: the pattern that splits text before merging in byte-level BPE; \s is Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -266,7 +268,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*kept, ids_col])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col)).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

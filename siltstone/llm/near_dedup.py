@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks
-from .shared import checked_small, stage
+from .shared import checked_small, in_small_batches, stage
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
@@ -116,7 +116,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "n", "node", "sketch"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, node binary, sketch binary")
+    return in_small_batches(_texts(docs, id_col, text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, node binary, sketch binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,7 +135,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
 
     wanted = checked_small(ids).withColumnRenamed("id", "wanted")
     chosen = _texts(docs, id_col, text_col).join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    return chosen.select("text").mapInArrow(run, "node binary, set array<bigint>")
+    return in_small_batches(chosen.select("text")).mapInArrow(run, "node binary, set array<bigint>")
 
 
 def _agree(a: str, b: str):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks, fold, labelled_sample
-from .shared import stage
+from .shared import in_small_batches, stage
 
 #: Buckets of words, shapes after them (the last is the gap between documents), width of the vectors.
 WORDS, SHAPES, WIDTH = 1 << 13, 32, 32
@@ -105,7 +105,7 @@ def random_indexing(sample: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(total[rows, d]) for d in range(WIDTH + 1))], names=["row", *(f"d{d}" for d in range(WIDTH + 1))])
 
     columns = [f"d{d}" for d in range(WIDTH + 1)]
-    sums = sample.select("text").mapInArrow(run, "row long, " + ", ".join(f"{c} long" for c in columns))
+    sums = in_small_batches(sample.select("text")).mapInArrow(run, "row long, " + ", ".join(f"{c} long" for c in columns))
     found = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("row")
     out = np.zeros((WORDS + SHAPES, WIDTH))
     if len(found):
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p)], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return in_small_batches(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))).mapInArrow(run, f"id {kind}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

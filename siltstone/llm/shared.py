@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of two or three integers that a broadcast may hold: some 16 MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +52,13 @@ def checked_small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= rows else staged
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, which goes to Python, with Arrow batches of up to BATCH_BYTES set on its session: the default of
+    10,000 rows would hold tens of MB of texts several times over in the JVM and in each worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. An ASCII text takes the quick path."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks, fold, labelled_sample
+from .shared import in_small_batches
 
 BITS = 20
 WORDS = re.compile(r"\w+")
@@ -127,7 +128,7 @@ def fit(sample: DataFrame, how: Ftrl = Ftrl()) -> Model:
         kept = np.flatnonzero(w)
         return pa.table({"coordinate": pa.array(np.append(kept, -1), type=pa.int64()), "weight": pa.array(np.append(w[kept], bias))})
 
-    rows = sample.select("id", "label", "text").mapInArrow(found_in, f"id {sample.schema['id'].dataType.simpleString()}, label int, x array<int>")
+    rows = in_small_batches(sample.select("id", "label", "text")).mapInArrow(found_in, f"id {sample.schema['id'].dataType.simpleString()}, label int, x array<int>")
     learnt = rows.groupBy(F.lit("all")).applyInArrow(learn, "coordinate long, weight double").collect()  # 2^20 rows at most; L1 leaves some hundreds
     weights = {r["coordinate"]: r["weight"] for r in learnt}
     bias = weights.pop(-1, 0.0)
@@ -146,7 +147,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(texts[a:b], hashes))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return in_small_batches(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))).mapInArrow(run, f"id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
