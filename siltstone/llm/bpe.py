@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import in_small_batches
+from .shared import in_small_batches, released
 
 #: Fixed value: the pattern that splits text before merging in byte-level BPE; \s is Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -271,6 +271,25 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
     return in_small_batches(docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col))).mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass through Python: the columns in `keep`, ids and decoded. The text comes
+    from the ids alone."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "ids", "decoded")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(vocabulary_path)
+        for batch in released(batches):
+            texts = batch.column(len(kept))
+            for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE_CHARS):
+                ids, counts = v.encode(texts.slice(a, b - a).to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                decoded = pa.array(v.decode(ids, counts), type=pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, pa.array(ids)), decoded], names=[*kept, "ids", "decoded"])
+
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return in_small_batches(docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col))).mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with the text of its ids, special tokens included; bytes that are not UTF-8 become
     U+FFFD. Null or no ids give an empty text."""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks
-from .shared import checked_small, in_small_batches, stage
+from .shared import checked_small, in_small_batches, released, stage
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
@@ -106,7 +106,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (size of the set), node (128-bit hash of the set: the class) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(1)
             for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist())
@@ -127,7 +127,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     """node and set (array of hashes) of the documents whose id is in ids (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(0)
             for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist())
@@ -226,7 +226,7 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, ...]:
 def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each square that agree on enough coordinates with a row of another component in the
     other block, in a bucket of the first band that the two share."""
-    for t in runs(batches, ("key", "i", "j")):
+    for t in runs(released(batches), ("key", "i", "j")):
         left, right, _, _, may = _sides(t)
         if may.any():
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
@@ -259,7 +259,7 @@ def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between components in each square, by the full sets; of links that join the same
     components, one each."""
-    for t in runs(batches, ("key", "i", "j")):
+    for t in runs(released(batches), ("key", "i", "j")):
         left, right, size, comp, may = _sides(t)
         if not may.any():
             continue

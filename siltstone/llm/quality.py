@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks, fold, labelled_sample
-from .shared import in_small_batches, stage
+from .shared import in_small_batches, released, stage
 
 #: Buckets of words, shapes after them (the last is the gap between documents), width of the vectors.
 WORDS, SHAPES, WIDTH = 1 << 13, 32, 32
@@ -95,9 +95,9 @@ def random_indexing(sample: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = index_vectors(), Tokens()
         total = np.zeros((WORDS + SHAPES, WIDTH + 1), dtype=np.int64)
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(0).to_pylist()
-            for a, b in blocks([len(t) for t in texts], BLOCK):
+            for a, b in blocks([len(t) for t in texts], BLOCK // 4):
                 rows, sums, counts = contexts(texts[a:b], known, index)
                 total[rows, :WIDTH] += sums
                 total[rows, WIDTH] += counts
@@ -194,7 +194,7 @@ def fit(sample: DataFrame) -> Model:
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = index_vectors(), Tokens()
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(2).to_pylist()
             for a, b in blocks([len(t) for t in texts], BLOCK):
                 x = pooled(texts[a:b], known, vectors, index)
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = index_vectors(), Tokens()
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(1).to_pylist()
             for a, b in blocks([len(t) for t in texts], BLOCK):
                 p = model.network.probability(pooled(texts[a:b], known, model.vectors, index)) if model.network else np.full(b - a, 0.5)

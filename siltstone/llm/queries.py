@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode
+from .bpe import encode_and_decode
 from .exact_dedup import exact_groups
 from .html_extraction import extract
 from .mixing import in_training_order, mix
@@ -69,7 +69,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_and_decoded(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs, BPE_VOCABULARY, keep=["doc_id"]), BPE_VOCABULARY)
+    both = encode_and_decode(docs, BPE_VOCABULARY, keep=["doc_id"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,12 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one a reused Python worker gives Arrow's free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. An ASCII text takes the quick path."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks, fold, labelled_sample
-from .shared import in_small_batches
+from .shared import in_small_batches, released
 
 BITS = 20
 WORDS = re.compile(r"\w+")
@@ -115,7 +115,7 @@ def fit(sample: DataFrame, how: Ftrl = Ftrl()) -> Model:
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in released(batches):
             for i, text in enumerate(batch.column(2).to_pylist()):
                 x = np.unique(features([text], hashes)[1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([x], type=pa.list_(pa.int32()))], names=["id", "label", "x"])
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(1).to_pylist()
             for a, b in blocks([len(t) for t in texts], BLOCK):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(texts[a:b], hashes))], names=["id", "score"])
