@@ -29,7 +29,7 @@ from .shared import in_small_batches, released
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Bytes of text that one pair index covers.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 
 #: A rank with up to so many positions is merged one by one, beyond it as a vector.
 FEW = 12
