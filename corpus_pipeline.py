@@ -12,6 +12,9 @@ from siltstone.llm.shared import checked_small, stage, table
 #: A document goes if the probability that its quality is good is below this.
 LEAST_QUALITY = 0.5
 
+#: Documents are near copies from this similarity on, in hundredths; tests/llm/test_pipeline.py has the same.
+LEAST_SIMILARITY = 85
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the labels outside the held-out
@@ -28,7 +31,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that near-duplicate links reach the document with the least identifier stays."""
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, least=LEAST_SIMILARITY)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """MinHash near-deduplication by fast similarity sketching, banding and exact verification.
 
-A sketch has SLOTS coordinates. Round after round every shingle is hashed into one coordinate with a value
-that grows with the round, and each coordinate keeps its least value; rounds SLOTS to 2 * SLOTS - 1 put all
-shingles into coordinate 0, 1, ... in turn, so every coordinate is filled, while a large set is done after
-two or three rounds. The share of equal coordinates is concentrated around the Jaccard similarity at
-least as well as with independent minimum hashes.
+A sketch has a number of slots, its coordinates. Round after round every shingle is hashed into one
+coordinate with a value that grows with the round, and each coordinate keeps its least value; rounds slots
+to 2 * slots - 1 put all shingles into coordinate 0, 1, ... in turn, so every coordinate is filled, while a
+large set is done after two or three rounds. The share of equal coordinates is concentrated around the
+Jaccard similarity at least as well as with independent minimum hashes.
 
 Documents with one shingle set are a class and take part once. Classes that agree on a whole band share a
 bucket. In each bucket all members are first checked against one hub, then, for buckets whose members are
@@ -12,13 +12,17 @@ not in one component yet, against further hubs: so a large group of near copies
 member. Buckets that still hold several components are compared completely, in square blocks of bounded
 size, leaving out pairs within a component. Every link is confirmed on the full shingle sets.
 
-With 25 bands of 5, a pair at similarity 0.85 shares no bucket with probability 4e-7; the estimate that
-a compared pair needs (0.70) is more than four standard deviations below 0.85.
+The limit of similarity is a parameter. Bands and the estimate that a compared pair needs follow from it: a
+pair at the limit shares no bucket with probability 5e-7 at most, and the estimate is 4.8 standard deviations
+below the limit. At 0.85 that is 25 bands of 5 and 87 of 125 coordinates, at 0.80 37 bands and 121 of 185.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -31,12 +35,39 @@ from pyspark.sql import functions as F
 from .labelled import blocks
 from .shared import checked_small, in_small_batches, released, stage
 
-BANDS, ROWS = 25, 5
-SLOTS = BANDS * ROWS
+ROWS = 5
 SHINGLE = 5
 
-#: Links have 100 * intersection >= LEAST * union. Compared pairs agree on so many coordinates at least.
-LEAST, AGREE = 85, int(0.70 * SLOTS)
+#: At the limit: the largest probability to share no bucket; standard deviations of the estimate below it.
+MISS, DEVIATIONS = 5e-7, 4.8
+
+
+@dataclass(frozen=True, slots=True)
+class Limit:
+    """Links have 100 * intersection >= least * union, least from 1 to 100. What follows from it: the bands,
+    the coordinates of a sketch, and on how many of them compared pairs agree at least."""
+
+    least: int
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.least <= 100:
+            raise ValueError(f"a limit of {self.least} is not between 1 and 100")
+
+    @property
+    def bands(self) -> int:
+        return 1 if self.least == 100 else math.ceil(math.log(MISS) / math.log1p(-((self.least / 100) ** ROWS)))
+
+    @property
+    def slots(self) -> int:
+        return self.bands * ROWS
+
+    @property
+    def agree(self) -> int:
+        p = self.least / 100
+        return max(0, int(self.slots * p - DEVIATIONS * math.sqrt(self.slots * p * (1 - p))))
+
+
+DEFAULT = Limit(85)
 
 #: Rounds with one hub a bucket; members of a block of a compared bucket; bytes of text at once.
 HUB_ROUNDS, SQUARE, BLOCK = 2, 200, 2 << 20
@@ -51,7 +82,7 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) << U(1) | U(1)
 
 
-PLACES, ROUND_KEYS = _odd(SHINGLE + 1, 41), _odd(2 * SLOTS, 43)
+PLACES = _odd(SHINGLE + 1, 41)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,28 +112,29 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(s, ends[:-1])] if len(texts) else []
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SLOTS 16-bit coordinates for each set; zeros for an empty one."""
+def sketches(sets: list[np.ndarray], slots: int = DEFAULT.slots) -> np.ndarray:
+    """A row of `slots` 16-bit coordinates for each set; zeros for an empty one."""
+    keys = _odd(2 * slots, 43)
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     x = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
     row = np.repeat(np.arange(len(sets)), sizes)
     empty = U(0xFFFFFFFFFFFFFFFF)
-    out = np.full(len(sets) * SLOTS, empty)
-    for r in range(2 * SLOTS):
+    out = np.full(len(sets) * slots, empty)
+    for r in range(2 * slots):
         if not len(x):
             break
-        v = _mixed(x * ROUND_KEYS[r] + U(r))
-        slot = ((v >> U(40)) * U(SLOTS) >> U(24)).astype(np.int64) if r < SLOTS else r - SLOTS
-        np.minimum.at(out, row * SLOTS + slot, U(r) << U(40) | v & U((1 << 40) - 1))
-        open_ = (out.reshape(-1, SLOTS) == empty).any(axis=1)[row]
+        v = _mixed(x * keys[r] + U(r))
+        slot = ((v >> U(40)) * U(slots) >> U(24)).astype(np.int64) if r < slots else r - slots
+        np.minimum.at(out, row * slots + slot, U(r) << U(40) | v & U((1 << 40) - 1))
+        open_ = (out.reshape(-1, slots) == empty).any(axis=1)[row]
         if not open_.all():
             x, row = x[open_], row[open_]
-    coordinates = _mixed(out).astype(np.uint16).reshape(-1, SLOTS)
+    coordinates = _mixed(out).astype(np.uint16).reshape(-1, slots)
     coordinates[sizes == 0] = 0
     return coordinates
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
     """id, n (size of the set), node (128-bit hash of the set: the class) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +142,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = batch.column(1)
             for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist())
-                rows = sketches(sets)
+                rows = sketches(sets, slots)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()), pa.array([r.tobytes() for r in rows], type=pa.binary())],
                     names=["id", "n", "node", "sketch"],
@@ -138,23 +170,23 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     return in_small_batches(chosen.select("text")).mapInArrow(run, "node binary, set array<bigint>")
 
 
-def _agree(a: str, b: str):
+def _agree(a: str, b: str, limit: Limit):
     """Whether two sketches agree on enough coordinates."""
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, i: n + (F.substring(a, i * 2 + 1, 2) == F.substring(b, i * 2 + 1, 2)).cast("int"))
-    return same >= AGREE
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(limit.slots - 1)), F.lit(0), lambda n, i: n + (F.substring(a, i * 2 + 1, 2) == F.substring(b, i * 2 + 1, 2)).cast("int"))
+    return same >= limit.agree
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
     """Of the pairs (a, b) of nodes those that are links: first by size and sketch, then on the full sets.
     A pair may come twice. No grouping follows the joins, so their hot keys can be split."""
     for side in ("a", "b"):
         pairs = pairs.join(checked_small(classes, SKETCH_ROWS).select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    close = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * LEAST) & _agree("s_a", "s_b")).select("a", "b", "n_a", "n_b")
+    close = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * limit.least) & _agree("s_a", "s_b", limit)).select("a", "b", "n_a", "n_b")
     close = stage(close, "near-close")
     for side in ("a", "b"):
         close = close.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return stage(close.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * LEAST).select("a", "b"), "near-links")
+    return stage(close.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * limit.least).select("a", "b"), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,29 +244,29 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-def _sides(t: pa.Table) -> tuple[np.ndarray, ...]:
+def _sides(t: pa.Table, limit: Limit) -> tuple[np.ndarray, ...]:
     """Of a square: the rows of its two blocks, sizes of the sets, components as numbers, and which rows may pair."""
     i, j = t["i"][0].as_py(), t["j"][0].as_py()
     own, size = t["own"].to_numpy(), t["n"].to_numpy()
     comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     a, b = size[left][:, None], size[right][None, :]
-    may = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * LEAST)
+    may = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * limit.least)
     return left, right, size, comp, may & (left[:, None] < right[None, :]) if i == j else may
 
 
-def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hopeful(batches: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
     """The rows of each square that agree on enough coordinates with a row of another component in the
     other block, in a bucket of the first band that the two share."""
     for t in runs(released(batches), ("key", "i", "j")):
-        left, right, _, _, may = _sides(t)
+        left, right, _, _, may = _sides(t, limit)
         if may.any():
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, limit.slots)
             band, keep = t["band"][0].as_py(), np.zeros(t.num_rows, dtype=bool)
             for x in np.flatnonzero(may.any(axis=1)):
                 others = right[may[x]]
                 same = sketch[others] == sketch[left[x]]
-                good = others[(same.sum(axis=1) >= AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+                good = others[(same.sum(axis=1) >= limit.agree) & (same.reshape(-1, limit.bands, ROWS).all(axis=2).argmax(axis=1) == band)]
                 keep[good] = True
                 keep[left[x]] |= len(good) > 0
             yield from t.drop_columns(["sketch", "band"]).filter(pa.array(keep)).combine_chunks().to_batches()
@@ -256,16 +288,16 @@ def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14
     return out.astype(np.int64)
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(batches: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between components in each square, by the full sets; of links that join the same
     components, one each."""
     for t in runs(released(batches), ("key", "i", "j")):
-        left, right, size, comp, may = _sides(t)
+        left, right, size, comp, may = _sides(t, limit)
         if not may.any():
             continue
         sets = [x.values.to_numpy() for x in t["set"]]
         both = common([sets[x] for x in left], [sets[x] for x in right])
-        x, y = np.nonzero(may & (both * 100 >= (size[left][:, None] + size[right][None, :] - both) * LEAST))
+        x, y = np.nonzero(may & (both * 100 >= (size[left][:, None] + size[right][None, :] - both) * limit.least))
         x, y = left[x], right[y]
         pair = np.minimum(comp[x], comp[y]).astype(np.int64) * t.num_rows + np.maximum(comp[x], comp[y])
         one = np.unique(pair, return_index=True)[1]
@@ -273,7 +305,7 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([node.take(pa.array(x[one])), node.take(pa.array(y[one]))], names=["a", "b"])
 
 
-def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
     """The links (a, b) between different components within a bucket. A bucket is dealt into blocks of about
     SQUARE members, and every two of its blocks meet in one task: first with their sketches, which leaves
     the members that may have a partner there; then these with their full sets."""
@@ -284,22 +316,24 @@ def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     square = ["key", "i", "j"]
     kept = "key long, i int, j int, own int, node binary, comp binary, n long"
-    some = stage(rows.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(hopeful, kept), "near-hopeful")
+    some = stage(rows.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(partial(hopeful, limit=limit), kept), "near-hopeful")
     full = some.join(sets, "node").select(*some.columns, "set")
-    return stage(full.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(linked, "a binary, b binary"), "near-links")
+    return stage(full.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(partial(linked, limit=limit), "a binary, b binary"), "near-links")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: id, n_shingles, component (least id that links reach).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = DEFAULT.least) -> DataFrame:
+    """A row per row of docs: id, n_shingles, component (least id that links reach). Links join sets whose
+    similarity is least / 100 or more.
 
     A null text is an empty one; an empty set is linked with nothing and its component is its own id. Null
     ids are no least id; a component of null ids only has a null one. Repeated rows are in one class. No rows
     give none; other columns are not read.
     """
-    rows = stage(sketched(docs, id_col, text_col), "near-rows")
+    limit = Limit(least)
+    rows = stage(sketched(docs, id_col, text_col, limit.slots), "near-rows")
     full = rows.where("n > 0")
     classes = stage(full.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("sketch", j * 2 * ROWS + 1, 2 * ROWS)).alias("key")))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(limit.bands - 1)), lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("sketch", j * 2 * ROWS + 1, 2 * ROWS)).alias("key")))
     keyed = classes.select("node", F.explode(bands).alias("x")).select("node", "x.band", "x.key")
     shared = stage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-shared")
     members = stage(keyed.join(checked_small(shared), "key"), "near-members")
@@ -308,17 +342,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = stage(sets_of(docs, stage(some.select(F.col("least").alias("id")).distinct(), "near-ids"), id_col, text_col), "near-sets")
 
     pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    comp = merged(comp, confirmed(pairs.distinct(), some, sets))
+    comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
     open_ = mixed(members.select("key", "band", "node"), comp)
     for turn in range(1, HUB_ROUNDS):
         if open_.isEmpty():
             break
         hubs = stage(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("x")).select("key", "x.hub", "x.hub_comp"), "near-hubs")
         pairs = open_.join(checked_small(hubs, NODE_ROWS), "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        comp = merged(comp, confirmed(pairs.distinct(), some, sets))
+        comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
         open_ = mixed(open_.select("key", "band", "node"), comp)
     if not open_.isEmpty():
-        comp = merged(comp, squares(open_, some, sets))
+        comp = merged(comp, squares(open_, some, sets, limit))
 
     by_node = classes.select("node", "least").join(comp, "node", "left")
     joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "near-least")
@@ -327,9 +361,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return full.join(reached, "node").select("id", "n", "component").unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = DEFAULT.least) -> DataFrame:
     """One document of each group, that with the least id, with the columns of docs. Documents without words
     and those with null ids stay; rows that repeat the id that stays, stay with it."""
-    groups = near_groups(docs, id_col, text_col)
+    groups = near_groups(docs, id_col, text_col, least)
     gone = stage(groups.where("id is not null and component is not null and id != component").select("id").distinct(), "near-gone")
     return docs.join(checked_small(gone), docs[id_col] == gone["id"], "left_anti")

@@ -122,7 +122,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_groups(table(spark, sf_dir, "documents"))
+    groups = near_groups(table(spark, sf_dir, "documents"), least=85)
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
