@@ -22,38 +22,44 @@ from pyspark.sql import functions as F
 from .shared import in_small_batches
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
-HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HINT = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements of HTML by the part that they play here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("script style head title noscript template iframe svg math object canvas audio video select button textarea option datalist input".split())
+MATH = frozenset("math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
+HIDDEN = frozenset("script style head title noscript template iframe svg annotation annotation-xml object canvas audio video select button textarea option datalist input".split())
 RAW = frozenset("script style textarea title".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT_TAGS = frozenset(["article", "main"])
+ANCHORED = frozenset("section p h1 h2 h3 h4 h5 h6".split())
 FRAME_TAGS = frozenset("nav footer aside form menu dialog".split())
 FRAME_HINTS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice"
     " notification overlay pagination popup privacy promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+NEGATIONS = frozenset("has no with without".split())
+SURE_IDS = frozenset("comments disqus newsletter replies respond sidebar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 #: Weights of the block classifier (log-odds of content) and of the smoothness edges.
-BIAS, IN_CONTENT, IN_FRAME, LINKED, PER_LOG_WORD, HEADING, SENTENCE = -1.5, 4.0, -7.0, -4.0, 0.7, 0.6, 0.6
+BIAS, IN_CONTENT, IN_FRAME, LINKED, LINKED_IN_CONTENT, PER_LOG_WORD, HEADING, SENTENCE = -1.5, 4.0, -7.0, -4.0, -2.0, 0.7, 0.6, 0.6
 SMOOTH = 1.6
 
 
 @dataclass(slots=True)
 class Node:
-    """An open element: its parent, depth, and what it says of the text below it."""
+    """An open element: its parent, depth, and what it says of the text below it. A frame is fixed if an
+    element for frames made it, and not a hint or a form, which may wrap the whole page."""
 
     tag: str
     parent: Node | None
     depth: int
     content: bool
     frame: bool
+    fixed: bool
     hidden: bool
     linked: bool
 
@@ -66,20 +72,38 @@ class Block:
     text: str = ""
 
 
+def _hinted(tag: str, attributes: str, content: bool) -> bool:
+    """Whether an attribute calls the element frame. What follows has, no or with in a token tells of
+    something elsewhere. Of article and main only the first word of a token counts, as the others are
+    topics (tag-privacy); an id below them is there to link to, unless it is sure."""
+    for m in HINT.finditer(attributes):
+        tokens = (m[2] or m[3] or m[4] or "").lower().split()
+        if content and tag in ANCHORED and m[1].lower() == "id":
+            if tag == "section" and not SURE_IDS.isdisjoint(tokens):
+                return True
+            continue
+        for token in tokens:
+            words = WORD.findall(token)
+            for w in words[:1] if tag in CONTENT_TAGS else words:
+                if w in NEGATIONS:
+                    break
+                if w in FRAME_HINTS or w in ROLES:
+                    return True
+    return False
+
+
 def _opened(tag: str, attributes: str, parent: Node) -> Node:
-    frame = parent.frame or tag in FRAME_TAGS or (tag == "header" and not parent.content)
+    fixed = parent.fixed or (tag in FRAME_TAGS and tag != "form") or (tag == "header" and not parent.content)
+    holds = tag in CONTENT_TAGS and not parent.content
+    frame = fixed or tag == "form" or (parent.frame and not holds)
     if attributes and not frame and tag not in ("html", "body"):
-        for m in HINT.finditer(attributes):
-            words = WORD.findall((m[1] or m[2] or m[3] or "").lower())
-            if not FRAME_HINTS.isdisjoint(words) or not ROLES.isdisjoint(words):
-                frame = True
-                break
-    return Node(tag, parent, parent.depth + 1, parent.content or tag in CONTENT_TAGS, frame, parent.hidden or tag in HIDDEN, parent.linked or tag == "a")
+        frame = _hinted(tag, attributes, parent.content)
+    return Node(tag, parent, parent.depth + 1, parent.content or tag in CONTENT_TAGS, frame, fixed, parent.hidden or tag in HIDDEN, parent.linked or tag == "a")
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of visible text in page order: runs of text that no block element interrupts."""
-    root = Node("", None, 0, False, False, False, False)
+    root = Node("", None, 0, False, False, False, False, False)
     node, done, here = root, [], None
     at, end = 0, len(page)
 
@@ -147,7 +171,7 @@ def blocks(page: str) -> list[Block]:
 def log_odds(block: Block) -> float:
     words = block.text.count(" ") + 1
     node = block.node
-    score = BIAS + PER_LOG_WORD * min(math.log1p(words), 5.0) + LINKED * min(1.0, block.linked / max(len(block.text), 1))
+    score = BIAS + PER_LOG_WORD * min(math.log1p(words), 5.0) + (LINKED_IN_CONTENT if node.content else LINKED) * min(1.0, block.linked / max(len(block.text), 1))
     if node.content:
         score += IN_CONTENT
     if node.frame:
