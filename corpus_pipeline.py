@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, near_dedup, quality
+from siltstone.llm.exact_dedup import DIGEST, DIGEST_ROWS
 from siltstone.llm.queries import encoded_and_decoded
 from siltstone.llm.shared import checked_small, stage, table
 
@@ -18,10 +19,15 @@ LEAST_SIMILARITY = 85
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the labels outside the held-out
-    fold. Copies of an identifier go together; a null identifier is never rejected."""
-    scores = quality.quality(docs, table(spark, sf_dir, "labels"))
-    rejected = stage(scores.where(F.col("score") < LEAST_QUALITY).select("id").distinct(), "pipeline-rejected")
-    return docs.join(checked_small(rejected), docs["doc_id"] == rejected["id"], "left_anti")
+    fold. A row goes by its identifier, which may be null, and its text."""
+    model = quality.learnt(docs, table(spark, sf_dir, "labels"))
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), digest.alias("digest")).alias("row"), "text")
+    scores = quality.score(keyed, model, "row")
+    rejected = stage(scores.where(F.col("score") < LEAST_QUALITY).select("id.id", "id.digest").distinct(), "pipeline-rejected")
+    named = docs.withColumn(DIGEST, digest)
+    same = named["doc_id"].eqNullSafe(rejected["id"]) & (named[DIGEST] == rejected["digest"])
+    return named.join(checked_small(rejected, DIGEST_ROWS), same, "left_anti").drop(DIGEST)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

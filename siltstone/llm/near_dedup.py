@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exact_dedup import DIGEST, DIGEST_ROWS
 from .labelled import blocks
 from .shared import checked_small, in_small_batches, released, stage
 
@@ -330,7 +331,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give none; other columns are not read.
     """
     limit = Limit(least)
-    rows = stage(sketched(docs, id_col, text_col, limit.slots), "near-rows")
+    return _grouped(docs, sketched(docs, id_col, text_col, limit.slots), id_col, text_col, limit)
+
+
+def _grouped(docs: DataFrame, sketched_rows: DataFrame, id_col: str, text_col: str, limit: Limit) -> DataFrame:
+    """near_groups() from the sketched rows of docs, whose further columns are kept."""
+    more = [c for c in sketched_rows.columns if c not in ("id", "n", "node", "sketch")]
+    rows = stage(sketched_rows, "near-rows")
     full = rows.where("n > 0")
     classes = stage(full.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(limit.bands - 1)), lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("sketch", j * 2 * ROWS + 1, 2 * ROWS)).alias("key")))
@@ -357,13 +364,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_node = classes.select("node", "least").join(comp, "node", "left")
     joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "near-least")
     reached = stage(by_node.join(joined, "comp", "left").select("node", F.coalesce("component", "least").alias("component")), "near-reached")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return full.join(reached, "node").select("id", "n", "component").unionByName(alone).withColumnRenamed("n", "n_shingles")
+    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component"), *more)
+    return full.join(reached, "node").select("id", "n", "component", *more).unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = DEFAULT.least) -> DataFrame:
     """One document of each group, that with the least id, with the columns of docs. Documents without words
-    and those with null ids stay; rows that repeat the id that stays, stay with it."""
-    groups = near_groups(docs, id_col, text_col, least)
-    gone = stage(groups.where("id is not null and component is not null and id != component").select("id").distinct(), "near-gone")
-    return docs.join(checked_small(gone), docs[id_col] == gone["id"], "left_anti")
+    and those with null ids stay; rows that repeat the id that stays, stay with it. A row goes by its id and
+    text: other texts under its id are judged by their own groups."""
+    limit, digest = Limit(least), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("row"), docs[text_col].alias("text"))
+    rows = sketched(keyed, "row", "text", limit.slots).select("id.id", "id.digest", "n", "node", "sketch")
+    groups = _grouped(docs, rows, id_col, text_col, limit)
+    gone = stage(groups.where("id is not null and component is not null and id != component").select("id", "digest").distinct(), "near-gone")
+    named = docs.withColumn(DIGEST, digest)
+    return named.join(checked_small(gone, DIGEST_ROWS), (named[id_col] == gone["id"]) & (named[DIGEST] == gone["digest"]), "left_anti").drop(DIGEST)

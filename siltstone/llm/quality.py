@@ -229,7 +229,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return in_small_batches(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))).mapInArrow(run, f"id {kind}, score double")
 
 
+def learnt(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    return fit(labelled_sample(docs, labels, "quality", folds, held_out, sample, id_col, text_col))
+
+
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score of every row of docs, learnt from the labels outside the held-out fold."""
-    model = fit(labelled_sample(docs, labels, "quality", folds, held_out, sample, id_col, text_col))
+    model = learnt(docs, labels, folds, held_out, sample, id_col, text_col)
     return score(docs, model, id_col, text_col).select("id", (fold(F.col("id"), folds) == held_out).alias("held_out"), "score")
