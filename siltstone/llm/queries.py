@@ -142,7 +142,7 @@ select g.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, g.doc_id
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shards = sharded(table(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
     return shards.select("row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

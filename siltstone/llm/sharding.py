@@ -46,14 +46,14 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 29, bu
     """Write docs to path as shuffled shards; return the table: `row` (struct of the columns of docs),
     shard, grown_shard, slot.
 
-    A null identifier is hashed as such; rows with it are spread over the buckets by their text. Equal
-    rows go to one shard. A null text has no bytes. An empty table gives empty shards.
+    A null identifier is hashed as such. Rows of one identifier go to one shard and are spread over its
+    buckets by their text. A null text has no bytes. An empty table gives empty shards.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
     text_hash = F.xxhash64(docs[text_col])
-    spread = F.xxhash64(docs[id_col], F.when(docs[id_col].isNull(), text_hash), F.lit(seed + 1))
+    spread = F.xxhash64(docs[id_col], text_hash, F.lit(seed + 1))
     scattered = docs.select(
         F.struct(*docs.columns).alias("row"), rendezvous(docs[id_col], shards, seed).alias("_shard"), rendezvous(docs[id_col], shards + 1, seed).alias("_grown"),
         F.pmod(spread, F.lit(buckets)).cast("int").alias("_bucket"), F.xxhash64(docs[id_col], text_hash, F.lit(seed + 2)).alias("_tie"),
