@@ -77,3 +77,53 @@ def test_shards_of_odd_rows_in_small_buckets(spark):
     order = [r.row.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot)) if r.row.doc_id is not None]
     assert order != sorted(order) and max(Counter(r.shard for r in out if r.row.doc_id is not None and r.row.doc_id < 2000).values()) < 400
     assert sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_hits(rows, k=10):
+    """Pairs of a query row (id divisible by 100) and a row of another id, the k best of each query id."""
+    rows = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows}
+    out = set()
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for j, v in rows if j == q for i, w in rows if i != q)
+        out |= {(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)}
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v], 0, "") for i, v in rows], SCHEMA.replace("float", "double"))
+
+
+def test_topk_repeated_query_ids(spark):
+    """Twelve near vectors of one query id don't stand in for the hits of other ids."""
+    rng = random.Random(8)
+    rows = [(100, [1 + rng.gauss(0, 0.01), 0, 0]) for _ in range(12)] + [(i, [rng.gauss(0, 0.3) for _ in range(3)]) for i in range(1, 6)]
+    got = top_k(frame(spark, rows), F.col("id") % 100 == 0).collect()
+    assert len(got) == 10 and {tuple(r) for r in got} == brute_hits(rows)
+
+
+def test_topk_large_scores_are_exact(spark):
+    rows = [(0, [100_000.0009765625, 3.0]), (1, [100_000.0029296875, 1.0]), (2, [100_000.001953125, 2.0]), (100, [4e9, -4e9]), (3, [5e9, 1.0]), (4, [6e9, 1.0]), (5, [-6e9, 1.0])]
+    got = top_k(frame(spark, rows), F.col("id") % 100 == 0).collect()
+    assert {tuple(r) for r in got} == brute_hits(rows)
+    assert {r.score for r in got} >= {2**63 - 1, -(2**63)}
+
+
+def clustered(n, clusters, width, spread, seed=3):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(clusters)]
+    return [(i, [c + rng.gauss(0, spread) for c in centres[rng.randrange(clusters)]]) for i in range(n)]
+
+
+def test_topk_ships_what_bounds_leave(spark, monkeypatch):
+    """Of all pairs of a vector and a block of queries few are sent if the vectors are clustered; without clusters a
+    vector is sent once for each block."""
+    monkeypatch.setattr(topk_search, "ROWS_PER_PIVOT", 40)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+    shares = {}
+    for name, rows in (("clustered", clustered(3000, 30, 8, 0.02)), ("spread", clustered(3000, 3000, 16, 0.0))):
+        df = frame(spark, rows)
+        data, queries, pivots = topk_search.prepared(df, F.col("id") % 100 == 0, 10, 1024, "vec_id", "embedding")
+        plan = topk_search.planned(data, queries, pivots, 10)
+        shares[name] = plan.sent(data).count() / (len(rows) * 15)  # 30 queries
+        assert {tuple(r) for r in top_k(df, F.col("id") % 100 == 0).collect()} == brute_hits(rows)
+    assert shares["clustered"] < 0.3 and shares["spread"] <= 1
