@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import in_small_batches, released
+from .shared import released
 
 #: Fixed value: the pattern that splits text before merging in byte-level BPE; \s is Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -254,7 +254,8 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
     """The columns of docs in `keep` (default: all but the text) and the token ids of the whole text.
 
     Special tokens in a text become their ids; none are added. A null text is an empty one; an empty
-    text has no ids. A kept column named like `ids_col` gives way to the ids. Rows may repeat.
+    text has no ids. A kept column named like `ids_col` gives way to the ids. Rows may repeat. A text longer than
+    a slice has one of its own. Run it in shared.small_batches() where texts are long.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, ids_col)]
 
@@ -268,7 +269,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*kept, ids_col])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return in_small_batches(docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col))).mapInArrow(run, schema)
+    return docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col)).mapInArrow(run, schema)
 
 
 def encode_and_decode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -287,7 +288,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, pa.array(ids)), decoded], names=[*kept, "ids", "decoded"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return in_small_batches(docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col))).mapInArrow(run, schema)
+    return docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias(text_col)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -1,20 +1,26 @@
 """Exact deduplication as a stateful stream whose keyed state lives on disk.
 
-The texts' digests, stable identifiers and content locators are streamed into an aggregation by
-digest. Its state has no watermark and so never expires; it is kept by the RocksDB state store on the
-executors' disks, with its changelog in the shared folder. The state of a digest is the largest
-identifier, its locator (input file and length) and the number of rows. Every trigger emits the
-digests that it changed; since the largest identifier and the count only grow, the maximum over all
-triggers is the state itself. Then the hits, digests seen more than once, are checked on the full
-bytes of the texts.
+The texts' digests, stable identifiers and content locators are streamed into an aggregation by digest, in a
+few triggers of equal numbers of files. Its state has no watermark and so never expires; it is kept by the
+RocksDB state store on the executors' disks, with its changelog in the shared folder, and every trigger meets
+what the earlier ones left. The state of a digest is the largest identifier, the locator of its content (file
+and row) and the number of rows. Every trigger emits the digests that it changed; since the largest identifier
+and the count only grow, the maximum over all triggers is the state itself.
+
+Then the hits, digests seen more than once, are checked on full bytes: the content at the retained locator is
+compared with each text under that digest. Texts without a hit stay where they are.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, checked_small, new_folder, stage
+from .shared import ascii_lower, matching, new_folder, stage
+
+#: Triggers that a table is streamed in: each but the first meets state.
+TRIGGERS = 4
 
 #: The disk-backed state store. Each state partition takes only the disk that it fills, and ships changes
 #: instead of whole snapshots, so that many small partitions stay small.
@@ -25,31 +31,24 @@ STATE = {
 }
 
 
-#: Rows with a digest that a broadcast may hold: some 12 MB.
-DIGEST_ROWS = 100_000
-
-#: A column added for a while.
-DIGEST = "_dedup_digest"
-
-
 def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
 def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
-    """entries (id, digest, locator), a staged table, through the keyed state: digest, keep, locator, n."""
+    """entries (id, digest, file, row), a staged table, through the keyed state: digest, keep, file, row, n. Without
+    files_per_trigger the table is streamed in TRIGGERS triggers."""
     spark = entries.sparkSession
-    path = None if entries.isEmpty() else entries.inputFiles()[0].rsplit("/", 1)[0]
+    files = [] if entries.isEmpty() else entries.inputFiles()
     out, at = new_folder(spark, "dedup-state"), new_folder(spark, "dedup-checkpoint")
-    if path is not None:
+    top = F.struct("id", "file", "row").alias("top")
+    if files:
         old = {k: spark.conf.get(k, None) for k in STATE}
         for k, v in STATE.items():
             spark.conf.set(k, v)
         try:
-            reader = spark.readStream.schema(entries.schema)
-            if files_per_trigger:
-                reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-            state = reader.parquet(path).groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("top"), F.count(F.lit(1)).alias("n"))
+            reader = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", files_per_trigger or -(-len(files) // TRIGGERS))
+            state = reader.parquet(files[0].rsplit("/", 1)[0]).groupBy("digest").agg(F.max(top).alias("top"), F.count(F.lit(1)).alias("n"))
             emit = lambda changed, trigger: changed.write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
             state.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
         finally:
@@ -57,30 +56,42 @@ def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> Da
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         emitted = spark.read.parquet(out).select("digest", "top", "n")
     else:
-        emitted = entries.select("digest", F.struct("id", "locator").alias("top"), F.lit(1).cast("long").alias("n")).limit(0)
+        emitted = entries.select("digest", top, F.lit(1).cast("long").alias("n")).limit(0)
     last = emitted.groupBy("digest").agg(F.max("top").alias("top"), F.max("n").alias("n"))
-    return stage(last.select("digest", F.col("top.id").alias("keep"), F.col("top.locator").alias("locator"), "n"), "dedup-groups")
+    return stage(last.select("digest", F.col("top.id").alias("keep"), "top.file", "top.row", "n"), "dedup-groups")
+
+
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, digest and bytes of the normalised text, and the locator (file, row) of every row of docs. Rows that are
+    not read from Parquet files, and so have no locator, are written to some first."""
+    place = lambda df: (df.metadataColumn("_metadata")["file_path"].alias("file"), df.metadataColumn("_metadata")["row_index"].alias("row"))
+    plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    try:
+        rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *place(docs))
+        rows.schema  # noqa: B018  whether it resolves
+    except AnalysisException:
+        plain = stage(plain, "dedup-content")
+        rows = plain.select("id", "text", *place(plain))
+    text = normalised(F.col("text"))
+    return rows.select("id", F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes"), "file", "row")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The staged entries (id, digest, locator), and the groups of exact_groups()."""
-    text = normalised(docs[text_col])
-    locator = F.struct(F.input_file_name().alias("file"), F.octet_length(text).alias("bytes"))
-    entries = stage(docs.select(docs[id_col].alias("id"), F.sha2(text, 256).alias("digest"), locator.alias("locator")), "dedup-entries")
+    """The staged entries (id, digest, file, row), and the groups of exact_groups()."""
+    rows = located(docs, id_col, text_col)
+    entries = stage(rows.select("id", "digest", "file", "row"), "dedup-entries")
     state = stream_state(entries, files_per_trigger)
-    hits = stage(state.where("n > 1").select("digest"), "dedup-hits")
-
-    # Full bytes: a digest stands for one text if its distinct texts are one. Copies meet in the task that
-    # reads them, so a large group sends one row from each; where the hits are many all texts take part.
-    texts = docs.select(F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes"))
-    if hits.count() <= DIGEST_ROWS:
-        texts = texts.join(F.broadcast(hits), "digest", "left_semi")
-    unequal = stage(texts.distinct().groupBy("digest").count().where("count > 1").select("digest"), "dedup-unequal")
+
+    # Full bytes of the hits. Copies meet in the task that reads them, so that a large group sends one row from each.
+    hits = stage(state.where("n > 1").select("digest", "file", "row"), "dedup-hits")
+    content = matching(rows, {"digest": rows["digest"], "file": rows["file"], "row": rows["row"]}, hits, "left_semi").select("digest", F.col("bytes").alias("content")).distinct()
+    texts = matching(rows, {"digest": rows["digest"]}, hits, "left_semi").select("digest", "bytes").distinct()
+    unequal = stage(texts.join(content, "digest").where("bytes != content").select("digest").distinct(), "dedup-unequal")
     groups = entries.select("id", "digest").join(state.select("digest", "keep", "n"), "digest")
     if unequal.isEmpty():
         return entries, groups
     # Digests that stand for several texts: group these rows by the bytes themselves.
-    odd = docs.select(docs[id_col].alias("id"), F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes")).join(unequal, "digest", "left_semi")
+    odd = stage(matching(rows, {"digest": rows["digest"]}, unequal, "left_semi").select("id", "digest", "bytes"), "dedup-odd")
     by_text = odd.groupBy("digest", "bytes").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     split = odd.join(by_text, ["digest", "bytes"]).select("digest", "id", "keep", "n")
     return entries, groups.join(unequal, "digest", "left_anti").unionByName(split)
@@ -90,22 +101,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row per row of docs: id, digest (SHA-256 of the normalised text), keep, n (size of its group).
 
     A null text is an empty one; empty texts form a group like others. Texts are equal when they are
-    so after lower-casing A-Z. The largest identifier of a group stays, null counts as the smallest;
-    of repeated rows with that identifier all carry it as `keep`. An empty table gives no rows.
+    so after lower-casing A-Z, whole and of any length. The largest identifier of a group stays, null counts as
+    the smallest; of repeated rows with that identifier all carry it as `keep`. An empty table gives no rows.
     Only `id_col` and `text_col` are read; other columns may have any name.
     """
     return _grouped(docs, id_col, text_col, files_per_trigger)[1]
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the columns of docs. Of repeated rows all but one go."""
+    """The documents that stay, with the columns of docs, whose names may be any. Of repeated rows all but one go."""
     entries, groups = _grouped(docs, id_col, text_col)
-    named = docs.withColumn(DIGEST, F.sha2(normalised(docs[text_col]), 256))
-    same = lambda other: named[id_col].eqNullSafe(other["id"]) & (named[DIGEST] == other["digest"])
-    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest"), "dedup-gone")
-    held = named.join(checked_small(gone, DIGEST_ROWS), same(gone), "left_anti")
+    keys = lambda df: {"id": df[id_col], "digest": F.sha2(normalised(df[text_col]), 256)}
+    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone")
+    held = matching(docs, keys(docs), gone, "left_anti")
     twice = stage(entries.groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice")
-    if not twice.isEmpty():
-        again = held.join(twice, same(twice), "left_semi").dropDuplicates([id_col, DIGEST])
-        held = held.join(twice, same(twice), "left_anti").unionByName(again)
-    return held.drop(DIGEST)
+    if twice.isEmpty():
+        return held
+    again = matching(held, keys(held), twice, "left_semi")
+    again = again.select(F.struct(*docs.columns).alias("row"), *(v.alias(k) for k, v in keys(again).items())).dropDuplicates(["id", "digest"]).select("row.*")
+    return matching(held, keys(held), twice, "left_anti").unionByName(again)

@@ -101,7 +101,7 @@ def mix(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: flo
     slices = stage(narrow.groupBy("key", sliced).agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-slices")
     sources = stage(targets(slices.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), curriculum, share, max_repeat), "mix-targets")
     before = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    slices = stage(slices.select("key", "slice", before.alias("before")), "mix-before").join(checked_small(sources, 100_000), "key")
+    slices = stage(slices.select("key", "slice", before.alias("before")), "mix-before").join(checked_small(sources), "key")
 
     inside = W.partitionBy("key", "slice").orderBy("ticket", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("slice", sliced).join(slices, ["key", "slice"]).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))

@@ -32,9 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import DIGEST, DIGEST_ROWS
 from .labelled import blocks
-from .shared import checked_small, in_small_batches, released, stage
+from .shared import checked_small, matching, released, stage, staged_texts
 
 ROWS = 5
 SHINGLE = 5
@@ -73,9 +72,6 @@ DEFAULT = Limit(85)
 #: Rounds with one hub a bucket; members of a block of a compared bucket; bytes of text at once.
 HUB_ROUNDS, SQUARE, BLOCK = 2, 200, 2 << 20
 
-#: Rows that a broadcast may hold: of nodes with labels (some 8 MB), and of nodes with sketches (some 8 MB).
-NODE_ROWS, SKETCH_ROWS = 150_000, 25_000
-
 U = np.uint64
 
 
@@ -149,7 +145,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFra
                     names=["id", "n", "node", "sketch"],
                 )
 
-    return in_small_batches(_texts(docs, id_col, text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, node binary, sketch binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, node binary, sketch binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,9 +162,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()), pa.array([s.view(np.int64) for s in sets], type=pa.list_(pa.int64()))], names=["node", "set"])
 
-    wanted = checked_small(ids).withColumnRenamed("id", "wanted")
-    chosen = _texts(docs, id_col, text_col).join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    return in_small_batches(chosen.select("text")).mapInArrow(run, "node binary, set array<bigint>")
+    texts = _texts(docs, id_col, text_col)
+    chosen = matching(texts, {"id": texts["id"]}, ids, "left_semi")
+    return chosen.select("text").mapInArrow(run, "node binary, set array<bigint>")
 
 
 def _agree(a: str, b: str, limit: Limit):
@@ -181,7 +177,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, limit: Limi
     """Of the pairs (a, b) of nodes those that are links: first by size and sketch, then on the full sets.
     A pair may come twice. No grouping follows the joins, so their hot keys can be split."""
     for side in ("a", "b"):
-        pairs = pairs.join(checked_small(classes, SKETCH_ROWS).select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        pairs = pairs.join(checked_small(classes).select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     close = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * limit.least) & _agree("s_a", "s_b", limit)).select("a", "b", "n_a", "n_b")
     close = stage(close, "near-close")
     for side in ("a", "b"):
@@ -196,9 +192,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "near-labels")
     while True:
-        heard = both.join(checked_small(labels, NODE_ROWS).select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        heard = both.join(checked_small(labels).select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         nearer = stage(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")), "near-nearer")
-        jump = checked_small(nearer, NODE_ROWS).select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jump = checked_small(nearer).select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = stage(nearer.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "near-labels")
         labels = moved.select("node", "label")
         if moved.where("label != old").isEmpty():
@@ -210,19 +206,19 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return comp
     for side in ("a", "b"):
-        links = links.join(checked_small(comp, NODE_ROWS).select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}")), side)
+        links = links.join(checked_small(comp).select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}")), side)
     edges = stage(links.where("c_a != c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "near-joins")
     if edges.isEmpty():
         return comp
-    label = checked_small(components(edges), NODE_ROWS).select(F.col("node").alias("comp"), "label")
+    label = checked_small(components(edges)).select(F.col("node").alias("comp"), "label")
     return stage(comp.join(label, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "near-comp")
 
 
 def mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members (key, band, node) of buckets that hold several components, with comp and m, their number."""
-    now = stage(members.join(checked_small(comp, NODE_ROWS), "node"), "near-now")
+    now = stage(members.join(checked_small(comp), "node"), "near-now")
     keys = stage(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1").select("key", "m"), "near-keys")
-    return stage(now.join(checked_small(keys, NODE_ROWS), "key"), "near-mixed")
+    return stage(now.join(checked_small(keys), "key"), "near-mixed")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -311,7 +307,7 @@ def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame, limit: Limit)
     SQUARE members, and every two of its blocks meet in one task: first with their sketches, which leaves
     the members that may have a partner there; then these with their full sets."""
     n = F.ceil(F.col("m") / SQUARE).cast("int")
-    rows = open_.join(checked_small(classes, SKETCH_ROWS).select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
+    rows = open_.join(checked_small(classes).select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch", "band")
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -337,7 +333,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _grouped(docs: DataFrame, sketched_rows: DataFrame, id_col: str, text_col: str, limit: Limit) -> DataFrame:
     """near_groups() from the sketched rows of docs, whose further columns are kept."""
     more = [c for c in sketched_rows.columns if c not in ("id", "n", "node", "sketch")]
-    rows = stage(sketched_rows, "near-rows")
+    rows = staged_texts(sketched_rows, "near-rows")
     full = rows.where("n > 0")
     classes = stage(full.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(limit.bands - 1)), lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("sketch", j * 2 * ROWS + 1, 2 * ROWS)).alias("key")))
@@ -346,7 +342,7 @@ def _grouped(docs: DataFrame, sketched_rows: DataFrame, id_col: str, text_col: s
     members = stage(keyed.join(checked_small(shared), "key"), "near-members")
     comp = stage(members.select("node").distinct().select("node", F.col("node").alias("comp")), "near-comp")
     some = stage(classes.join(checked_small(comp), "node", "left_semi"), "near-some")
-    sets = stage(sets_of(docs, stage(some.select(F.col("least").alias("id")).distinct(), "near-ids"), id_col, text_col), "near-sets")
+    sets = staged_texts(sets_of(docs, stage(some.select(F.col("least").alias("id")).distinct(), "near-ids"), id_col, text_col), "near-sets")
 
     pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
@@ -355,7 +351,7 @@ def _grouped(docs: DataFrame, sketched_rows: DataFrame, id_col: str, text_col: s
         if open_.isEmpty():
             break
         hubs = stage(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("x")).select("key", "x.hub", "x.hub_comp"), "near-hubs")
-        pairs = open_.join(checked_small(hubs, NODE_ROWS), "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = open_.join(checked_small(hubs), "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
         open_ = mixed(open_.select("key", "band", "node"), comp)
     if not open_.isEmpty():
@@ -377,5 +373,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = sketched(keyed, "row", "text", limit.slots).select("id.id", "id.digest", "n", "node", "sketch")
     groups = _grouped(docs, rows, id_col, text_col, limit)
     gone = stage(groups.where("id is not null and component is not null and id != component").select("id", "digest").distinct(), "near-gone")
-    named = docs.withColumn(DIGEST, digest)
-    return named.join(checked_small(gone, DIGEST_ROWS), (named[id_col] == gone["id"]) & (named[DIGEST] == gone["digest"]), "left_anti").drop(DIGEST)
+    return matching(docs, {"id": docs[id_col], "digest": digest}, gone, "left_anti")

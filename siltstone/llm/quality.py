@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks, fold, labelled_sample
-from .shared import in_small_batches, released, stage
+from .shared import released, small_batches, stage, staged_texts
 
 #: Buckets of words, shapes after them (the last is the gap between documents), width of the vectors.
 WORDS, SHAPES, WIDTH = 1 << 13, 32, 32
@@ -105,8 +105,9 @@ def random_indexing(sample: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(total[rows, d]) for d in range(WIDTH + 1))], names=["row", *(f"d{d}" for d in range(WIDTH + 1))])
 
     columns = [f"d{d}" for d in range(WIDTH + 1)]
-    sums = in_small_batches(sample.select("text")).mapInArrow(run, "row long, " + ", ".join(f"{c} long" for c in columns))
-    found = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("row")
+    sums = sample.select("text").mapInArrow(run, "row long, " + ", ".join(f"{c} long" for c in columns))
+    with small_batches(sample.sparkSession):
+        found = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("row")
     out = np.zeros((WORDS + SHAPES, WIDTH))
     if len(found):
         at, c = found["row"].to_numpy(), found[columns].to_numpy(dtype=float)
@@ -207,7 +208,8 @@ def fit(sample: DataFrame) -> Model:
         return pa.table({"name": list(net.__dict__), "values": pa.array([np.ravel(v).tolist() for v in net.__dict__.values()])})
 
     rows = sample.select("id", "label", "text").mapInArrow(pool, f"id {sample.schema['id'].dataType.simpleString()}, label int, x array<double>")
-    found = {r["name"]: np.array(r["values"]) for r in rows.groupBy(F.lit("all")).applyInArrow(learn, "name string, values array<double>").collect()}  # the bounded sample's pooled rows
+    with small_batches(sample.sparkSession):
+        found = {r["name"]: np.array(r["values"]) for r in rows.groupBy(F.lit("all")).applyInArrow(learn, "name string, values array<double>").collect()}  # the bounded sample's pooled rows
     if not found:
         return Model(vectors, None)
     return Model(vectors, Network(found["mean"], found["scale"], found["w1"].reshape(-1, HIDDEN), found["b1"], found["w2"], float(found["b2"][0]), float(found["temperature"][0])))
@@ -226,7 +228,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p)], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_small_batches(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
 
 
 def learnt(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -234,6 +236,8 @@ def learnt(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score of every row of docs, learnt from the labels outside the held-out fold."""
+    """id, held_out, score of every row of docs, learnt from the labels outside the held-out fold. Null and empty
+    texts score as a vector of zeros; a null id is in the fold of an empty one; without docs there are no rows,
+    without labels every score is 0.5. Repeated rows score alike; other columns may have any name."""
     model = learnt(docs, labels, folds, held_out, sample, id_col, text_col)
-    return score(docs, model, id_col, text_col).select("id", (fold(F.col("id"), folds) == held_out).alias("held_out"), "score")
+    return staged_texts(score(docs, model, id_col, text_col), "quality").select("id", (fold(F.col("id"), folds) == held_out).alias("held_out"), "score")

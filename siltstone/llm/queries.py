@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,14 @@ from .html_extraction import extract
 from .mixing import in_training_order, mix
 from .near_dedup import near_groups
 from .quality import quality
-from .shared import table
+from .shared import staged_texts, table
 from .sharding import sharded
 from .topk_search import top_k
 from .toxicity import toxicity
 from .warc import archived
 
 #: The vocabulary of the BPE query; a path that all executors can read.
-BPE_VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+BPE_VOCABULARY = os.environ.get("BPE_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,9 +71,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_and_decoded(docs: DataFrame) -> DataFrame:
     both = encode_and_decode(docs, BPE_VOCABULARY, keep=["doc_id"])
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    digests = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return staged_texts(digests, "bpe")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return staged_texts(extract(table(spark, sf_dir, "pages")), "main-text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: a word of a text is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of two or three integers that a broadcast may hold: some 16 MB. Beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes that a broadcast may hold, as estimated from the rows: see is_small(). Beyond it the join shuffles.
+BROADCAST_BYTES = 12 << 20
+
+#: Bits of the sieve that goes before a large semi or anti join: 16 MB when full, whatever the number of keys.
+SIEVE_BITS = 1 << 27
 
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = 2 << 20
@@ -27,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (local mode, tests) a temporary folder takes its place.
+    Only where the setting is absent and the master is local (tests) a temporary folder takes its place; on a
+    cluster executors would not see it.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,16 +59,63 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """staged with a broadcast hint if it has few rows; else as it is, so that the join shuffles."""
-    return F.broadcast(staged) if staged.count() <= rows else staged
+def is_small(staged: DataFrame) -> bool:
+    """Whether a staged table may be broadcast: 16 bytes a row and a column, 64 for an element of an array, and
+    what its strings hold, make up to BROADCAST_BYTES."""
+    n = staged.count()
+    if n * (16 + 16 * len(staged.columns)) > BROADCAST_BYTES:
+        return False
+    long = [F.octet_length(f.name) for f in staged.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    long += [F.size(f.name) * 64 for f in staged.schema if isinstance(f.dataType, (T.ArrayType, T.MapType))]
+    more = staged.select(F.sum(sum((F.coalesce(c, F.lit(0)).cast("long") for c in long), F.lit(0)))).first()[0] or 0 if long else 0
+    return n * (16 + 16 * len(staged.columns)) + more <= BROADCAST_BYTES
+
+
+def checked_small(staged: DataFrame) -> DataFrame:
+    """staged with a broadcast hint if it is small; else as it is, so that the join shuffles."""
+    return F.broadcast(staged) if is_small(staged) else staged
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, which goes to Python, with Arrow batches of up to BATCH_BYTES set on its session: the default of
-    10,000 rows would hold tens of MB of texts several times over in the JVM and in each worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+def matching(df: DataFrame, on: dict[str, Column], staged: DataFrame, how: str) -> DataFrame:
+    """The rows of df, wide as they are, that have (left_semi) or lack (left_anti) a row in staged. `on` gives the
+    value of df for each column of staged that is compared; nulls are equal.
+
+    A small staged side is broadcast. Beyond that its keys are first cast into a bitmap of fixed size, which is
+    broadcast: rows of df that miss it have no match and stay where they are, only the others are shuffled and
+    joined. So wide rows without a match never move.
+    """
+    if is_small(staged):
+        return df.join(F.broadcast(staged), reduce(and_, (value.eqNullSafe(staged[c]) for c, value in on.items())), how)
+    place = lambda values: F.pmod(F.xxhash64(*values), F.lit(SIEVE_BITS)) + 1
+    bit = place([staged[c].cast("string") for c in on])
+    sieve = stage(staged.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), "sieve")
+    rows = df.select(F.struct(*df.columns).alias("row"), *(value.alias(f"key_{c}") for c, value in on.items()), place([value.cast("string") for value in on.values()]).alias("bit"))
+    rows = rows.join(F.broadcast(sieve), F.bitmap_bucket_number("bit") == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.bitmap_bit_position("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("held", F.coalesce(F.floor(byte / F.pow(F.lit(2.0), F.bitmap_bit_position("bit") % 8)) % 2 == 1, F.lit(False)))
+    keys = staged.select(*(F.col(c).alias(f"other_{c}") for c in on)).distinct()
+    found = rows.where("held").join(keys, reduce(and_, (F.col(f"key_{c}").eqNullSafe(F.col(f"other_{c}")) for c in on)), how).select("row.*")
+    return found if how == "left_semi" else rows.where("not held").select("row.*").unionByName(found)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of up to BATCH_BYTES while tables with texts are staged through Python: the default of 10,000
+    rows would hold tens of MB of texts several times over in the JVM and in each worker. The session has its own
+    setting back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def staged_texts(df: DataFrame, name: str) -> DataFrame:
+    """stage() for a table that comes from texts through Python, in small Arrow batches."""
+    with small_batches(df.sparkSession):
+        return stage(df, name)
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

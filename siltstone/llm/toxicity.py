@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks, fold, labelled_sample
-from .shared import in_small_batches, released
+from .shared import released, small_batches, staged_texts
 
 BITS = 20
 WORDS = re.compile(r"\w+")
@@ -128,8 +128,9 @@ def fit(sample: DataFrame, how: Ftrl = Ftrl()) -> Model:
         kept = np.flatnonzero(w)
         return pa.table({"coordinate": pa.array(np.append(kept, -1), type=pa.int64()), "weight": pa.array(np.append(w[kept], bias))})
 
-    rows = in_small_batches(sample.select("id", "label", "text")).mapInArrow(found_in, f"id {sample.schema['id'].dataType.simpleString()}, label int, x array<int>")
-    learnt = rows.groupBy(F.lit("all")).applyInArrow(learn, "coordinate long, weight double").collect()  # 2^20 rows at most; L1 leaves some hundreds
+    rows = sample.select("id", "label", "text").mapInArrow(found_in, f"id {sample.schema['id'].dataType.simpleString()}, label int, x array<int>")
+    with small_batches(sample.sparkSession):
+        learnt = rows.groupBy(F.lit("all")).applyInArrow(learn, "coordinate long, weight double").collect()  # 2^20 rows at most; L1 leaves some hundreds
     weights = {r["coordinate"]: r["weight"] for r in learnt}
     bias = weights.pop(-1, 0.0)
     return Model(np.array(list(weights), dtype=np.int64), np.array(list(weights.values())), bias)
@@ -147,10 +148,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(texts[a:b], hashes))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_small_batches(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score of every row of docs, learnt from the labels outside the held-out fold."""
+    """id, held_out, score of every row of docs, learnt from the labels outside the held-out fold. Null and empty
+    texts score as the bias does; a null id is in the fold of an empty one; without docs there are no rows, without
+    labels every score is 0.5. Repeated rows score alike; other columns may have any name."""
     model = fit(labelled_sample(docs, labels, "toxic", folds, held_out, sample, id_col, text_col))
-    return score(docs, model, id_col, text_col).select("id", (fold(F.col("id"), folds) == held_out).alias("held_out"), "score")
+    return staged_texts(score(docs, model, id_col, text_col), "toxicity").select("id", (fold(F.col("id"), folds) == held_out).alias("held_out"), "score")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_small, in_small_batches, new_folder, stage
+from .shared import checked_small, new_folder, stage, staged_texts
 
 #: Bytes between two wanted ranges that are cheaper to read than to skip, and the most one read takes.
 GAP, READ = 64 << 10, 8 << 20
@@ -115,7 +115,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         if out is not None:
             out.close()
 
-    return stage(in_small_batches(rows.select("id", "url", "body", "refers_to")).mapInArrow(write, INDEX), "warc-index")
+    return staged_texts(rows.select("id", "url", "body", "refers_to").mapInArrow(write, INDEX), "warc-index")
 
 
 def _arrow(ddl: str) -> pa.Schema:

@@ -125,3 +125,68 @@ def test_sketches_fill_and_estimate():
         a, b = near_dedup.sketches([x, np.unique(y)])
         j = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
         assert abs((a == b).mean() - j) < 0.13
+
+
+def test_exact_state_is_met_again_and_sieves_keep_results(spark, monkeypatch):
+    """Nothing is small enough to broadcast, so hits and dropped rows go through bitmaps; four triggers share state."""
+    from siltstone.llm import shared
+
+    rows = [(i % 90, f"Text {i % 40}", "clash", i) for i in range(400)] + [(None, "Text 3", "c", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _dedup_digest string, row int").repartition(8)
+    seen, real = [], exact_dedup.stage
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "stage", lambda d, name: seen.append(name) or real(d, name))
+    got = sorted(((r.id, r.keep, r.n) for r in exact_dedup.exact_groups(df).collect()), key=str)
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[lowered(t)].append(i)
+    top = {k: max(i for i in v if i is not None) for k, v in groups.items()}
+    assert got == sorted(((i, top[lowered(t)], len(groups[lowered(t)])) for i, t, *_ in rows), key=str) and "dedup-content" in seen
+    out = exact_dedup.deduplicated(df)
+    assert out.columns == df.columns and sorted((r.doc_id, lowered(r.text)) for r in out.collect()) == sorted((i, k) for k, i in top.items())
+    assert {r._dedup_digest for r in out.collect()} == {"clash"}
+
+
+def test_stream_has_several_triggers(spark):
+    from siltstone.llm.shared import stage
+
+    entries = stage(spark.range(0, 100, 1, 8).selectExpr("id", "cast(id % 10 as string) as digest", "'f' as file", "id as row"), "test-entries")
+    state = exact_dedup.stream_state(entries).collect()
+    assert {(r.digest, r.keep, r.row, r.n) for r in state} == {(str(d), 90 + d, 90 + d, 10) for d in range(10)}
+    import glob
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    runs = glob.glob(f"{shared}/dedup-state-*/trigger=*")
+    assert max(int(p.rsplit("=", 1)[1]) for p in runs) >= exact_dedup.TRIGGERS - 1
+
+
+def test_matching_beyond_broadcasts(spark, monkeypatch):
+    from siltstone.llm import shared
+
+    df = spark.createDataFrame([(i, f"w{i}", i % 3, b"x") for i in range(300)] + [(None, "n", 1, b"x"), (None, None, 2, None)], "bit long, row string, bucket int, held binary")
+    keys = shared.stage(spark.createDataFrame([(5, "w5"), (7, "other"), (None, "n"), (None, None), (250, "w250"), (250, "w250")], "a long, b string"), "test-keys")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    on = {"a": df["bit"], "b": df["row"]}
+    found, rest = shared.matching(df, on, keys, "left_semi"), shared.matching(df, on, keys, "left_anti")
+    assert sorted(((r.bit, r.row) for r in found.collect()), key=str) == sorted([(5, "w5"), (250, "w250"), (None, "n"), (None, None)], key=str)
+    assert found.columns == rest.columns == df.columns and rest.count() == 298
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    import pytest
+    from siltstone.llm import shared
+
+    class Conf:
+        def get(self, name):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
