@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, near_dedup, quality
-from siltstone.llm.exact_dedup import DIGEST, DIGEST_ROWS
 from siltstone.llm.queries import encoded_and_decoded
-from siltstone.llm.shared import checked_small, stage, table
+from siltstone.llm.shared import matching, stage, staged_texts, table
 
 #: A document goes if the probability that its quality is good is below this.
 LEAST_QUALITY = 0.5
@@ -24,10 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     keyed = docs.select(F.struct(docs["doc_id"].alias("id"), digest.alias("digest")).alias("row"), "text")
     scores = quality.score(keyed, model, "row")
-    rejected = stage(scores.where(F.col("score") < LEAST_QUALITY).select("id.id", "id.digest").distinct(), "pipeline-rejected")
-    named = docs.withColumn(DIGEST, digest)
-    same = named["doc_id"].eqNullSafe(rejected["id"]) & (named[DIGEST] == rejected["digest"])
-    return named.join(checked_small(rejected, DIGEST_ROWS), same, "left_anti").drop(DIGEST)
+    rejected = staged_texts(scores.where(F.col("score") < LEAST_QUALITY).select("id.id", "id.digest").distinct(), "pipeline-rejected")
+    return matching(docs, {"id": docs["doc_id"], "digest": digest}, rejected, "left_anti")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
