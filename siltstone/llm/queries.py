@@ -35,7 +35,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('17:' || coalesce(doc_id::varchar, '')) as ticket
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('17:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as ticket
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, source) - 1) % 3 as turn from d group by source

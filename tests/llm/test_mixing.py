@@ -37,7 +37,7 @@ def brute_targets(sizes: dict, share=1.5, most=2.0):
 
 def test_targets_nulls_and_repeats(spark):
     rows = [(i, " ".join(["w"] * (i % 7 + 1)), "abc"[i % 3], "clash") for i in range(60)] + [(60, None, "a", None), (61, "x y", None, None), (None, "q", "b", None), (3, " \t\n", "b", None), (5, "w w w w w w", "c", "clash"), (5, "w w w w w w", "c", "clash")]
-    got = mix(docs(spark, rows)).select("row.*", "taken", "target", "source_size", "positions").collect()
+    got = mix(docs(spark, rows), keep=["doc_id", "text", "source", "size"]).select("row.*", "taken", "target", "source_size", "positions").collect()
     sizes: dict = defaultdict(int)
     for _, text, source, _ in rows:
         sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
@@ -57,7 +57,7 @@ def test_positions_follow_the_schedule(spark):
     rows = [(i, "w " * 10, "a", None) for i in range(400)] + [(i, "w " * 10, "b", None) for i in range(400, 800)]
     curriculum = (((0.0, 2.0), (1.0, 0.0)), ((0.0, 0.0), (1.0, 2.0)))
     assert [integral(s) for s in curriculum] == [1.0, 1.0]
-    got = mix(docs(spark, rows), curriculum, share=1.0, max_repeat=1).select("row.source", "positions").collect()
+    got = mix(docs(spark, rows), curriculum, share=1.0, max_repeat=1, keep=["source"]).select("row.source", "positions").collect()
     early = [p for r in got if r.source == "a" for p in r.positions if p < 0.5]
     late = [p for r in got if r.source == "b" for p in r.positions if p < 0.5]
     assert len(early) == pytest.approx(300, abs=3) and len(late) == pytest.approx(100, abs=3)
@@ -73,3 +73,33 @@ def test_documents_repeat_whole_and_empty_table(spark):
         counts[r.doc_id] += 1
     assert set(counts.values()) <= {1, 2}
     assert mixed_documents(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "23"])
+def test_documents_come_at_their_positions(spark, parts):
+    """Whole documents in training order, over partitions too, are the copies that mix() places, sorted."""
+    rows = [(i, "w " * (i * 7 % 40 + 1), "abcd"[min(3, i * i % 7)], f"k{i}") for i in range(700)] + [(None, f"n {i}", "a", "null id") for i in range(50)] + [(8, f"again {i}", "b", "id 8") for i in range(50)] + [(900, None, "a", None)]
+    df = docs(spark, rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = [(r.doc_id, r.text, r.source, r.size) for r in mixed_documents(df.repartition(3)).collect()]
+        placed = mix(df, keep=["doc_id", "text", "source", "size"]).selectExpr("row.*", "size as words", "copies", "positions", "ticket").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = []
+    for r in placed:
+        taken = [c for c in r.copies if c > 0]
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        want += [((p, r.ticket), (r.doc_id, r.text, r.source, r["size"])) for c, p in zip(taken, r.positions, strict=True) if 2 * c >= words]
+    assert got == [w for _, w in sorted(want, key=lambda w: w[0])]
+
+
+def test_reruns_agree_without_identifiers(spark):
+    """Rows that share an identifier or have none are taken alike however the table is partitioned, and spread."""
+    rows = [(None, t, "s", None) for t in ("a b c", "d e f", "g h i")] + [(7, t, "s", None) for t in ("j k l", "m n o")] + [(1, "x " * 5, "t", None)]
+    runs = []
+    for n in (1, 2, 3):
+        got = mix(docs(spark, rows).repartition(n), keep=["doc_id", "text"]).select("row.*", "taken", "positions", "ticket").collect()
+        runs.append(sorted(map(str, got)))
+    assert runs[0] == runs[1] == runs[2] and len({r.ticket[:2] for r in got}) > 1
