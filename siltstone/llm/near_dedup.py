@@ -9,12 +9,15 @@ Jaccard similarity at least as well as with independent minimum hashes.
 Documents with one shingle set are a class and take part once. Classes that agree on a whole band share a
 bucket. In each bucket all members are first checked against one hub, then, for buckets whose members are
 not in one component yet, against further hubs: so a large group of near copies costs a few checks a
-member. Buckets that still hold several components are compared completely, in square blocks of bounded
-size, leaving out pairs within a component. Every link is confirmed on the full shingle sets.
+member. Buckets that still hold several components are compared completely, leaving out pairs within a
+component: members are sorted into classes by size, a step of the limit wide, as sets of further apart sizes
+can't be linked; each class is dealt into blocks bounded in members and in bytes, and blocks of one class or of
+neighbouring ones meet in squares. Every link is confirmed on the full shingle sets.
 
 The limit of similarity is a parameter. Bands and the estimate that a compared pair needs follow from it: a
 pair at the limit shares no bucket with probability 5e-7 at most, and the estimate is 4.8 standard deviations
-below the limit. At 0.85 that is 25 bands of 5 and 87 of 125 coordinates, at 0.80 37 bands and 121 of 185.
+below the limit, which a pair at the limit misses with some 4e-6. At 0.85 that is 25 bands of 5 and 87 of 125
+coordinates, at 0.80 37 bands and 121 of 185.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks
@@ -69,8 +72,8 @@ class Limit:
 
 DEFAULT = Limit(85)
 
-#: Rounds with one hub a bucket; members of a block of a compared bucket; bytes of text at once.
-HUB_ROUNDS, SQUARE, BLOCK = 2, 200, 2 << 20
+#: Rounds with one hub a bucket; members of a block of a compared bucket, and bytes of their sets; bytes of text at once.
+HUB_ROUNDS, SQUARE, SQUARE_BYTES, BLOCK = 2, 500, 4 << 20, 2 << 20
 
 U = np.uint64
 
@@ -241,21 +244,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+#: What names a square: the bucket, the class of its left block, whether the right one is of the next class, and the blocks.
+SIDES = ("key", "class", "up", "i", "j")
+
+
 def _sides(t: pa.Table, limit: Limit) -> tuple[np.ndarray, ...]:
     """Of a square: the rows of its two blocks, sizes of the sets, components as numbers, and which rows may pair."""
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    own, size = t["own"].to_numpy(), t["n"].to_numpy()
+    itself = not t["up"][0].as_py() and t["i"][0].as_py() == t["j"][0].as_py()
+    side, size = t["side"].to_numpy(), t["n"].to_numpy()
     comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    left = np.flatnonzero(side == 0)
+    right = left if itself else np.flatnonzero(side == 1)
     a, b = size[left][:, None], size[right][None, :]
     may = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * limit.least)
-    return left, right, size, comp, may & (left[:, None] < right[None, :]) if i == j else may
+    return left, right, size, comp, may & (left[:, None] < right[None, :]) if itself else may
 
 
 def hopeful(batches: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
     """The rows of each square that agree on enough coordinates with a row of another component in the
     other block, in a bucket of the first band that the two share."""
-    for t in runs(released(batches), ("key", "i", "j")):
+    for t in runs(released(batches), SIDES):
         left, right, _, _, may = _sides(t, limit)
         if may.any():
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, limit.slots)
@@ -269,8 +277,9 @@ def hopeful(batches: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.Reco
             yield from t.drop_columns(["sketch", "band"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
-def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
-    """The sizes of all intersections of two lists of sets, as products of 0/1 matrices of `width` columns."""
+def common(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, as products of 0/1 matrices of up to `cells` entries."""
+    width = max(64, cells // (len(left) + len(right)))
     sizes = np.fromiter(map(len, left + right), dtype=np.int64, count=len(left) + len(right))
     values, column = np.unique(np.concatenate(left + right), return_inverse=True)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -288,7 +297,7 @@ def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14
 def linked(batches: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between components in each square, by the full sets; of links that join the same
     components, one each."""
-    for t in runs(released(batches), ("key", "i", "j")):
+    for t in runs(released(batches), SIDES):
         left, right, size, comp, may = _sides(t, limit)
         if not may.any():
             continue
@@ -302,20 +311,43 @@ def linked(batches: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([node.take(pa.array(x[one])), node.take(pa.array(y[one]))], names=["a", "b"])
 
 
+def size_class(n: Column, limit: Limit) -> Column:
+    """Sets whose classes differ by more than one are too unlike in size to be linked."""
+    if limit.least == 100:
+        return n.cast("int") * 2  # only equal sizes meet
+    return F.floor(F.log(n.cast("double")) / (-math.log(limit.least / 100) * (1 + 1e-9))).cast("int")
+
+
+def dealt(rows: DataFrame, limit: Limit) -> DataFrame:
+    """The rows (key, node, n and others) of compared buckets, once for each square that they take part in, with its
+    name (SIDES) and their side of it."""
+    rows = stage(rows.withColumn("class", size_class(F.col("n"), limit)), "near-open")
+    most = F.greatest(F.ceil(F.count(F.lit(1)) / SQUARE), F.ceil(F.sum("n") * 8 / SQUARE_BYTES)).cast("int")
+    counts = stage(rows.groupBy("key", "class").agg(most.alias("blocks"), F.count(F.lit(1)).alias("members")), "near-blocks")
+    near = counts.select("key", "class", "blocks", "members")
+    for name, shift in (("up", -1), ("down", 1)):
+        near = near.join(checked_small(counts).select("key", (F.col("class") + shift).alias("class"), F.col("blocks").alias(f"blocks_{name}")), ["key", "class"], "left")
+    rows = rows.join(checked_small(stage(near, "near-classes-met")), ["key", "class"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int"))
+    row = lambda c, up, i, j, side: F.struct(c.alias("class"), F.lit(up).alias("up"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own, c = F.col("own"), F.col("class")
+    same = F.transform(numbers(F.when(F.col("members") > 1, F.col("blocks")).otherwise(0)), lambda j: row(c, 0, F.least(own, j), F.greatest(own, j), own > j))
+    up = F.transform(numbers(F.coalesce("blocks_up", F.lit(0))), lambda j: row(c, 1, own, j, F.lit(0)))
+    down = F.transform(numbers(F.coalesce("blocks_down", F.lit(0))), lambda i: row(c - 1, 1, i, own, F.lit(1)))
+    out = rows.withColumn("square", F.explode(F.concat(same, up, down)))
+    return out.drop("class", "blocks", "members", "blocks_up", "blocks_down", "own").select("*", "square.*").drop("square")
+
+
 def squares(open_: DataFrame, classes: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
-    """The links (a, b) between different components within a bucket. A bucket is dealt into blocks of about
-    SQUARE members, and every two of its blocks meet in one task: first with their sketches, which leaves
-    the members that may have a partner there; then these with their full sets."""
-    n = F.ceil(F.col("m") / SQUARE).cast("int")
-    rows = open_.join(checked_small(classes).select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch", "band")
+    """The links (a, b) between different components within a bucket. In each square first the sketches leave the
+    members that may have a partner there; then these are compared with their full sets."""
+    rows = open_.select("key", "band", "node", "comp").join(checked_small(classes).select("node", "n", "sketch"), "node")
+    rows = dealt(rows, limit).select(*SIDES, "side", "node", "comp", "n", "sketch", "band")
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    square = ["key", "i", "j"]
-    kept = "key long, i int, j int, own int, node binary, comp binary, n long"
-    some = stage(rows.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(partial(hopeful, limit=limit), kept), "near-hopeful")
+    kept = "key long, class int, up int, i int, j int, side int, node binary, comp binary, n long"
+    some = stage(rows.repartition(parts, *SIDES).sortWithinPartitions(*SIDES).mapInArrow(partial(hopeful, limit=limit), kept), "near-hopeful")
     full = some.join(sets, "node").select(*some.columns, "set")
-    return stage(full.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(partial(linked, limit=limit), "a binary, b binary"), "near-links")
+    return staged_texts(full.repartition(parts, *SIDES).sortWithinPartitions(*SIDES).mapInArrow(partial(linked, limit=limit), "a binary, b binary"), "near-links")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = DEFAULT.least) -> DataFrame:

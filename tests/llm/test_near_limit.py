@@ -74,3 +74,37 @@ def test_what_follows_from_the_limit():
     for bad in (0, 101):
         with pytest.raises(ValueError):
             near_dedup.Limit(bad)
+
+
+@pytest.mark.parametrize(("least", "square", "room"), [(85, 4, 1 << 20), (80, 500, 4000), (100, 3, 1 << 20)])
+def test_squares_of_size_classes(spark, monkeypatch, least, square, room):
+    """Prefixes of one text: sizes over several classes, links across neighbouring ones, blocks bounded in bytes."""
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "SQUARE", square)
+    monkeypatch.setattr(near_dedup, "SQUARE_BYTES", room)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(70):
+        text = base[: rng.randrange(60, 400)]
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    sets, want = [shingles(t) for _, t in rows], list(range(70))
+    for a in range(70):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = want[a], want[b]
+                want = [min(x, y) if c in (x, y) else c for c in want]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA), least=least)
+    assert {r.id: r.component for r in got.collect()} == dict(enumerate(want))
+
+
+def test_classes_of_sizes_that_may_link(spark):
+    from pyspark.sql import functions as F
+
+    for least in (80, 85):
+        limit = near_dedup.Limit(least)
+        pairs = spark.range(1, 3000).select(F.col("id").alias("a"), F.floor(F.col("id") * 100 / least).alias("b"))
+        gap = pairs.select(near_dedup.size_class(F.col("b"), limit) - near_dedup.size_class(F.col("a"), limit))
+        assert {r[0] for r in gap.distinct().collect()} <= {0, 1}
