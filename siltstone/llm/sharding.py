@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .shared import new_folder, stage
 
-#: Bytes of text that one bucket should hold.
-BUCKET_BYTES = 24 << 20
+#: Bytes of text that one bucket should hold; tasks of the second pass at most.
+BUCKET_BYTES, TASKS = 24 << 20, 50_000
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -47,7 +47,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 29, bu
     shard, grown_shard, slot.
 
     A null identifier is hashed as such. Rows of one identifier go to one shard and are spread over its
-    buckets by their text. A null text has no bytes. An empty table gives empty shards.
+    buckets by their text; rows alike in both share a bucket, as do all bytes of one text, however long. A null
+    text has no bytes. Columns of docs may have any name. An empty table gives empty shards.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
@@ -59,7 +60,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 29, bu
         F.pmod(spread, F.lit(buckets)).cast("int").alias("_bucket"), F.xxhash64(docs[id_col], text_hash, F.lit(seed + 2)).alias("_tie"),
     )
     schema = T.StructType([*scattered.schema.fields, T.StructField("_place", T.LongType())])
-    shuffled = scattered.groupBy("_shard", "_bucket").applyInArrow(_fisher_yates(seed), schema)
+    tasks = min(TASKS, buckets * shards)  # a task holds one bucket at a time
+    shuffled = scattered.repartition(tasks, "_shard", "_bucket").groupBy("_shard", "_bucket").applyInArrow(_fisher_yates(seed), schema)
     shuffled.drop("_tie").write.parquet(path)
     written = docs.sparkSession.read.schema(shuffled.drop("_tie").schema).parquet(path)
     counts = written.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -69,4 +71,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 29, bu
 
 
 def sharded(docs: DataFrame, **how) -> DataFrame:
+    """write_shards() into a new folder of the shared ones; nulls, repeated rows and empty tables as there."""
     return write_shards(docs, new_folder(docs.sparkSession, "shards"), **how)

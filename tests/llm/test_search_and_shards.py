@@ -127,3 +127,46 @@ def test_topk_ships_what_bounds_leave(spark, monkeypatch):
         shares[name] = plan.sent(data).count() / (len(rows) * 15)  # 30 queries
         assert {tuple(r) for r in top_k(df, F.col("id") % 100 == 0).collect()} == brute_hits(rows)
     assert shares["clustered"] < 0.3 and shares["spread"] <= 1
+
+
+def rendezvous(doc_id, shards, seed=29):
+    """The shard by hand: Spark chains the hash of each value as the seed of the next, from 42."""
+    import struct
+
+    import xxhash
+
+    def weight(s):
+        h = 42
+        for kind, value in (("<q", doc_id), ("<i", s), ("<i", seed)):
+            h = h if value is None else xxhash.xxh64_intdigest(struct.pack(kind, value), h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    return max(range(shards), key=lambda s: (weight(s), s))
+
+
+def test_shards_equal_brute_force_and_nine_shards(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    eight = {r.doc_id: (r.shard, r.grown_shard) for r in sharded(docs, shards=8).select("row.doc_id", "shard", "grown_shard").collect()}
+    nine = {r.doc_id: r.shard for r in sharded(docs, shards=9).select("row.doc_id", "shard").collect()}
+    assert eight == {d: (rendezvous(d, 8), rendezvous(d, 9)) for d in eight} and nine == {d: g for d, (_, g) in eight.items()}
+
+
+def test_shards_are_a_fisher_yates_order_of_each_bucket(spark):
+    """The order within a bucket is a shuffle of the rows in the order of their tie hashes."""
+    import numpy as np
+
+    from siltstone.llm.sharding import new_folder, write_shards
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    path = new_folder(spark, "test-shards")
+    write_shards(docs, path, shards=2, bucket_bytes=1000)
+    written = spark.read.parquet(path).withColumn("tie", F.xxhash64("row.doc_id", F.xxhash64("row.text"), F.lit(31))).collect()
+    buckets = defaultdict(list)
+    for r in written:
+        buckets[r._shard, r._bucket].append(r)
+    assert len(buckets) > 4
+    for (shard, number), rows in buckets.items():
+        order = np.arange(len(rows))
+        np.random.default_rng([29, shard, number]).shuffle(order)
+        ties = sorted(r.tie for r in rows)
+        assert [r.tie for r in sorted(rows, key=lambda r: r._place)] == [ties[i] for i in order]
