@@ -1,9 +1,14 @@
 """Main text of HTML pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks of text. A classifier gives each block the log-odds of being content; its costs
-are the capacities to the two terminals. Smoothness edges join neighbouring blocks and blocks that follow
-each other under one parent, with a capacity that halves with each step of distance in the tree. The
-maximum flow leaves a cut of least cost, and the blocks on the source's side are the main text.
+A page is cut into blocks of text. A logistic classifier gives each block the log-odds of being content; its
+costs are the capacities to the two terminals. Smoothness edges join neighbouring blocks and blocks that follow
+each other under one parent, with a capacity that halves with each step of distance in the tree. The maximum
+flow leaves a cut of least cost, and the blocks on the source's side are the main text.
+
+The classifier learns from pages of the table that mark one article or main element: the blocks in it are
+content, the others are not. The mark itself is hidden while it learns, so that it knows content by its length,
+links, place and end also where pages mark nothing. It starts from prior weights, and the evidence is scaled to a
+fixed number of blocks, so that pages of one make move them only so far.
 """
 
 from __future__ import annotations
@@ -11,24 +16,28 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches, stage
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+#: A comment, a tag or a declaration. A quote counts only after an equals sign, so that an apostrophe in a bare value does not.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>|<[!?][^>]*>", re.S)
 HINT = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+UNSEEN = re.compile(r"""(?<![\w-])hidden(?![\w-])(?!\s*=\s*["']?until-found)|(?<![\w-])style\s*=\s*(?:"[^"]*|'[^']*)(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 WORD = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements of HTML by the part that they play here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MATH = frozenset("math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
-HIDDEN = frozenset("script style head title noscript template iframe svg annotation annotation-xml object canvas audio video select button textarea option datalist input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
+HIDDEN = frozenset("script style head title noscript template iframe svg annotation annotation-xml canvas audio video select button textarea option datalist input".split())
 RAW = frozenset("script style textarea title".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,22 +49,35 @@ FRAME_HINTS = frozenset(
     " notification overlay pagination popup privacy promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 NEGATIONS = frozenset("has no with without".split())
+STATES = frozenset("enabled disabled open closed on off active inactive visible true false count none".split())
 SURE_IDS = frozenset("comments disqus newsletter replies respond sidebar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
-#: Weights of the block classifier (log-odds of content) and of the smoothness edges.
-BIAS, IN_CONTENT, IN_FRAME, LINKED, LINKED_IN_CONTENT, PER_LOG_WORD, HEADING, SENTENCE = -1.5, 4.0, -7.0, -4.0, -2.0, 0.7, 0.6, 0.6
+#: Prior weights of the classifier (log-odds of content): bias, the log of the number of words (up to 5), the share of
+#: linked text, headings, blocks that end like a sentence, frame. Then those of the mark, which are not learnt.
+PRIOR = (-1.5, 0.7, -4.0, 1.2, 0.6, -7.0)
+IN_CONTENT, LINKED_IN_CONTENT = 4.0, -2.0
+
+#: What pages that mark their content are counted by.
+KINDS = ("words", "linked", "heading", "ends", "frame")
+
+#: Pages that the classifier learns from at most; blocks that their evidence counts as; variance of a prior weight.
+SAMPLE, EVIDENCE, VARIANCE = 2_000, 200.0, 1.0
+
+#: Capacity of a smoothness edge between blocks of one element.
 SMOOTH = 1.6
 
 
 @dataclass(slots=True)
 class Node:
-    """An open element: its parent, depth, and what it says of the text below it. A frame is fixed if an
-    element for frames made it, and not a hint or a form, which may wrap the whole page."""
+    """An open element: its parent, depth, the nearest element at or above it that is not inline, and what it says of
+    the text below it. A frame is fixed if an element for frames made it, and not a hint or a form, which may wrap
+    the whole page."""
 
     tag: str
     parent: Node | None
     depth: int
+    base: Node | None
     content: bool
     frame: bool
     fixed: bool
@@ -73,7 +95,7 @@ class Block:
 
 def _hinted(tag: str, attributes: str, content: bool) -> bool:
     """Whether an attribute calls the element frame. What follows has, no or with in a token tells of
-    something elsewhere. Of article and main only the first word of a token counts, as the others are
+    something elsewhere, and a token that ends in a state (comments-open) of how the page is. Of article and main only the first word of a token counts, as the others are
     topics (tag-privacy); an id below them is there to link to, unless it is sure."""
     for m in HINT.finditer(attributes):
         tokens = (m[2] or m[3] or m[4] or "").lower().split()
@@ -83,6 +105,8 @@ def _hinted(tag: str, attributes: str, content: bool) -> bool:
             continue
         for token in tokens:
             words = WORD.findall(token)
+            if len(words) > 1 and words[-1] in STATES:
+                continue
             for w in words[:1] if tag in CONTENT_TAGS else words:
                 if w in NEGATIONS:
                     break
@@ -97,27 +121,45 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
     frame = fixed or tag == "form" or (parent.frame and not holds)
     if attributes and not frame and tag not in ("html", "body"):
         frame = _hinted(tag, attributes, parent.content)
-    return Node(tag, parent, parent.depth + 1, parent.content or tag in CONTENT_TAGS, frame, fixed, parent.hidden or tag in HIDDEN, parent.linked or tag == "a")
+    hidden = parent.hidden or tag in HIDDEN or bool(attributes and _unseen(attributes))
+    node = Node(tag, parent, parent.depth + 1, parent.base, parent.content or tag in CONTENT_TAGS, frame, fixed, hidden, parent.linked or tag == "a")
+    if tag not in INLINE:
+        node.base = node
+    return node
+
+
+def _unseen(attributes: str) -> bool:
+    """Whether the element is hidden by its attribute or its style."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    return any(m[0].lower().startswith("style") or not any(q.start() < m.start() < q.end() for q in QUOTED.finditer(attributes)) for m in UNSEEN.finditer(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of visible text in page order: runs of text that no block element interrupts."""
-    root = Node("", None, 0, False, False, False, False, False)
+    root = Node("", None, 0, None, False, False, False, False, False)
+    root.base = root
     node, done, here = root, [], None
     at, end = 0, len(page)
+    opened: dict[str, int] = {}
 
     def say(text: str) -> None:
         nonlocal here
         if not node.hidden:
             if here is None:
-                owner = node
-                while owner.tag in INLINE:
-                    owner = owner.parent
-                here = Block(owner)
+                here = Block(node.base)
             here.parts.append(text)
             if node.linked:
                 here.linked += len(text)
 
+    def leave(found: Node) -> None:
+        """Close the open elements up to and with found."""
+        nonlocal node
+        while node is not found.parent:
+            opened[node.tag] -= 1
+            node = node.parent
+
     def stop() -> None:
         nonlocal here
         if here is not None:
@@ -141,25 +183,23 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             say(" ")
         if m[1]:
-            found = node
-            while found is not root and found.tag != tag:
-                found = found.parent
-            if found is not root:
-                node = found.parent
+            if opened.get(tag):
+                found = node
+                while found.tag != tag:
+                    found = found.parent
+                leave(found)
             continue
         if tag not in INLINE:
-            shut = CLOSED_BY_BLOCK if tag not in SIBLINGS else SIBLINGS[tag]
-            found = node
-            while found is not root and (found.tag in INLINE or found.tag in shut):
-                if found.tag in shut:
-                    node = found.parent
-                found = found.parent
-        if tag in VOID or m[0].endswith("/>"):
+            shut = SIBLINGS.get(tag, CLOSED_BY_BLOCK)
+            while node.base.tag in shut:
+                leave(node.base)
+        if tag in VOID or (m[3].endswith("/") and (tag in MATH or tag == "svg" or node.tag in MATH)):
             continue
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(page, at)
             at = close.start() if close else end
         node = _opened(tag, m[3], node)
+        opened[tag] = opened.get(tag, 0) + 1
     stop()
     for b in done:
         text = "".join(b.parts)
@@ -167,19 +207,18 @@ def blocks(page: str) -> list[Block]:
     return [b for b in done if b.text]
 
 
-def log_odds(block: Block) -> float:
-    words = block.text.count(" ") + 1
-    node = block.node
-    score = BIAS + PER_LOG_WORD * min(math.log1p(words), 5.0) + (LINKED_IN_CONTENT if node.content else LINKED) * min(1.0, block.linked / max(len(block.text), 1))
-    if node.content:
-        score += IN_CONTENT
-    if node.frame:
-        score += IN_FRAME
-    if len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit():
-        score += HEADING
-    if block.text[-1] in ".!?:;\"'”»…":
-        score += SENTENCE
-    return score
+def features(block: Block, hints: bool = True) -> tuple[float, ...]:
+    """What PRIOR weighs. Without hints only elements for frames make a frame."""
+    words, tag = block.text.count(" ") + 1, block.node.tag
+    heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+    frame = block.node.frame if hints else block.node.fixed
+    return 1.0, min(math.log1p(words), 5.0), min(1.0, block.linked / max(len(block.text), 1)), float(heading), float(block.text[-1] in ".!?:;\"'”»…"), float(frame)
+
+
+def log_odds(block: Block, weights: Sequence[float] = PRIOR, hints: bool = True) -> float:
+    x = features(block, hints)
+    score = sum(w * v for w, v in zip(weights, x, strict=True))
+    return score + IN_CONTENT + (LINKED_IN_CONTENT - weights[2]) * x[2] if block.node.content else score
 
 
 def distance(a: Node, b: Node) -> int:
@@ -194,9 +233,10 @@ def distance(a: Node, b: Node) -> int:
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the source's side of a least cut. A node's terminal capacities are the costs
-    of the two labels; the smaller of the two flows at once, so their difference, the log-odds, is left."""
-    n = len(odds)
+    """True for the nodes on the source's side of a least cut. A node's terminal capacities are the costs of the two
+    labels; the smaller of the two flows at once, so their difference, the log-odds, is left. The rest flows along
+    shortest paths, all of one length at a time: as flow stays near where it enters, few lengths occur."""
+    n, least = len(odds), 1e-12
     excess = list(odds)
     to: list[list[int]] = [[] for _ in range(n)]
     head: list[int] = []
@@ -207,39 +247,54 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
         head += (b, a)
         room += (c, c)
     while True:
-        came = [-2] * n
-        queue = deque(i for i in range(n) if excess[i] > 1e-12)
-        for i in queue:
-            came[i] = -1
-        sink = -1
-        while queue and sink < 0:
-            i = queue.popleft()
-            for e in to[i]:
-                j = head[e]
-                if came[j] == -2 and room[e] > 1e-12:
-                    came[j] = e
-                    if excess[j] < -1e-12:
-                        sink = j
-                        break
-                    queue.append(j)
-        if sink < 0:
-            return [c != -2 for c in came]
-        path, j = [], sink
-        while came[j] != -1:
-            path.append(came[j])
-            j = head[came[j] ^ 1]
-        flow = min(excess[j], -excess[sink], *(room[e] for e in path))
-        excess[j] -= flow
-        excess[sink] += flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
-
-
-def main_text(page: str) -> str:
+        sources = [i for i in range(n) if excess[i] > least]
+        level = [-1] * n
+        for i in sources:
+            level[i] = 0
+        layer, far, met = sources, 0, False
+        while layer and not met:
+            far += 1
+            after = []
+            for i in layer:
+                for e in to[i]:
+                    j = head[e]
+                    if level[j] < 0 and room[e] > least:
+                        level[j] = far
+                        met |= excess[j] < -least
+                        after.append(j)
+            layer = after
+        if not met:
+            return [x >= 0 for x in level]
+        turn = [0] * n
+        for s in sources:
+            path, i = [], s
+            while excess[s] > least:
+                if i != s and excess[i] < -least:
+                    flow = min(excess[s], -excess[i], min(room[e] for e in path))
+                    excess[s] -= flow
+                    excess[i] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, i = [], s
+                    continue
+                way, k = to[i], turn[i]
+                while k < len(way) and not (room[way[k]] > least and level[head[way[k]]] == level[i] + 1):
+                    k += 1
+                turn[i] = k
+                if k < len(way):
+                    path.append(way[k])
+                    i = head[way[k]]
+                elif path:
+                    i = head[path.pop() ^ 1]
+                    turn[i] += 1
+                else:
+                    break
+
+
+def main_text(page: str, weights: Sequence[float] = PRIOR) -> str:
+    """The main text of a page. Where hints alone leave nothing of it, they are wrong, and it is judged without."""
     found = blocks(page)
-    if not found:
-        return ""
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -248,20 +303,78 @@ def main_text(page: str) -> str:
         if before is not None and before < i - 1:
             edges.append((before, i, SMOOTH * 0.5 ** distance(found[before].node, b.node)))
         last[id(b.node.parent)] = i
-    kept = min_cut([log_odds(b) for b in found], edges)
-    return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
+    for hints in (True, False):
+        kept = min_cut([log_odds(b, weights, hints) for b in found], edges)
+        if any(kept):
+            return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
+    return ""
+
+
+MARK = re.compile(r"<(?:article|main)[\s>]", re.I)
+
+
+def evidence(page: str) -> list[tuple[float, ...]]:
+    """The features of the blocks of a page that marks its content once, rounded so that few kinds occur, and
+    whether they are content; nothing of other pages."""
+    if len(MARK.findall(page)) != 1:
+        return []
+    rows = []
+    for b in blocks(page):
+        _, words, linked, heading, ends, frame = features(b)
+        rows.append((round(words * 2) / 2, round(linked * 4) / 4, heading, ends, frame, float(b.node.content and not b.node.frame)))
+    return rows
+
+
+def fitted(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, ...]:
+    """The most likely weights under a normal prior around PRIOR, by Newton's method. Both labels weigh the same."""
+    prior = np.array(PRIOR)
+    if not len(x) or not (counts[y == 1].sum() and counts[y == 0].sum()):
+        return PRIOR
+    share = np.where(y == 1, counts / counts[y == 1].sum(), counts / counts[y == 0].sum()) * min(EVIDENCE, counts.sum()) / 2
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / VARIANCE, x.T @ (share * (y - p)) - (w - prior) / VARIANCE)
+        w = w + step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(v) for v in w)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url and main text of every row of pages. A null page is an empty one; a page without content has
-    an empty text. Null identifiers and URLs pass through; repeated rows come out alike; other columns are
-    not read."""
+def fit(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> tuple[float, ...]:
+    """Weights learnt from up to `sample` pages, those with the smallest seeded hashes of their address or
+    identifier and text; PRIOR if none of them marks its content. The tasks send counts of kinds of blocks, some
+    thousand rows whatever the pages hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*KINDS, "content"]
+        for batch in batches:
+            rows = [r for page in batch.column(0).to_pylist() for r in evidence(page)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.float64()) for c in zip(*rows, strict=True)] or [pa.array([], type=pa.float64())] * len(names), names=names)
+
+    html_ = F.coalesce(pages[html_col], F.lit(""))
+    keyed = pages.select(F.xxhash64(pages[id_col], html_, F.lit(37)).alias("h"), html_.alias("html"))
+    least = stage(keyed.select("h").distinct().orderBy("h").limit(sample), "html-sample")  # at most `sample` numbers
+    chosen = keyed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).select("html")
+    with small_batches(pages.sparkSession):
+        kinds = chosen.mapInArrow(run, ", ".join(f"{k} double" for k in (*KINDS, "content"))).groupBy(*KINDS, "content").count().collect()
+    kinds = sorted(kinds, key=tuple)
+    x = np.array([[1.0, *(r[k] for k in KINDS)] for r in kinds]).reshape(len(kinds), len(PRIOR))
+    return fitted(x, np.array([r["content"] for r in kinds]), np.array([r["count"] for r in kinds], dtype=float))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Sequence[float] | None = None) -> DataFrame:
+    """id, url and main text of every row of pages, by a classifier learnt from them unless its weights are given. A
+    null page is an empty one; a page without content has an empty text; pages of any length are read whole. Null
+    identifiers and URLs pass through; repeated rows come out alike; other columns are not read. Run it in
+    shared.small_batches() where pages are long."""
+    weights = fit(pages, id_col=id_col, html_col=html_col) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = [main_text(h) for h in part.column(2).to_pylist()]
+                texts = [main_text(h, weights) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, type=pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()

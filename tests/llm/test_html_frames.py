@@ -41,3 +41,88 @@ def test_frames_in_and_after_an_article_go(part):
     part = part.format("Great post, I enjoyed reading this very much, thank you.")
     assert main_text(f"<main><p>{LONG}<p>{LONG}{part}</main>").split("\n") == [LONG, LONG]
     assert main_text(f"<article><p>{LONG}<p>{LONG}</article>{part}").split("\n") == [LONG, LONG]
+
+
+@pytest.mark.parametrize("wrapped", ["<article class='post share-enabled comments-open'>{}</article>", "<div class='search-results'>{}</div>", "<form class='search'>{}</form>", "<div class='widget'><div class='comments'>{}</div></div>"])
+def test_hints_alone_do_not_empty_a_page(wrapped):
+    page = f"<body>{NAV}{wrapped.format(f'<h1>Title</h1><p>{LONG}<p>{LONG}')}<footer>Imprint of the site, all rights reserved.</footer>"
+    assert main_text(page).split("\n") == ["Title", LONG, LONG]
+
+
+def test_raw_and_void_elements():
+    page = f"<main><p>{LONG}<script src='a.js'/>var leak = 1;</script><style/>p{{}}</style><p>a <math><mspace/><mi>x</mi></math> and <br/>b of it, in a sentence.<p><object data=x>Shown instead of the object, here.</object></main>"
+    assert main_text(page).split("\n") == [LONG, "a x and b of it, in a sentence.", "Shown instead of the object, here."]
+
+
+@pytest.mark.parametrize("hide", ["hidden", 'hidden=""', "HIDDEN class=a", 'style="color:red; display: none"', "style='visibility:hidden'"])
+def test_hidden_nodes_go(hide):
+    assert main_text(f"<main><p>{LONG}<div {hide}><p>{LONG} Not seen.</div><p>{LONG}</main>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("shown", ["aria-hidden=false", "class=hidden-xs", 'class="hidden"', 'style="overflow:hidden"', 'title="style=display:none"'])
+def test_nodes_that_only_sound_hidden_stay(shown):
+    assert main_text(f"<main><p>{LONG}<div {shown}><p>{LONG}</div></main>") == f"{LONG}\n{LONG}"
+
+
+def test_apostrophes_in_bare_values_and_open_tags():
+    assert main_text(f"<main><p title=it's>{LONG}<p>Don't stop, it's a sentence.</main>").split("\n") == [LONG, "Don't stop, it's a sentence."]
+
+
+@pytest.mark.parametrize("shape", ["flat", "deep", "inline"])
+def test_large_pages_take_little_time(shape):
+    import random
+    import time
+
+    rng = random.Random(1)
+    words = LONG.split()
+    if shape == "flat":
+        body = "".join(rng.choice([f"<p>{' '.join(words[: rng.randrange(1, 18)])}</p>", "<div><a href=x>link text</a></div>"]) for _ in range(8000))
+    elif shape == "deep":
+        body = "<div>" * 8000 + LONG + "</div>" * 8000
+    else:
+        body = "<div><b>" * 4000 + f"<p>{LONG}</u></p>" * 8000
+    began = time.process_time()
+    main_text(f"<body>{body}")
+    assert time.process_time() - began < 1
+
+
+def bare(page):
+    return page.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_pages_without_marks_by_what_marked_ones_teach(spark):
+    """Learnt from half of the pages; the others have no article element, and their paragraphs are known."""
+    import html
+    import re
+
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.html_extraction import extract, fit
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    weights = fit(pages.where("page_id % 2 = 0"))
+    held = pages.where("page_id % 2 = 1").collect()
+    rows = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in held], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(rows, weights=weights).collect()}
+    right = 0
+    for r in held:
+        body = re.split(r"</div>|<footer", bare(r.html).split("</div>", 1)[1].split("<div>", 1)[1])[0]
+        parts = [" ".join(html.unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        right += got[r.page_id] == "\n".join(x for x in parts if x)
+    assert right >= 0.98 * len(held)
+    assert fit(rows) == fit(rows.limit(0)) and fit(pages.withColumn("html", F.lit(None).cast("string"))) == fit(rows)
+
+
+def test_fitted_weights_are_the_most_likely():
+    """The gradient of log-likelihood and prior is zero, by differences."""
+    import numpy as np
+
+    from siltstone.llm.html_extraction import EVIDENCE, PRIOR, VARIANCE, fitted
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([np.ones(60), rng.uniform(0, 5, 60), rng.uniform(0, 1, 60), rng.integers(0, 2, (60, 3))])
+    y, n = (rng.random(60) < x[:, 1] / 5).astype(float), rng.integers(1, 90, 60).astype(float)
+    share = np.where(y == 1, n / n[y == 1].sum(), n / n[y == 0].sum()) * EVIDENCE / 2
+    value = lambda w: (share * (y * (x @ w) - np.logaddexp(0, x @ w))).sum() - ((w - np.array(PRIOR)) ** 2).sum() / 2 / VARIANCE
+    w = np.array(fitted(x, y, n))
+    assert all(abs(value(w + d) - value(w - d)) < 1e-6 for d in np.eye(6) * 1e-4)
