@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, matching, new_folder, stage
+from .shared import ascii_lower, checked_small, matching, new_folder, stage
 
 #: Triggers that a table is streamed in: each but the first meets state.
 TRIGGERS = 4
@@ -62,7 +62,7 @@ def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> Da
 
 
 def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest and bytes of the normalised text, and the locator (file, row) of every row of docs. Rows that are
+    """id, normalised text and its digest, and the locator (file, row) of every row of docs. Rows that are
     not read from Parquet files, and so have no locator, are written to some first."""
     place = lambda df: (df.metadataColumn("_metadata")["file_path"].alias("file"), df.metadataColumn("_metadata")["row_index"].alias("row"))
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -73,7 +73,7 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         plain = stage(plain, "dedup-content")
         rows = plain.select("id", "text", *place(plain))
     text = normalised(F.col("text"))
-    return rows.select("id", F.sha2(text, 256).alias("digest"), F.encode(text, "utf-8").alias("bytes"), "file", "row")
+    return rows.select("id", text.alias("text"), "file", "row").withColumn("digest", F.sha2("text", 256))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -82,16 +82,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int
     entries = stage(rows.select("id", "digest", "file", "row"), "dedup-entries")
     state = stream_state(entries, files_per_trigger)
 
-    # Full bytes of the hits. Copies meet in the task that reads them, so that a large group sends one row from each.
+    # Full bytes of the hits: those at the retained locator are the content of a digest, other bytes are unequal to it.
+    # Copies meet in the task that reads them, so that a large group sends one row from each.
     hits = stage(state.where("n > 1").select("digest", "file", "row"), "dedup-hits")
-    content = matching(rows, {"digest": rows["digest"], "file": rows["file"], "row": rows["row"]}, hits, "left_semi").select("digest", F.col("bytes").alias("content")).distinct()
-    texts = matching(rows, {"digest": rows["digest"]}, hits, "left_semi").select("digest", "bytes").distinct()
-    unequal = stage(texts.join(content, "digest").where("bytes != content").select("digest").distinct(), "dedup-unequal")
+    place = checked_small(hits).select("digest", F.struct("file", "row").alias("content"))
+    texts = matching(rows, {"digest": rows["digest"]}, hits, "left_semi").join(place, "digest").select("digest", F.encode("text", "utf-8").alias("bytes"), (F.struct("file", "row") == F.col("content")).alias("here"))
+    unequal = stage(texts.groupBy("digest", "bytes").agg(F.max("here").alias("here")).where("not here").select("digest").distinct(), "dedup-unequal")
     groups = entries.select("id", "digest").join(state.select("digest", "keep", "n"), "digest")
     if unequal.isEmpty():
         return entries, groups
     # Digests that stand for several texts: group these rows by the bytes themselves.
-    odd = stage(matching(rows, {"digest": rows["digest"]}, unequal, "left_semi").select("id", "digest", "bytes"), "dedup-odd")
+    odd = stage(matching(rows, {"digest": rows["digest"]}, unequal, "left_semi").select("id", "digest", F.encode("text", "utf-8").alias("bytes")), "dedup-odd")
     by_text = odd.groupBy("digest", "bytes").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     split = odd.join(by_text, ["digest", "bytes"]).select("digest", "id", "keep", "n")
     return entries, groups.join(unequal, "digest", "left_anti").unionByName(split)
