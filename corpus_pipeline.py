@@ -12,8 +12,8 @@ from siltstone.llm.shared import matching, stage, staged_texts, table
 #: A document goes if the probability that its quality is good is below this.
 LEAST_QUALITY = 0.5
 
-#: Documents are near copies from this similarity on, in hundredths; tests/llm/test_pipeline.py has the same.
-LEAST_SIMILARITY = 85
+#: Documents are near copies from this similarity on, in hundredths.
+LEAST_SIMILARITY = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole texts encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Whole texts encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256. The rows are written once, as
+    the batches that Python gets of the texts are small only while they are."""
     return encoded_and_decoded(docs)
 
 
