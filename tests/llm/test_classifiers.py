@@ -53,3 +53,114 @@ def test_pieces_of_a_long_text_agree():
     text = " ".join(f"w{i % 777}" for i in range(150_000))
     word, _, _ = quality.tokens([text], known)
     assert np.allclose(quality.pooled(["a", text, ""], known, vectors, index)[1, : quality.WIDTH], vectors[word].mean(axis=0), atol=1e-3)
+
+
+def test_ftrl_equals_a_plain_one():
+    """One example at a time with dictionaries, as the method is published."""
+    from math import exp, sqrt
+
+    rng = np.random.default_rng(4)
+    how = toxicity.Ftrl(alpha=0.5, beta=1.0, l1=3.0, l2=0.02, passes=3)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 9))) * 1000 for _ in range(80)]
+    labels = np.array([float(len(r) > 0 and r[0] < 9000) for r in rows])
+    got, bias = toxicity._learn(rows, labels, how, seed=5)
+
+    z: dict = {}
+    n: dict = {}
+    rate = min(0.99, max(0.01, labels.mean()))
+    b, b_n = float(np.log(rate / (1 - rate))), 1.0
+    order = np.random.default_rng(5)
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= how.l1 else -(zi - np.sign(zi) * how.l1) / ((how.beta + sqrt(n.get(i, 0.0))) / how.alpha + how.l2)
+
+    for _ in range(how.passes):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[k].tolist()}
+            g = 1 / (1 + exp(-(b + sum(w.values())))) - labels[k]
+            for i, wi in w.items():
+                sigma = (sqrt(n.get(i, 0.0) + g * g) - sqrt(n.get(i, 0.0))) / how.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+            b_n += g * g
+            b -= how.alpha / sqrt(b_n) * g
+    assert abs(bias - b) < 1e-9 and {int(i) for i in np.flatnonzero(got)} == {i for i in z if weight(i)}
+    assert all(abs(got[i] - weight(i)) < 1e-9 for i in z) and 0 < len(np.flatnonzero(got)) < 40
+
+
+def test_features_of_a_text():
+    """Words, neighbours and pairs with one word between, by the hash of each pair."""
+    hashes = toxicity.Hashes()
+    row, found = toxicity.features(["a b c", "", "b c"], hashes)
+    kinds = {r: {int(f) for f in found[row == r]} for r in (0, 1, 2)}
+    assert len(kinds[0]) == 3 + 2 + 1 and not kinds[1] and len(kinds[2]) == 3 and kinds[2] < kinds[0]
+
+
+def test_network_learns_and_its_temperature_is_the_best():
+    """Labels that no line separates, one in ten of them wrong; the temperature has the least loss on rows that training
+    did not see."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)  # no line separates these
+    flip = rng.random(600) < 0.1
+    y[flip] = 1 - y[flip]
+    net = quality.train(x, y)
+    order = np.random.default_rng(3).permutation(600)
+    rest = order[:120]
+    assert np.mean((net.probability(x) > 0.5) == (y > 0)) > 0.75
+    logits = net.logit(x[rest])
+    loss = lambda t: np.mean(np.logaddexp(0, logits / t) - y[rest] * logits / t)
+    assert loss(net.temperature) <= min(loss(t) for t in np.geomspace(0.5, 4.0, 43)) + 1e-12
+    by_hand = [float(sum(np.tanh(np.clip((row - net.mean) / net.scale, -8, 8) @ net.w1[:, j] + net.b1[j]) * net.w2[j] for j in range(quality.HIDDEN)) + net.b2) for row in x[:9]]
+    assert np.allclose(net.logit(x[:9]), by_hand)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from siltstone.llm import labelled
+
+    docs = spark.createDataFrame([(i % 20, "w" * (i % 20 + 1)) for i in range(400)] + [(3, f"other {i}") for i in range(300)] + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1)], "doc_id long, quality int")
+    rows = labelled.labelled_sample(docs, labels, "quality", 4, 2, 10).collect()
+    assert len(rows) == len({r.id for r in rows}) <= 10
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 30)
+    few = labelled.labelled_sample(docs, labels, "quality", 4, 2, 10).collect()
+    assert 0 < len(few) < len(rows) and sum(len(r.text) for r in few) <= 30 and {r.id for r in few} <= {r.id for r in rows}
+
+
+def test_network_equals_a_plain_one():
+    """Adam on the log loss row by row and number by number, with the same random starts and orders."""
+    from math import exp, sqrt, tanh
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 3))
+    y = (x[:, 0] > x[:, 1]).astype(float)
+    net = quality.train(x, y, seed=6)
+
+    rng = np.random.default_rng(6)
+    order = rng.permutation(40)
+    fitting = order[8:]
+    mean, scale = x[fitting].mean(axis=0), x[fitting].std(axis=0) + 1e-3
+    z = [[max(-8.0, min(8.0, float(v))) for v in (row - mean) / scale] for row in x]
+    rate, h = float(y[fitting].mean()), quality.HIDDEN
+    w1, b1, w2, b2 = rng.normal(0, 3**-0.5, (3, h)).tolist(), [0.0] * h, rng.normal(0, 0.1, h).tolist(), float(np.log(rate / (1 - rate)))
+    m, v = [0.0] * (5 * h + 1), [0.0] * (5 * h + 1)
+    for k in range(quality.PASSES):
+        g1, gb, g2, g0 = [[1e-4 * w for w in row] for row in w1], [0.0] * h, [1e-4 * w for w in w2], 0.0
+        rows = rng.permutation(fitting).tolist()
+        for i in rows:
+            a = [tanh(sum(z[i][d] * w1[d][j] for d in range(3)) + b1[j]) for j in range(h)]
+            e = (1 / (1 + exp(-(sum(a[j] * w2[j] for j in range(h)) + b2))) - y[i]) / len(rows)
+            g0 += e
+            for j in range(h):
+                g2[j] += e * a[j]
+                back = e * w2[j] * (1 - a[j] ** 2)
+                gb[j] += back
+                for d in range(3):
+                    g1[d][j] += z[i][d] * back
+        flat = [*(w for row in w1 for w in row), *b1, *w2, b2]
+        for q, g in enumerate([*(g for row in g1 for g in row), *gb, *g2, g0]):
+            m[q], v[q] = 0.9 * m[q] + 0.1 * g, 0.999 * v[q] + 0.001 * g * g
+            flat[q] -= quality.RATE * (1 - k / quality.PASSES) * (m[q] / (1 - 0.9 ** (k + 1))) / (sqrt(v[q] / (1 - 0.999 ** (k + 1))) + 1e-8)
+        w1, b1, w2, b2 = [flat[d * h : (d + 1) * h] for d in range(3)], flat[3 * h : 4 * h], flat[4 * h : 5 * h], flat[-1]
+    assert np.allclose(net.w1, w1, atol=1e-6) and np.allclose(net.b1, b1, atol=1e-6) and np.allclose(net.w2, w2, atol=1e-6) and abs(net.b2 - b2) < 1e-6

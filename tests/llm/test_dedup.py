@@ -56,7 +56,7 @@ def test_near_equals_sql(spark, sf_dir):
     assert rows(QUERIES["op9_near_dedup"](spark, sf_dir)) == expected(sf_dir, ORACLES["op9_near_dedup"])
 
 
-def brute(rows):
+def brute(rows, least_percent=85):
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -69,7 +69,7 @@ def brute(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= least_percent * len(a | sets[j]):
                 parent[root(i)] = root(j)
     least: dict = {}
     for i, (d, _) in enumerate(rows):
