@@ -1,4 +1,5 @@
-"""Grouped operators: top rows of a key, sessions, gaps filled, sums by slice for running totals."""
+"""Grouped operators: top rows of a key, sessions, and running totals and ranks in two levels. Rows travel as one
+struct beside the helper columns, so columns of any name are safe."""
 
 from __future__ import annotations
 
@@ -8,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import whole
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key. Spark limits the rows of a key in each task before the exchange."""
@@ -17,16 +20,51 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 def sessions(df: DataFrame, key: str, time: str, gap: str = "30 minutes") -> DataFrame:
     """Session windows of a key with their first and last time and number of rows; merging is partial in
     each task."""
-    rows = df.withColumn("_t", F.col(time).cast("timestamp"))
-    out = rows.groupBy(key, F.session_window("_t", gap).alias("_w")).agg(F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.count(F.lit(1)).alias("n"))
-    return out.drop("_w")
+    rows = df.select(df[key].alias("key"), df[time].alias("time"), df[time].cast("timestamp").alias("at"))
+    out = rows.groupBy("key", F.session_window("at", gap).alias("window")).agg(F.min("time").alias("first_at"), F.max("time").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("key").alias(key), "first_at", "last_at", "n")
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], slices: Column, **more: Column) -> tuple[DataFrame, list[str], Column]:
+    """df as key0, key1, ..., slice, row and more; the names of the keys; whether two rows have one key and slice."""
+    names = [f"key{i}" for i in range(len(keys))]
+    rows = df.select(*(df[k].alias(n) for k, n in zip(keys, names, strict=True)), slices.alias("slice"), whole(df).alias("row"), *(c.alias(n) for n, c in more.items()))
+    same = F.col("slice").eqNullSafe(F.col("other_slice"))
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col(f"other_{n}"))
+    return rows, names, same
+
+
+def _before(rows: DataFrame, names: list[str], value: Column, total: bool = False) -> DataFrame:
+    """For each key and slice (other_...) the sum of value over earlier slices, and over all of them."""
+    sums = rows.groupBy(*names, "slice").agg(value.alias("sum"))
+    earlier = W.partitionBy(*names).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before")] + ([F.sum("sum").over(W.partitionBy(*names)).alias("total")] if total else [])
+    return sums.select(*(F.col(n).alias(f"other_{n}") for n in [*names, "slice"]), *out)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, slices: Column, total: str = "running") -> DataFrame:
     """The running sum of a key in `order`, in two levels. `slices` must not decrease along the order; rows
     of a slice are summed in one task, slices by their sums."""
-    rows = df.withColumn("_slice", slices)
-    sums = rows.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(sums.withColumn("_before", before).drop("_sum"), [*keys, "_slice"]).withColumn(total, F.col("_before") + F.sum(value).over(inside)).drop("_slice", "_before")
+    rows, names, same = _sliced(df, keys, slices, value=df[value])
+    inside = W.partitionBy(*names, "slice").orderBy(*(F.col("row")[c] for c in order)).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.sum("value").over(inside))
+    return rows.join(_before(rows, names, F.sum("value")), same).select("row.*", (F.col("before") + F.col("inside")).alias(total))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], slices: Column, number: str = "number", rank: str = "rank", of: str = "of") -> DataFrame:
+    """df with row_number, rank and number of rows of a key, in two levels: within a slice of the order, and by the
+    counts of slices. `order` is columns and whether they descend, nulls first and last as Spark has them. `slices`
+    must not decrease along it, and rows that tie must share a slice."""
+    rows, names, same = _sliced(df, keys, slices)
+    inside = W.partitionBy(*names, "slice").orderBy(*(F.col("row")[c].desc() if down else F.col("row")[c].asc() for c, down in order))
+    rows = rows.withColumn("number", F.row_number().over(inside)).withColumn("rank", F.rank().over(inside))
+    place = lambda c: (F.col("before") + F.col(c)).cast("long")
+    return rows.join(_before(rows, names, F.count(F.lit(1)), total=True), same).select("row.*", place("number").alias(number), place("rank").alias(rank), F.col("total").alias(of))
+
+
+def tile(number: Column, of: Column, n: int) -> Column:
+    """ntile(n) of the row with that number: the first groups hold one row more if n does not divide the rows."""
+    least, more = F.floor(of / n), of % n
+    large = more * (least + 1)
+    return F.when(number <= large, F.floor((number - 1) / (least + 1)) + 1).otherwise(more + F.floor((number - 1 - large) / F.greatest(least, F.lit(1))) + 1).cast("long")

@@ -1,5 +1,6 @@
-"""Joins on time: as-of and interval. Both deal rows out by key and time bucket, so that a hot key is
-spread over many tasks."""
+"""Joins on time and ranges: as-of, interval, band; and a join for skewed keys. All deal rows out by key and
+bucket, so that a hot key is spread over many tasks. Rows travel as one struct beside the helper columns, so
+columns of any name are safe."""
 
 from __future__ import annotations
 
@@ -14,6 +15,11 @@ def _bucket(time: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(time.cast("timestamp")) / (seconds * 1_000_000)).cast("long")
 
 
+def whole(df: DataFrame) -> Column:
+    """A row of df as one column."""
+    return F.struct(*(df[c] for c in df.columns))
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str], bucket_seconds: int = 86_400) -> DataFrame:
     """left with the columns `take` of the latest row of right that has its key and is not later; nulls if
     there is none. Of right rows at one time the one with the greatest `take` counts. A null key or time
@@ -22,34 +28,48 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     Within a bucket a window finds the latest row; the last row of each earlier bucket is carried over by
     a window on one row a bucket.
     """
-    payload = F.struct(F.col(right_time).alias("_at"), *take)
-    l = left.withColumn("_bucket", _bucket(F.col(left_time), bucket_seconds))  # noqa: E741
-    r = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(key), _bucket(F.col(right_time), bucket_seconds).alias("_bucket"), payload.alias("_right"))
-    both = l.select(F.col(key), "_bucket", F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"))
-    both = both.unionByName(r.select(key, "_bucket", F.col("_right._at").alias("_time"), F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_left"].dataType).alias("_left"), "_right"))
-    lasts = both.groupBy(key, "_bucket").agg(F.max("_right").alias("_last"))
-    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = lasts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    inside = W.partitionBy(key, "_bucket").orderBy("_time", "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_right", ignorenulls=True).over(inside)).where("_side = 1")
-    found = found.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_b")), "left")
-    best = F.when(F.col(key).isNotNull() & F.col("_time").isNotNull(), F.coalesce("_found", "_carried"))
-    return found.select("_left.*", *(best[c].alias(c) for c in take))
+    payload = F.struct(right[right_time].alias("at"), F.struct(*(right[c] for c in take)).alias("taken"))
+    r = right.where(right[key].isNotNull() & right[right_time].isNotNull()).select(right[key].alias("key"), _bucket(right[right_time], bucket_seconds).alias("bucket"), right[right_time].alias("time"), F.lit(0).alias("side"), payload.alias("right"))
+    l = left.select(left[key].alias("key"), _bucket(left[left_time], bucket_seconds).alias("bucket"), left[left_time].alias("time"), F.lit(1).alias("side"), whole(left).alias("left"))  # noqa: E741
+    both = l.withColumn("right", F.lit(None).cast(r.schema["right"].dataType)).unionByName(r.withColumn("left", F.lit(None).cast(l.schema["left"].dataType)))
+    lasts = both.groupBy("key", "bucket").agg(F.max("right").alias("last"))
+    earlier = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = lasts.select(F.col("key").alias("k"), F.col("bucket").alias("b"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    inside = W.partitionBy("key", "bucket").orderBy("time", "side", "right").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("right", ignorenulls=True).over(inside)).where("side = 1")
+    found = found.join(carried, F.col("key").eqNullSafe(F.col("k")) & F.col("bucket").eqNullSafe(F.col("b")), "left")
+    best = F.when(F.col("key").isNotNull() & F.col("time").isNotNull(), F.coalesce("found", "carried"))
+    return found.select("left.*", *(best["taken"][c].alias(c) for c in take))
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within_seconds: int) -> DataFrame:
     """Pairs of rows with one key where right is 0 to `within_seconds` after left. The columns of the two
     sides must differ but for the key. Left rows go to two buckets, right rows to one, so each pair meets
     once."""
-    l = left.withColumn("_bucket", F.explode(F.array(_bucket(F.col(left_time), within_seconds), _bucket(F.col(left_time), within_seconds) + 1)))  # noqa: E741
-    r = right.withColumn("_bucket", _bucket(F.col(right_time), within_seconds))
-    gap = F.unix_micros(F.col(right_time).cast("timestamp")) - F.unix_micros(F.col(left_time).cast("timestamp"))
-    return l.join(r, [key, "_bucket"]).where((gap >= 0) & (gap <= within_seconds * 1_000_000)).drop("_bucket")
+    at = _bucket(left[left_time], within_seconds)
+    l = left.select(left[key].alias("key"), F.unix_micros(left[left_time].cast("timestamp")).alias("from"), whole(left).alias("left"), F.explode(F.array(at, at + 1)).alias("bucket"))  # noqa: E741
+    others = [c for c in right.columns if c != key]
+    r = right.select(right[key].alias("key"), F.unix_micros(right[right_time].cast("timestamp")).alias("to"), F.struct(*(right[c] for c in others)).alias("right"), _bucket(right[right_time], within_seconds).alias("bucket"))
+    gap = F.col("to") - F.col("from")
+    return l.join(r, ["key", "bucket"]).where((gap >= 0) & (gap <= within_seconds * 1_000_000)).select("left.*", "right.*")
+
+
+def band_join(left: DataFrame, value: str, bands: DataFrame, low: str, high: str, width: float) -> DataFrame:
+    """Pairs of a row of left and a band that holds its value, low and high included: a join without an equality.
+    Values and bands meet by buckets of `width`, a band in as many as it spans, instead of row by row. The columns
+    of the two sides must differ; nulls and bands whose low is above their high find nothing."""
+    bucket = lambda c: F.floor(c / width).cast("long")
+    l = left.select(whole(left).alias("left"), left[value].alias("value"), bucket(left[value]).alias("bucket"))  # noqa: E741
+    r = bands.where(bands[low] <= bands[high]).select(whole(bands).alias("right"), bands[low].alias("low"), bands[high].alias("high"), F.explode(F.sequence(bucket(bands[low]), bucket(bands[high]))).alias("bucket"))
+    return l.join(r, "bucket").where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).select("left.*", "right.*")
 
 
 def skewed_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """left joined to a right side of few rows a key, with the rows of a hot left key dealt to `salts` tasks.
-    `how` is inner, left, left_semi or left_anti."""
-    l = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))  # noqa: E741
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, "_salt"], how).drop("_salt")
+    `how` is inner, left, left_semi or left_anti. Columns but the key must differ."""
+    l = left.select(left[key].alias("key"), whole(left).alias("left"), F.pmod(F.xxhash64(whole(left)), F.lit(salts)).cast("int").alias("salt"))  # noqa: E741
+    others = [c for c in right.columns if c != key]
+    packed = F.struct(*(right[c] for c in others)) if others else F.lit(1)
+    r = right.select(right[key].alias("key"), packed.alias("right"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    joined = l.join(r, ["key", "salt"], how)
+    return joined.select("left.*", "right.*") if others and how in ("inner", "left") else joined.select("left.*")

@@ -6,8 +6,9 @@ orders have tie-breakers, so that results don't depend on the engine or on parti
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import dot, json_long, masked_emails, money, revenue
-from ..operators.grouping import running_total, sessions, top_per_key
-from ..operators.joins import asof_join, interval_join, skewed_join
+from ..operators.grouping import ranked, running_total, sessions, tile, top_per_key
+from ..operators.joins import asof_join, band_join, interval_join, skewed_join
 from ..sources.tables import TABLES, register, round_trip, table
 from ..streaming import events as streams
 
@@ -35,22 +36,10 @@ SHARED_SQL: dict[str, str] = {
     "semi_and_anti_join": """
         select 'with' as kind, count(*) as n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)
         union all select 'without', count(*) from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""",
-    "theta_join": """
-        select a.s_nationkey, count(*) as pairs from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal group by a.s_nationkey""",
-    "correlated_subqueries": """
-        select p_partkey, p_brand from part where p_retailprice > (select avg(p2.p_retailprice) from part p2 where p2.p_brand = part.p_brand)
-          and p_partkey not in (select l_partkey from lineitem where l_quantity >= 50)""",
     "filtered_and_distinct_aggregates": """
         select l_returnflag, l_linestatus, count(distinct l_suppkey) as suppliers, count(*) filter (where l_discount > 0.05) as discounted,
           cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity, cast(max(l_tax) as double) as most_tax
         from lineitem group by l_returnflag, l_linestatus having count(*) > 10""",
-    "ranks": """
-        select o_orderkey, cast(rank() over (partition by o_orderpriority order by o_totalprice desc) as bigint) as rk,
-          cast(dense_rank() over (partition by o_orderpriority order by o_orderstatus) as bigint) as dr,
-          cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as rn,
-          lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as earlier,
-          cast(ntile(4) over (partition by o_orderstatus order by o_orderdate, o_orderkey) as bigint) as quarter
-        from orders""",
     "window_frames": """
         select event_id, cast(sum(cast(value as decimal(18,4))) over w as double) as moving, first_value(event_id) over w as first_id, last_value(event_id) over w as last_id,
           cast(count(*) over (partition by user_id order by ts range between interval '1' day preceding and current row) as bigint) as in_a_day
@@ -64,13 +53,18 @@ SHARED_SQL: dict[str, str] = {
         union all (select o_custkey from orders where o_orderstatus = 'O' except all select o_custkey from orders where o_orderstatus = 'P')
         union (select n_regionkey from nation)""",
     "recursive_hierarchy": """
-        with recursive steps(user_id, event_id, depth) as (
-          select user_id, min(event_id), 0 from events group by user_id
+        with recursive climb(event_id, node, depth) as (
+          select event_id, event_id as node, 0 as depth from events
           union all
-          select s.user_id, n.nxt, s.depth + 1 from steps s
-          join (select event_id, lead(event_id) over (partition by user_id order by event_id) as nxt from events) n on n.event_id = s.event_id
-          where s.depth < 5 and n.nxt is not null)
-        select user_id, max(event_id) as sixth, cast(max(depth) as bigint) as depth from steps group by user_id""",
+          select event_id, cast(floor(node / 10) as bigint), depth + 1 from climb where node > 0)
+        select cast(depth as bigint) as depth, count(*) as leaves, count(distinct node) as nodes from climb group by depth""",
+    "nth_events": """
+        select event_id, nth_value(event_id, 2) over w as second_id, nth_value(event_type, 3) over w as third_type
+        from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)""",
+    "explicit_grouping_sets": """
+        select l_returnflag, l_linestatus, cast(l_linenumber as bigint) as l_linenumber, cast(grouping(l_returnflag) * 4 + grouping(l_linestatus) * 2 + grouping(l_linenumber) as bigint) as level, count(*) as n,
+          cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity
+        from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linenumber), (l_returnflag, l_linenumber), ())""",
     "case_and_nulls": """
         select n_regionkey, cast(sum(case when c_acctbal < 0 then 1 else 0 end) as bigint) as in_debt, count(nullif(c_mktsegment, 'BUILDING')) as others, coalesce(min(nullif(c_nationkey, n_regionkey)), -1) as least
         from customer join nation on c_nationkey = n_nationkey group by n_regionkey""",
@@ -111,6 +105,41 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("r_name", "n_name").agg(F.sum("r").cast("double").alias("revenue"), F.sum("n").alias("lines"))
 
 
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of suppliers of a nation where the first has less: the second's rank says how many those are, so no pair
+    is made."""
+    placed = ranked(table(spark, sf_dir, "supplier").where("s_acctbal is not null and s_nationkey is not null"), ["s_nationkey"], [("s_acctbal", False)], F.floor(F.col("s_acctbal") / 100))
+    return placed.groupBy("s_nationkey").agg(F.sum(F.col("rank") - 1).alias("pairs")).where("pairs > 0")
+
+
+def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose balance lies within what the suppliers of a nation have: a join without an equality."""
+    bands = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
+    pairs = band_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", bands, "low", "high", 250.0)
+    return pairs.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.max("c_custkey").alias("last_customer"))
+
+
+def correlated_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts above the mean of their brand that no large line holds. An anti join, as `not in` would broadcast the lines."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_partkey is not null")
+    mean = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean"))
+    above = part.join(mean, "p_brand").where("p_retailprice > mean")
+    return above.join(line, above["p_partkey"] == line["l_partkey"], "left_anti").select("p_partkey", "p_brand")
+
+
+def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks within few keys in two levels: a slice of prices or a month is ranked in one task, not a third of all rows."""
+    orders = table(spark, sf_dir, "orders")
+    own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate", F.row_number().over(own).cast("long").alias("rn"), F.lag("o_orderkey").over(own).alias("earlier"))
+    rows = ranked(rows, ["o_orderpriority"], [("o_totalprice", True)], F.floor(F.col("o_totalprice") / -2000), rank="rk").drop("number", "of")
+    kinds = orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
+    dense = F.dense_rank().over(W.partitionBy("o_orderpriority").orderBy("o_orderstatus")).cast("long")  # a row for each priority and status
+    rows = rows.join(kinds.select("o_orderpriority", "o_orderstatus", dense.alias("dr")), ["o_orderpriority", "o_orderstatus"])
+    rows = ranked(rows, ["o_orderstatus"], [("o_orderdate", False), ("o_orderkey", False)], F.date_trunc("month", "o_orderdate"))
+    return rows.select("o_orderkey", "rk", "dr", "rn", "earlier", tile(F.col("number"), F.col("of"), 4).alias("quarter"))
+
+
 def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     level = (F.grouping("l_returnflag") * 2 + F.grouping("l_linestatus")).cast("long").alias("level")
@@ -166,13 +195,13 @@ def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["click", "purchase", "view"]
+    kinds = ["click", "error", "purchase", "signup", "view"]
     return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).select("user_id", *(F.coalesce(k, F.lit(0)).alias(k) for k in kinds))
 
 
 def unpivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"))
-    return wide.unpivot("o_orderpriority", ["f", "o"], "status", "n")
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
+    return wide.unpivot("o_orderpriority", ["f", "o", "p"], "status", "n").where("n > 0")
 
 
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +218,14 @@ def exploded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("label", F.col("place").cast("long").alias("place")).agg(F.count_if(F.col("x") > 0).alias("positive"))
 
 
+def near_label_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose product with the mean vector of their label reaches a threshold."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("place", "x"))
+    mean = v.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    product = v.join(mean, ["label", "place"]).groupBy("label", "vec_id").agg(F.sum(F.col("x").cast("double") * F.col("mean")).alias("product"))
+    return product.groupBy("label").agg(F.count_if(F.col("product") >= 0.02).alias("near"), F.count(F.lit(1)).alias("n"))
+
+
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("w.start").alias("hour"), "event_type", "n")
@@ -207,6 +244,16 @@ def streamed_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.finished(streams.first_of_each(streams.stream(spark, sf_dir), ["event_id"])).select("event_id", "user_id")
 
 
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed."""
+    return streams.finished(streams.sessions(streams.stream(spark, sf_dir))).select("user_id", "first_at", "last_at", "n")
+
+
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = streams.with_disk_state(spark, lambda: streams.finished(streams.active_days(streams.stream(spark, sf_dir)), "update"))
+    return streams.latest(days, ["user_id"]).select("user_id", "days", "busiest")
+
+
 def text_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
@@ -237,6 +284,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         "p_partkey", F.upper("p_name").alias("upper"), F.greatest("p_size", F.lit(10)).alias("most"), F.sha2("p_brand", 256).alias("sha"), F.split("p_name", " ")[0].alias("first_word"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"),
         F.substring("p_type", 2, 3).alias("middle"), (F.col("p_size") % 7).alias("rest"), F.reverse("p_brand").alias("back"), F.expr("try_cast(p_brand as int)").alias("none"),
+        F.trim(F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("trimmed"), F.expr("p_size div 7").alias("sevens"), F.round(F.col("p_retailprice") / 3, 2).alias("third"),
     )
 
 
@@ -256,13 +304,41 @@ def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checksum(text: pd.Series) -> pd.Series:
     """Sum of the code points of the digits in a text, a batch at a time."""
     digits = text.fillna("").str.replace(r"[^0-9]", "", regex=True)
-    return digits.map(lambda s: sum(map(ord, s))).astype("int64")
+    total = np.concatenate([[0], np.cumsum(np.frombuffer("".join(digits).encode(), dtype=np.uint8), dtype=np.int64)])
+    ends = digits.str.len().cumsum().to_numpy(dtype=np.int64)
+    return pd.Series(np.diff(total[np.concatenate([[0], ends])]))
 
 
 def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", _checksum("c_name").alias("checksum"))
 
 
+def _longest_pause(events: pd.DataFrame) -> pd.DataFrame:
+    at = np.sort(events["us"].to_numpy())
+    return pd.DataFrame({"user_id": events["user_id"].iloc[:1], "day": events["day"].iloc[:1], "n": [len(at)], "pause_us": [int(np.diff(at).max(initial=0))]})
+
+
+def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas function for each user and day, a group that a person's day bounds."""
+    at = F.col("ts").cast("timestamp")
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_date(at.cast("date")).cast("long").alias("day"), F.unix_micros(at).alias("us"))
+    return events.groupBy("user_id", "day").applyInPandas(_longest_pause, "user_id long, day long, n long, pause_us long")
+
+
+@F.udtf(returnType="place long, word string", useArrow=True)
+class _Words:
+    """The words of a text with their places, from 1."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate((text or "").split(" "), 1) if text else ()
+
+
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["part"])
+    spark.udtf.register("words_of", _Words)
+    return spark.sql("select p_partkey, w.place, w.word from part, lateral words_of(p_name) w")
+
+
 def _through(kind: str) -> Query:
     return lambda spark, sf_dir: round_trip(table(spark, sf_dir, "events"), kind, ["event_type"] if kind == "parquet" else [])
 
@@ -276,6 +352,36 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         from lineitem group by cube (l_returnflag, l_linestatus)
         union all select l_returnflag, l_linestatus, cast(grouping(l_returnflag) * 2 + grouping(l_linestatus) + 10 as bigint), count(*), cast(sum(cast(l_extendedprice as decimal(18,2))) as double)
         from lineitem group by rollup (l_returnflag, l_linestatus)"""),
+    "theta_join": (theta_join, """
+        select a.s_nationkey, count(*) as pairs from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal group by a.s_nationkey"""),
+    "price_bands": (price_bands, """
+        select s_nationkey, count(*) as customers, max(c_custkey) as last_customer from (select s_nationkey, min(s_acctbal) as low, max(s_acctbal) as high from supplier group by 1)
+        join customer on c_acctbal between low and high group by 1"""),
+    "correlated_subqueries": (correlated_subqueries, """
+        select p_partkey, p_brand from part where p_retailprice > (select avg(p2.p_retailprice) from part p2 where p2.p_brand = part.p_brand)
+          and p_partkey not in (select l_partkey from lineitem where l_quantity >= 50)"""),
+    "ranks": (ranks, """
+        select o_orderkey, cast(rank() over (partition by o_orderpriority order by o_totalprice desc) as bigint) as rk,
+          cast(dense_rank() over (partition by o_orderpriority order by o_orderstatus) as bigint) as dr,
+          cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as rn,
+          lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as earlier,
+          cast(ntile(4) over (partition by o_orderstatus order by o_orderdate, o_orderkey) as bigint) as quarter
+        from orders"""),
+    "near_label_centre": (near_label_centre, """
+        with v as (select vec_id, label, place, embedding[place]::double as x from embeddings, range(1, 65) r(place)), m as (select label, place, avg(x) as mean from v group by 1, 2),
+        p as (select label, vec_id, sum(x * mean) as product from v join m using (label, place) group by 1, 2)
+        select label, count(*) filter (where product >= 0.02) as near, count(*) as n from p group by 1"""),
+    "streamed_sessions": (streamed_sessions, """
+        with g as (select *, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
+        s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g),
+        w as (select user_id, min(ts) as first_at, max(ts) as last_at, count(*) as n from s group by user_id, session)
+        select * from w where last_at + interval 30 minute <= (select max(ts) from events) - interval 10 minute"""),
+    "streamed_days": (streamed_days, "select user_id, count(*) as days, max(n) as busiest from (select user_id, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2) group by 1"),
+    "grouped_frames": (grouped_frames, """
+        with e as (select user_id, cast(date_diff('day', date '1970-01-01', cast(ts as date)) as bigint) as day, epoch_us(ts) as us from events),
+        p as (select *, us - lag(us) over (partition by user_id, day order by us) as pause from e)
+        select user_id, day, count(*) as n, cast(coalesce(max(pause), 0) as bigint) as pause_us from p group by 1, 2"""),
+    "table_function": (table_function, "select p_partkey, cast(place as bigint) as place, string_split(p_name, ' ')[place] as word from (select *, unnest(range(1, len(string_split(p_name, ' ')) + 1)) as place from part)"),
     "quantiles": (quantiles, "select l_returnflag, median(l_quantity) as median, quantile_cont(l_quantity, 0.9) as p90, round(stddev(l_quantity), 6) as spread from lineitem group by 1"),
     "distinct_estimate": (distinct_estimate, "select count(distinct l_orderkey) as exact, true as within from lineitem"),
     "top_orders_per_customer": (top_orders_per_customer, "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3"),
@@ -288,8 +394,8 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         and b.ts >= c.ts and b.ts <= c.ts + interval 6 hour"""),
     "salted_join": (salted_join, "select s_nationkey, count(*) as n from lineitem join supplier on l_suppkey = s_suppkey group by 1"),
     "running_spend": (running_spend, "select o_orderkey, cast(sum(cast(o_totalprice as decimal(18,2))) over (partition by o_orderstatus order by o_orderdate, o_orderkey rows unbounded preceding) as double) as running from orders"),
-    "pivot_events": (pivot_events, "select user_id, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'purchase') as purchase, count(*) filter (where event_type = 'view') as view from events group by 1"),
-    "unpivot_counts": (unpivot_counts, "select o_orderpriority, lower(o_orderstatus) as status, count(*) as n from orders where o_orderstatus in ('F', 'O') group by 1, 2"),
+    "pivot_events": (pivot_events, "select user_id, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'error') as error, count(*) filter (where event_type = 'purchase') as purchase, count(*) filter (where event_type = 'signup') as signup, count(*) filter (where event_type = 'view') as view from events group by 1"),
+    "unpivot_counts": (unpivot_counts, "select o_orderpriority, lower(o_orderstatus) as status, count(*) as n from orders group by 1, 2"),
     "json_fields": (json_fields, "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"),
     "vector_norms": (vector_norms, "select vec_id, round(list_dot_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double)), 5) as norm2, cast(len(embedding) as bigint) as width from embeddings"),
     "exploded_vectors": (exploded_vectors, "select label, cast(place - 1 as bigint) as place, count(*) filter (where embedding[place] > 0) as positive from embeddings, range(1, 65) r(place) group by 1, 2"),
@@ -307,7 +413,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "labelled_rates": (labelled_rates, "select lang, count(*) as n, cast(sum(quality) as bigint) as good, cast(sum(toxic) as bigint) as toxic from documents join labels using (doc_id) group by 1"),
     "scalar_functions": (scalar_functions, """
         select p_partkey, upper(p_name) as upper, greatest(p_size, 10) as most, sha256(p_brand) as sha, split_part(p_name, ' ', 1) as first_word, lpad(cast(p_size as varchar), 4, '0') as padded,
-          substring(p_type, 2, 3) as middle, p_size % 7 as rest, reverse(p_brand) as back, try_cast(p_brand as int) as none from part"""),
+          substring(p_type, 2, 3) as middle, p_size % 7 as rest, reverse(p_brand) as back, try_cast(p_brand as int) as none, trim('  ' || p_name || ' ') as trimmed, cast(p_size // 7 as bigint) as sevens, round(p_retailprice / 3, 2) as third from part"""),
     "previous_gap": (previous_gap, "select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_us from events"),
     "sql_function": (sql_function, "select l_linestatus, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2)))) as double) as net from lineitem group by 1"),
     "vectorised_function": (vectorised_function, "select c_custkey, cast(list_sum(list_transform(string_split(regexp_replace(c_name, '[^0-9]', '', 'g'), ''), lambda c: ord(c))) as bigint) as checksum from customer"),

@@ -26,10 +26,12 @@ def register(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> None:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share; a temporary one
-    where the setting is absent."""
+    where the setting is absent and the master is local, as executors elsewhere would not see it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Streams of events: windows with a watermark, deduplication, and keyed state.
+"""Streams of events: windows with a watermark, sessions, deduplication, and keyed state.
 
 A query reads its input as a stream, takes all that is available in triggers of a bounded number of files,
 and keeps its offsets and state in the shared folder, so a lost executor or a restart repeats no work that
@@ -7,16 +7,26 @@ was committed. Results go to Parquet files of which each trigger writes its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.tables import shared_folder, table
 
+#: Files that a trigger takes.
+FILES = 64
+
+#: Keyed state is kept on the executors' disks.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+
+def stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = FILES) -> DataFrame:
     """The table as a stream; event times as timestamps, which watermarks need."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -38,6 +48,13 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return events.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
 
+def sessions(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of a key; append mode emits one when the watermark has passed its end, so those that may still grow
+    are held back."""
+    rows = events.withWatermark("at", late).groupBy(key, F.session_window("at", gap).alias("w"))
+    return rows.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n")).drop("w")
+
+
 def latest(results: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key the row that the last trigger wrote."""
     values = [c for c in results.columns if c not in (*keys, "trigger")]
@@ -48,3 +65,40 @@ def latest(results: DataFrame, keys: list[str]) -> DataFrame:
 def first_of_each(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Events whose key has not been seen within the watermark."""
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
+
+
+class Days(StatefulProcessor):
+    """By user: on how many days there were events, and how many on the busiest. The state is a number for each day,
+    so neither the order nor the batches in which a trigger's events come matter."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "day int", "events bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for day, n in batch["day"].value_counts().items():
+                before = self.days.getValue((int(day),))[0] if self.days.containsKey((int(day),)) else 0
+                self.days.updateValue((int(day),), (before + int(n),))
+        counts = [n for (n,) in self.days.values()]
+        yield pd.DataFrame({"user_id": [key[0]], "days": [len(counts)], "busiest": [max(counts)]})
+
+    def close(self) -> None:
+        pass
+
+
+def active_days(events: DataFrame) -> DataFrame:
+    """user_id, days and busiest, emitted again whenever a user has new events. Events without a time count for no
+    day."""
+    rows = events.where("ts is not null").select("user_id", F.unix_date(F.to_date("ts")).alias("day"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Days(), "user_id bigint, days bigint, busiest bigint", "Update", "None")
+
+
+def with_disk_state(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """What run() returns, with the session's keyed state on the executors' disks meanwhile."""
+    name, store = ROCKSDB
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        return run()
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)

@@ -6,8 +6,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from siltstone.operators.grouping import running_total, sessions, top_per_key
-from siltstone.operators.joins import asof_join, interval_join, skewed_join
+from siltstone.operators.grouping import ranked, running_total, sessions, tile, top_per_key
+from siltstone.operators.joins import asof_join, band_join, interval_join, skewed_join
 
 T0 = datetime(2024, 1, 1)
 LEFT, RIGHT = "k string, t timestamp_ntz, l int", "k string, rt timestamp_ntz, r int"
@@ -54,3 +54,43 @@ def test_top_and_running_and_sessions(spark):
     assert got[("a", 9)] == sum(i % 3 for i in range(10)) and got[("a", 3)] == 3
     s = spark.createDataFrame([("a", at(0)), ("a", at(0.4)), ("a", at(2))], "k string, t timestamp_ntz")
     assert sorted(x.n for x in sessions(s, "k", "t").collect()) == [1, 2]
+
+
+HELPERS = ["_bucket", "_salt", "_slice", "_t", "_w", "bucket", "key", "left", "right", "side", "time", "salt", "slice", "row", "rank", "before", "value", "window", "at", "found"]
+
+
+def test_helper_columns_do_not_clash(spark):
+    """A column of any helper's name comes out as it went in."""
+    left = spark.createDataFrame([("a", at(5), 1), ("a", at(30), 2), (None, None, 3)], LEFT).select("*", *(F.lit(i).alias(h) for i, h in enumerate(HELPERS)))
+    names = HELPERS
+    kept = lambda df: {tuple(r[n] for n in names) for r in df.select(*names).collect()} == {tuple(range(len(names)))}
+    right = spark.createDataFrame([("a", at(4), 7)], RIGHT)
+    asof = asof_join(left, right, "k", "t", "rt", ["r"])
+    assert kept(asof) and {x.l: x.r for x in asof.collect()} == {1: 7, 2: 7, 3: None}
+    assert kept(skewed_join(left, spark.createDataFrame([("a", 1)], "k string, v int"), "k", how="left"))
+    assert kept(interval_join(left, spark.createDataFrame([("a", at(5), 7)], RIGHT), "k", "t", "rt", 3600))
+    assert kept(running_total(left, ["k"], ["l"], "l", F.floor(F.col("l") / 2)))
+    assert kept(ranked(left, ["k"], [("l", False)], F.floor(F.col("l") / 2), number="no", rank="rk", of="all"))
+    clash = spark.createDataFrame([("a", at(0)), ("a", at(1))], "_t string, at timestamp_ntz")
+    assert sessions(clash, "_t", "at").count() == 2
+
+
+def test_band_join(spark):
+    left = spark.createDataFrame([(1, 5.0), (2, 10.0), (3, -3.5), (4, None), (5, 99.0)], "l int, v double")
+    bands = spark.createDataFrame([("a", 5.0, 10.0), ("b", -10.0, 5.0), ("c", 8.0, 7.0), ("d", None, 100.0), ("e", 10.0, 10.0)], "b string, lo double, hi double")
+    got = {(x.l, x.b) for x in band_join(left, "v", bands, "lo", "hi", 3.0).collect()}
+    assert got == {(1, "a"), (1, "b"), (2, "a"), (2, "e"), (3, "b")}
+
+
+def test_ranks_in_two_levels(spark):
+    rows = [("a" if i % 3 else None, (i * 7) % 20 if i % 11 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    got = ranked(df, ["k"], [("v", True), ("i", False)], F.coalesce(F.floor(F.col("v") / -4), F.lit(0)))
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("k").orderBy(F.desc("v"), "i")
+    plain = df.select("i", F.row_number().over(order).alias("n"), F.ntile(7).over(order).alias("t"), F.count("*").over(W.partitionBy("k")).alias("c"))
+    assert {(x.i, x.number, x.t, x.of) for x in got.withColumn("t", tile(F.col("number"), F.col("of"), 7)).collect()} == {(x.i, x.n, x.t, x.c) for x in plain.collect()}
+    ties = ranked(df.where("v is not null"), ["k"], [("v", False)], F.floor(F.col("v") / 4)).collect()
+    plain = df.where("v is not null").select("i", F.rank().over(W.partitionBy("k").orderBy("v")).alias("r")).collect()
+    assert {(x.i, x["rank"]) for x in ties} == {(x.i, x.r) for x in plain}
