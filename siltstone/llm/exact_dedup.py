@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, checked_small, matching, new_folder, stage
+from .shared import ascii_lower, checked_small, matching, new_folder, scratch, stage
 
 #: Triggers that a table is streamed in: each but the first meets state.
 TRIGGERS = 4
@@ -111,11 +111,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs, whose names may be any. Of repeated rows all but one go."""
-    entries, groups = _grouped(docs, id_col, text_col)
     keys = lambda df: {"id": df[id_col], "digest": F.sha2(normalised(df[text_col]), 256)}
-    gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone")
+    with scratch():
+        entries, groups = _grouped(docs, id_col, text_col)
+        gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone", keep=True)
+        twice = stage(entries.groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice", keep=True)
     held = matching(docs, keys(docs), gone, "left_anti")
-    twice = stage(entries.groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice")
     if twice.isEmpty():
         return held
     again = matching(held, keys(held), twice, "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, checked_small, stage
+from .shared import WORD, checked_small, scratch, stage
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -122,15 +122,16 @@ def mix(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: flo
     are safe inside `row`. Sources are ranked in one task, a row each.
     """
     columns = _columns(docs, seed, id_col, text_col, source_col)
-    rows = stage(docs.select(F.struct(*(keep or [id_col])).alias("row"), *columns), "mix-sizes")
-    slices, sliced = _sliced(rows, curriculum, share, max_repeat)
-    inside = W.partitionBy("key", "slice").orderBy("ticket", "id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("slice", sliced).join(checked_small(slices.drop("words")), ["key", "slice"]).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda c: F.col("start") + c * F.col("source_size"))
-    placed = placed.withColumn("starts", starts).withColumn("copies", F.transform("starts", lambda at: F.greatest(F.lit(0), F.least(_goal() - at, F.col("size"))).cast("long")))
-    due = F.transform(F.filter(F.arrays_zip("starts", "copies"), lambda x: x["copies"] > 0), lambda x: _due(curriculum, x["starts"] + x["copies"] / 2.0))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x)
-    return stage(placed.select("row", "key", "ticket", "size", "source_size", "weight", "target", taken.alias("taken"), "copies", due.alias("positions")), "mix-positions")
+    with scratch():
+        rows = stage(docs.select(F.struct(*(keep or [id_col])).alias("row"), *columns), "mix-sizes")
+        slices, sliced = _sliced(rows, curriculum, share, max_repeat)
+        inside = W.partitionBy("key", "slice").orderBy("ticket", "id", "size").rowsBetween(W.unboundedPreceding, 0)
+        placed = rows.withColumn("slice", sliced).join(checked_small(slices.drop("words")), ["key", "slice"]).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
+        starts = F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda c: F.col("start") + c * F.col("source_size"))
+        placed = placed.withColumn("starts", starts).withColumn("copies", F.transform("starts", lambda at: F.greatest(F.lit(0), F.least(_goal() - at, F.col("size"))).cast("long")))
+        due = F.transform(F.filter(F.arrays_zip("starts", "copies"), lambda x: x["copies"] > 0), lambda x: _due(curriculum, x["starts"] + x["copies"] / 2.0))
+        taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x)
+        return stage(placed.select("row", "key", "ticket", "size", "source_size", "weight", "target", taken.alias("taken"), "copies", due.alias("positions")), "mix-positions", keep=True)
 
 
 def in_training_order(mixed: DataFrame, position: Column) -> DataFrame:
@@ -159,7 +160,7 @@ def _cuts(narrow: DataFrame, slices: DataFrame, sliced: Column, curriculum: Sequ
     runs = whole.unionByName(cut.select(*whole.columns))
     hi = F.lead("lo").over(W.partitionBy("key", "slice", "pass").orderBy("part"))
     runs = runs.withColumn("hi", hi).groupBy("key", "slice", "weight", "turn", "target").agg(F.collect_list(F.struct("pass", "lo", "hi", "part", "base")).alias("runs"))
-    return stage(runs, "mix-runs")
+    return stage(runs, "mix-runs", keep=True)
 
 
 def mixed_documents(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: float = 1.5, max_repeat: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -167,9 +168,10 @@ def mixed_documents(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM
     order over partitions and within them, with the columns of docs, whose names may be any. Null texts and those
     without words are never taken; else as mix()."""
     columns, parts = _columns(docs, seed, id_col, text_col, source_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = stage(docs.select(*columns), "mix-sizes")
-    slices, sliced = _sliced(narrow, curriculum, share, max_repeat)
-    runs = _cuts(narrow, slices, sliced, curriculum, max_repeat, parts)
+    with scratch():
+        narrow = stage(docs.select(*columns), "mix-sizes")
+        slices, sliced = _sliced(narrow, curriculum, share, max_repeat)
+        runs = _cuts(narrow, slices, sliced, curriculum, max_repeat, parts)
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), *columns).where("size > 0").drop("source", "id").withColumn("slice", sliced)
     here = F.filter("runs", lambda r: (r["lo"] <= F.col("ticket")) & (r["hi"].isNull() | (F.col("ticket") < r["hi"])))

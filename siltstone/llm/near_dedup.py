@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks
-from .shared import checked_small, matching, released, stage, staged_texts
+from .shared import checked_small, matching, released, scratch, stage, staged_texts
 
 ROWS = 5
 SHINGLE = 5
@@ -73,7 +73,7 @@ class Limit:
 DEFAULT = Limit(85)
 
 #: Rounds with one hub a bucket; members of a block of a compared bucket, and bytes of their sets; bytes of text at once.
-HUB_ROUNDS, SQUARE, SQUARE_BYTES, BLOCK = 2, 500, 4 << 20, 2 << 20
+HUB_ROUNDS, SQUARE, SQUARE_BYTES, BLOCK = 2, 300, 4 << 20, 2 << 20
 
 U = np.uint64
 
@@ -367,31 +367,32 @@ def _grouped(docs: DataFrame, sketched_rows: DataFrame, id_col: str, text_col: s
     more = [c for c in sketched_rows.columns if c not in ("id", "n", "node", "sketch")]
     rows = staged_texts(sketched_rows, "near-rows")
     full = rows.where("n > 0")
-    classes = stage(full.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(limit.bands - 1)), lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("sketch", j * 2 * ROWS + 1, 2 * ROWS)).alias("key")))
-    keyed = classes.select("node", F.explode(bands).alias("x")).select("node", "x.band", "x.key")
-    shared = stage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-shared")
-    members = stage(keyed.join(checked_small(shared), "key"), "near-members")
-    comp = stage(members.select("node").distinct().select("node", F.col("node").alias("comp")), "near-comp")
-    some = stage(classes.join(checked_small(comp), "node", "left_semi"), "near-some")
-    sets = staged_texts(sets_of(docs, stage(some.select(F.col("least").alias("id")).distinct(), "near-ids"), id_col, text_col), "near-sets")
-
-    pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
-    open_ = mixed(members.select("key", "band", "node"), comp)
-    for turn in range(1, HUB_ROUNDS):
-        if open_.isEmpty():
-            break
-        hubs = stage(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("x")).select("key", "x.hub", "x.hub_comp"), "near-hubs")
-        pairs = open_.join(checked_small(hubs), "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    with scratch():
+        classes = stage(full.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+        bands = F.transform(F.sequence(F.lit(0), F.lit(limit.bands - 1)), lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("sketch", j * 2 * ROWS + 1, 2 * ROWS)).alias("key")))
+        keyed = classes.select("node", F.explode(bands).alias("x")).select("node", "x.band", "x.key")
+        shared = stage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-shared")
+        members = stage(keyed.join(checked_small(shared), "key"), "near-members")
+        comp = stage(members.select("node").distinct().select("node", F.col("node").alias("comp")), "near-comp")
+        some = stage(classes.join(checked_small(comp), "node", "left_semi"), "near-some")
+        sets = staged_texts(sets_of(docs, stage(some.select(F.col("least").alias("id")).distinct(), "near-ids"), id_col, text_col), "near-sets")
+
+        pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
-        open_ = mixed(open_.select("key", "band", "node"), comp)
-    if not open_.isEmpty():
-        comp = merged(comp, squares(open_, some, sets, limit))
-
-    by_node = classes.select("node", "least").join(comp, "node", "left")
-    joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "near-least")
-    reached = stage(by_node.join(joined, "comp", "left").select("node", F.coalesce("component", "least").alias("component")), "near-reached")
+        open_ = mixed(members.select("key", "band", "node"), comp)
+        for turn in range(1, HUB_ROUNDS):
+            if open_.isEmpty():
+                break
+            hubs = stage(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("x")).select("key", "x.hub", "x.hub_comp"), "near-hubs")
+            pairs = open_.join(checked_small(hubs), "key").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            comp = merged(comp, confirmed(pairs.distinct(), some, sets, limit))
+            open_ = mixed(open_.select("key", "band", "node"), comp)
+        if not open_.isEmpty():
+            comp = merged(comp, squares(open_, some, sets, limit))
+
+        by_node = classes.select("node", "least").join(comp, "node", "left")
+        joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "near-least")
+        reached = stage(by_node.join(joined, "comp", "left").select("node", F.coalesce("component", "least").alias("component")), "near-reached", keep=True)
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component"), *more)
     return full.join(reached, "node").select("id", "n", "component", *more).unionByName(alone).withColumnRenamed("n", "n_shingles")
 
@@ -403,6 +404,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limit, digest = Limit(least), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     keyed = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("row"), docs[text_col].alias("text"))
     rows = sketched(keyed, "row", "text", limit.slots).select("id.id", "id.digest", "n", "node", "sketch")
-    groups = _grouped(docs, rows, id_col, text_col, limit)
-    gone = stage(groups.where("id is not null and component is not null and id != component").select("id", "digest").distinct(), "near-gone")
+    with scratch():
+        groups = _grouped(docs, rows, id_col, text_col, limit)
+        gone = stage(groups.where("id is not null and component is not null and id != component").select("id", "digest").distinct(), "near-gone", keep=True)
     return matching(docs, {"id": docs[id_col], "digest": digest}, gone, "left_anti")

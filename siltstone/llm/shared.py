@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: The folders of the scratch blocks that are open, the innermost last.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """The path of a new folder in the shared one; the scratch block that is open, if any, deletes it: see there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    blocks = _scratch.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Folders, mostly tables that stage() writes in this block are deleted at its end, but for those with `keep`, which then belong to
+    the block around it. What leaves the block must read kept tables only. Where a file system is unknown to pyarrow
+    the tables stay, for the deployment to delete."""
+    outer, own = _scratch.get(), []
+    token = _scratch.set((*outer, own))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            try:
+                store, folder = fs.FileSystem.from_uri(path)
+                store.delete_dir(folder)
+            except (pa.ArrowInvalid, OSError):
+                continue
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder once and read it back: later steps neither recompute it nor
     depend on an executor that may be lost, and the planner knows its size."""
-    path = new_folder(df.sparkSession, name)
+    path = new_folder(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -112,10 +142,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
-def staged_texts(df: DataFrame, name: str) -> DataFrame:
+def staged_texts(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """stage() for a table that comes from texts through Python, in small Arrow batches."""
     with small_batches(df.sparkSession):
-        return stage(df, name)
+        return stage(df, name, keep)
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

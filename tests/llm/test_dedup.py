@@ -135,7 +135,7 @@ def test_exact_state_is_met_again_and_sieves_keep_results(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, _dedup_digest string, row int").repartition(8)
     seen, real = [], exact_dedup.stage
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(exact_dedup, "stage", lambda d, name: seen.append(name) or real(d, name))
+    monkeypatch.setattr(exact_dedup, "stage", lambda d, name, **how: seen.append(name) or real(d, name, **how))
     got = sorted(((r.id, r.keep, r.n) for r in exact_dedup.exact_groups(df).collect()), key=str)
     groups = defaultdict(list)
     for i, t, *_ in rows:

@@ -82,3 +82,14 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(names)
+
+
+def test_run_leaves_only_what_is_read(spark):
+    """Folders of the shared directory that run() leaves: the documents of the stages before BPE, and what the result reads."""
+    import glob
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/*"))
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{shared}/*")) - before}
+    assert rows and left <= {*(f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES), "bpe"}
