@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, near_dedup, quality
 from siltstone.llm.queries import encoded_and_decoded
-from siltstone.llm.shared import matching, stage, staged_texts, table
+from siltstone.llm.shared import matching, scratch, stage, staged_texts, table
 
 #: A document goes if the probability that its quality is good is below this.
 LEAST_QUALITY = 0.5
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way is deleted when its documents are written."""
     docs = table(spark, sf_dir, "documents")
     for name, work in STAGES[:-1]:
-        docs = stage(work(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            docs = stage(work(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
