@@ -1,4 +1,8 @@
-"""The queries of the operators, each over its whole table, and their SQL where SQL can say it."""
+"""The queries of the operators, each over its whole table, and their SQL where SQL can say it.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns come out as the docstring
+of each operator says; a query adds nothing to that but the columns that it derives.
+"""
 
 from __future__ import annotations
 
@@ -28,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixing.mix() of all documents: a row each, also of those that the mix leaves out (taken 0, no position)."""
     mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     ordered = in_training_order(mixed, F.try_element_at("positions", F.lit(1)))
     return ordered.select("row.doc_id", "row.source", "size", "source_size", "target", "taken", F.floor(F.try_element_at("positions", F.lit(1)) * 1e6).alias("position_ppm"))
@@ -66,6 +71,7 @@ from y
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bpe.encode_and_decode() of all documents; a null text has no ids and decodes to an empty one."""
     return encoded_and_decoded(table(spark, sf_dir, "documents"))
 
 
@@ -76,14 +82,17 @@ def encoded_and_decoded(docs: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """warc.archived() of all pages, read back through the stored index."""
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """html_extraction.extract() of all pages; an empty text where a page has none."""
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topk_search.top_k() of all vectors for those whose id is divisible by 100."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
@@ -102,14 +111,17 @@ def _scored(scores: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity.toxicity() of all documents; labels of a third of the identifiers are held out."""
     return _scored(toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality.quality() of all documents; labels of a quarter of the identifiers are held out."""
     return _scored(quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup.exact_groups() of all documents, streamed in several triggers."""
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
 
@@ -122,6 +134,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_dedup.near_groups() of all documents, linked from a similarity of 0.85 on."""
     groups = near_groups(table(spark, sf_dir, "documents"), least=85)
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
@@ -142,6 +155,7 @@ select g.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, g.doc_id
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sharding.sharded() of all documents, whole, by the law of the key; the digest columns come from what was written."""
     shards = sharded(table(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
     return shards.select("row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -64,9 +64,9 @@ def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Folders, mostly tables that stage() writes in this block are deleted at its end, but for those with `keep`, which then belong to
-    the block around it. What leaves the block must read kept tables only. Where a file system is unknown to pyarrow
-    the tables stay, for the deployment to delete."""
+    """Folders made in this block, mostly tables that stage() writes, are deleted at its end, but for those with
+    `keep`, which then belong to the block around it. What leaves the block must read kept tables only. Where a file
+    system is unknown to pyarrow the tables stay, for the deployment to delete."""
     outer, own = _scratch.get(), []
     token = _scratch.set((*outer, own))
     try:

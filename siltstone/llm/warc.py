@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_small, new_folder, stage, staged_texts
+from .shared import is_small, matching, new_folder, stage, staged_texts
 
 #: Bytes between two wanted ranges that are cheaper to read than to skip, and the most one read takes.
 GAP, READ = 64 << 10, 8 << 20
@@ -86,13 +86,22 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
 
     A null body is empty, a null URL an empty one; line breaks in a URL become spaces. Repeated rows
     are written each; all that share the largest id of their payload are responses. A null id counts
-    as the smallest; a group with null ids only holds responses.
+    as the smallest; a group with null ids only holds responses. Pages of any length are one record each; no pages
+    give no archive and an empty index. Other columns may have any name.
     """
     root = path.rstrip("/")
     body = F.coalesce(pages[body_col], F.lit(""))
     again = revisits(pages, least_bytes, id_col, body_col)
     rows = pages.select(pages[id_col].cast("long").alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), body.cast("binary").alias("body"), F.sha1(body.cast("binary")).alias("sha1"))
-    rows = rows.join(checked_small(again).withColumnRenamed("id", "other").withColumnRenamed("sha1", "same"), (F.col("sha1") == F.col("same")) & F.col("id").eqNullSafe(F.col("other")), "left")
+    other = again.select(F.col("id").alias("other"), F.col("sha1").alias("same"), "refers_to")
+    same = (F.col("sha1") == F.col("same")) & F.col("id").eqNullSafe(F.col("other"))
+    columns = ["id", "url", "body", "refers_to"]
+    if is_small(again):
+        rows = rows.join(F.broadcast(other), same, "left").select(*columns)
+    else:  # pages that revisit nothing stay where they are
+        on = {"id": rows["id"], "sha1": rows["sha1"]}
+        first = matching(rows, on, again, "left_anti").select("id", "url", "body", F.lit(None).cast("long").alias("refers_to"))
+        rows = first.unionByName(matching(rows, on, again, "left_semi").join(other, same).select(*columns))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(root)
@@ -115,7 +124,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         if out is not None:
             out.close()
 
-    return staged_texts(rows.select("id", "url", "body", "refers_to").mapInArrow(write, INDEX), "warc-index")
+    return staged_texts(rows.mapInArrow(write, INDEX), "warc-index")
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -137,7 +146,7 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) -
 def read_warc(index: DataFrame, path: str, payloads: bool = True, block: int = 64 << 20) -> DataFrame:
     """The records of the index rows given, a row each; `payload` is null for revisits, and for all
     records unless `payloads`. Rows are grouped by file and blocks of it, so that one large archive
-    is read by several tasks."""
+    is read by several tasks. An index row that is given twice is read twice; an empty index gives no rows."""
     root = path.rstrip("/")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +170,6 @@ def read_warc(index: DataFrame, path: str, payloads: bool = True, block: int = 6
 
 
 def archived(pages: DataFrame, **how) -> DataFrame:
-    """Write the pages as WARC into the shared folder and read every record back."""
+    """Write the pages as WARC into the shared folder and read every record back; odd rows as in write_warc()."""
     path = new_folder(pages.sparkSession, "warc")
     return read_warc(write_warc(pages, path, **how), path)

@@ -61,3 +61,14 @@ def test_minimum_bytes(spark):
 def test_coalescing():
     assert coalesced([(0, 10), (12, 5), (100, 5), (500, 1)], gap=5, most=50) == [(0, 17, 0, 1), (100, 105, 2, 2), (500, 501, 3, 3)]
     assert coalesced([(0, 30), (30, 30)], gap=5, most=50) == [(0, 30, 0, 0), (30, 60, 1, 1)]
+
+
+def test_revisits_beyond_broadcasts(spark, monkeypatch):
+    from siltstone.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame([(i, f"u{i}", f"body {i % 7}") for i in range(40)] + [(None, "n", "body 3"), (50, "x", "alone")], "page_id long, url string, html string")
+    path = new_folder(spark, "warc")
+    got = {r.page_id: r.refers_to for r in read_warc(write_warc(df, path), path).collect()}
+    top = {i % 7: i for i in range(40)}
+    assert got == {i: None if i == top[i % 7] else top[i % 7] for i in range(40)} | {None: top[3], 50: None}
