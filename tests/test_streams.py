@@ -68,3 +68,10 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         tables.shared_folder(Session(), "x")
+
+
+def test_repeated_events_come_once(spark, tmp_path):
+    rows = [(i % 20, T0 + timedelta(minutes=i % 20), i, "click", 1.0, "{}") for i in range(60)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    out = streams.finished(streams.first_of_each(streams.stream(spark, str(tmp_path), files=1), ["event_id"])).collect()
+    assert sorted(r.event_id for r in out) == list(range(20))
