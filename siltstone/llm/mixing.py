@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, checked_small, scratch, stage
+from .shared import WORD, checked_small, scratch, stage, tasks_for
 
 Schedule = Sequence[tuple[float, float]]
 
 #: Integrals 3, 1 and 2: the first kind of source fades out, the second fades in, the third is level.
 CURRICULUM: tuple[Schedule, ...] = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 2.0), (1.0, 2.0)))
 
-#: Rows of a source that one slice should hold.
-SLICE_ROWS = 20_000
+#: Rows of a source that one slice should hold; bytes that a word of a document takes, white space included, about.
+SLICE_ROWS, WORD_BYTES = 20_000, 8
 
 
 def _segments(schedule: Schedule) -> Column:
@@ -167,10 +167,11 @@ def mixed_documents(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM
     """The documents themselves, whole, each as often as the mix takes at least half of it in a pass, in training
     order over partitions and within them, with the columns of docs, whose names may be any. Null texts and those
     without words are never taken; else as mix()."""
-    columns, parts = _columns(docs, seed, id_col, text_col, source_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = _columns(docs, seed, id_col, text_col, source_col)
     with scratch():
         narrow = stage(docs.select(*columns), "mix-sizes")
         slices, sliced = _sliced(narrow, curriculum, share, max_repeat)
+        parts = tasks_for(docs.sparkSession, (slices.agg(F.sum("words")).first()[0] or 0) * share * WORD_BYTES)
         runs = _cuts(narrow, slices, sliced, curriculum, max_repeat, parts)
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), *columns).where("size > 0").drop("source", "id").withColumn("slice", sliced)

@@ -148,6 +148,12 @@ def staged_texts(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         return stage(df, name, keep)
 
 
+def tasks_for(spark: SparkSession, total_bytes: float, task_bytes: int = 256 << 20, most: int = 200_000) -> int:
+    """Tasks for a shuffle of wide rows: the session's number of shuffle partitions, or more where these would get
+    more than `task_bytes` each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-int(total_bytes) // task_bytes)))
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; after the last one a reused Python worker gives Arrow's free memory back."""
     yield from batches

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import is_small, matching, new_folder, stage, staged_texts
+from .shared import is_small, matching, new_folder, stage, staged_texts, tasks_for
 
 #: Bytes between two wanted ranges that are cheaper to read than to skip, and the most one read takes.
 GAP, READ = 64 << 10, 8 << 20
@@ -164,7 +164,7 @@ def read_warc(index: DataFrame, path: str, payloads: bool = True, block: int = 6
                             found = [(*r[:-1], None) for r in found]
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
 
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(index.sparkSession, index.agg(F.sum("length")).first()[0] or 0)
     placed = index.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / block)).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(read, RECORD)
 
