@@ -114,7 +114,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = lambda df: {"id": df[id_col], "digest": F.sha2(normalised(df[text_col]), 256)}
     with scratch():
         entries, groups = _grouped(docs, id_col, text_col)
-        gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest").distinct(), "dedup-gone", keep=True)
+        gone = stage(groups.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "digest"), "dedup-gone", keep=True)  # no grouping, so that the join can split a hot digest
         twice = stage(entries.groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "dedup-twice", keep=True)
     held = matching(docs, keys(docs), gone, "left_anti")
     if twice.isEmpty():
