@@ -73,7 +73,7 @@ class Limit:
 DEFAULT = Limit(85)
 
 #: Rounds with one hub a bucket; members of a block of a compared bucket, and bytes of their sets; bytes of text at once.
-HUB_ROUNDS, SQUARE, SQUARE_BYTES, BLOCK = 2, 300, 4 << 20, 2 << 20
+HUB_ROUNDS, SQUARE, SQUARE_BYTES, BLOCK = 2, 200, 4 << 20, 2 << 20
 
 U = np.uint64
 
