@@ -23,11 +23,15 @@ from .shared import ascii_lower, checked_small, matching, new_folder, scratch, s
 TRIGGERS = 4
 
 #: The disk-backed state store. Each state partition takes only the disk that it fills, and ships changes
-#: instead of whole snapshots, so that many small partitions stay small.
+#: instead of whole snapshots, so that many small partitions stay small; all partitions of an executor share
+#: one bound of memory, and a write buffer reserves an eighth of its size at once.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 
 
