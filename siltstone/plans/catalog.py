@@ -315,14 +315,14 @@ def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _longest_pause(events: pd.DataFrame) -> pd.DataFrame:
     at = np.sort(events["us"].to_numpy())
-    return pd.DataFrame({"user_id": events["user_id"].iloc[:1], "day": events["day"].iloc[:1], "n": [len(at)], "pause_us": [int(np.diff(at).max(initial=0))]})
+    return pd.DataFrame({"user_id": events["user_id"].iloc[:1], "month": events["month"].iloc[:1], "n": [len(at)], "pause_us": [int(np.diff(at).max(initial=0))]})
 
 
 def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pandas function for each user and day, a group that a person's day bounds."""
+    """A pandas function for each user and month, a group that what a person does in a month bounds."""
     at = F.col("ts").cast("timestamp")
-    events = table(spark, sf_dir, "events").select("user_id", F.unix_date(at.cast("date")).cast("long").alias("day"), F.unix_micros(at).alias("us"))
-    return events.groupBy("user_id", "day").applyInPandas(_longest_pause, "user_id long, day long, n long, pause_us long")
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_date(F.trunc(at.cast("date"), "month")).cast("long").alias("month"), F.unix_micros(at).alias("us"))
+    return events.groupBy("user_id", "month").applyInPandas(_longest_pause, "user_id long, month long, n long, pause_us long")
 
 
 @F.udtf(returnType="place long, word string", useArrow=True)
@@ -378,9 +378,9 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         select * from w where last_at + interval 30 minute <= (select max(ts) from events) - interval 10 minute"""),
     "streamed_days": (streamed_days, "select user_id, count(*) as days, max(n) as busiest from (select user_id, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2) group by 1"),
     "grouped_frames": (grouped_frames, """
-        with e as (select user_id, cast(date_diff('day', date '1970-01-01', cast(ts as date)) as bigint) as day, epoch_us(ts) as us from events),
-        p as (select *, us - lag(us) over (partition by user_id, day order by us) as pause from e)
-        select user_id, day, count(*) as n, cast(coalesce(max(pause), 0) as bigint) as pause_us from p group by 1, 2"""),
+        with e as (select user_id, cast(date_diff('day', date '1970-01-01', cast(date_trunc('month', ts) as date)) as bigint) as month, epoch_us(ts) as us from events),
+        p as (select *, us - lag(us) over (partition by user_id, month order by us) as pause from e)
+        select user_id, month, count(*) as n, cast(coalesce(max(pause), 0) as bigint) as pause_us from p group by 1, 2"""),
     "table_function": (table_function, "select p_partkey, cast(place as bigint) as place, string_split(p_name, ' ')[place] as word from (select *, unnest(range(1, len(string_split(p_name, ' ')) + 1)) as place from part)"),
     "quantiles": (quantiles, "select l_returnflag, median(l_quantity) as median, quantile_cont(l_quantity, 0.9) as p90, round(stddev(l_quantity), 6) as spread from lineitem group by 1"),
     "distinct_estimate": (distinct_estimate, "select count(distinct l_orderkey) as exact, true as within from lineitem"),
