@@ -31,7 +31,8 @@ def _fisher_yates(seed: int):
     def shuffle(key: tuple, bucket: pa.Table) -> pa.Table:
         """One bucket, in Fisher-Yates order, with the place of each record. Records come in any
         order from the exchange, so they are first put in one of their own."""
-        shard, number = (k.as_py() for k in key)
+        _, shard, number = (k.as_py() for k in key)
+        bucket = bucket.drop_columns(["_task"])
         bucket = bucket.take(pa.compute.sort_indices(bucket, sort_keys=[("_tie", "ascending")]))
         order = np.arange(bucket.num_rows)
         np.random.default_rng([seed, shard, number]).shuffle(order)
@@ -58,8 +59,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 29, bu
         F.pmod(spread, F.lit(buckets)).cast("int").alias("_bucket"), F.xxhash64(docs[id_col], text_hash, F.lit(seed + 2)).alias("_tie"),
     )
     schema = T.StructType([*scattered.schema.fields, T.StructField("_place", T.LongType())])
-    tasks = min(TASKS, buckets * shards)  # a task holds one bucket at a time
-    shuffled = scattered.repartition(tasks, "_shard", "_bucket").groupBy("_shard", "_bucket").applyInArrow(_fisher_yates(seed), schema)
+    tasks = min(TASKS, buckets * shards)  # a bucket each; beyond TASKS several, one after another
+    task = F.pmod(F.col("_shard") * F.lit(buckets) + F.col("_bucket"), F.lit(tasks)).cast("int")
+    shuffled = scattered.withColumn("_task", task).repartitionById(tasks, "_task").groupBy("_task", "_shard", "_bucket").applyInArrow(_fisher_yates(seed), schema)
     shuffled.drop("_tie").write.parquet(path)
     written = docs.sparkSession.read.schema(shuffled.drop("_tie").schema).parquet(path)
     counts = written.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
