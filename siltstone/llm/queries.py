@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
 from .exact_dedup import exact_groups
+from .fill_in_middle import fill_in_middle, restored
 from .html_extraction import extract
 from .mixing import in_training_order, mix
 from .near_dedup import near_groups
@@ -171,5 +172,36 @@ select page_id, payload_bytes, payload_digest, case when page_id = top then 'res
 from p join g using (h) join b using (h)
 """
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL}
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fill_in_middle.fill_in_middle() of all documents; the text is rebuilt from each output and its form."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = cut.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+    return staged_texts(digests, "fill-in-middle")
+
+
+#: Eight hexadecimal digits as a number.
+_HEX8 = "list_sum(list_transform(range(0, 8), lambda i: (strpos('0123456789abcdef', h[{0} + i + 1]) - 1) * (16 ** (7 - i))::bigint))::bigint"
+
+OP13_SQL = rf"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units from documents
+), k as (
+  select *, len(units)::bigint as n, {_HEX8.format(0)} as h1, {_HEX8.format(8)} as h2, {_HEX8.format(16)} as h3, {_HEX8.format(24)} as h4 from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from k
+), p as (
+  select *, array_to_string(units[1 : a], '') as prefix, array_to_string(units[a + 1 : b], '') as middle, array_to_string(units[b + 1 : n], '') as suffix from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards, "op13_fill_in_middle": op13_fill_in_middle}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
