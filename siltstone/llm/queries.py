@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
+from .collocations import collocations
 from .exact_dedup import exact_groups
 from .fill_in_middle import fill_in_middle, restored
 from .html_extraction import extract
@@ -173,6 +174,32 @@ from p join g using (h) join b using (h)
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """collocations.collocations() of all documents: the first 2,000 phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+t as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (select lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(ws) - m + 2), lambda i: ws[i : i + m - 1])))) as ph from w),
+f as (select lang, ph, count(*)::bigint as a from g group by all having count(*) >= 100),
+c as (select * from f where len(ph) >= 2),
+i as (select lang, a, unnest(flatten(list_transform(range(2, len(ph)), lambda m: list_transform(range(1, len(ph) - m + 2), lambda i: ph[i : i + m - 1])))) as ph from c where len(ph) >= 3),
+b as (select lang, ph, max(a) as longer from i group by all),
+k as (select lang, ph, a, unnest(range(1, len(ph))) as k from c where not exists (select 1 from b where b.lang = c.lang and b.ph = c.ph and 100 * b.longer >= 100 * c.a)),
+s as (
+  select k.lang, k.ph, k.a, k.k, x.a as l, y.a as r, t.n, ((1000::hugeint * k.a * t.n) // (x.a::hugeint * y.a))::bigint as score
+  from k join f x on x.lang = k.lang and x.ph = k.ph[1 : k.k] join f y on y.lang = k.lang and y.ph = k.ph[k.k + 1 :] join t on t.lang = k.lang
+), m as (select *, row_number() over (partition by lang, ph order by score, k) as o from s),
+o as (select lang, array_to_string(ph, ' ') as phrase, a, l, r, n, score from m where o = 1)
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o) where rank <= 2000
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fill_in_middle.fill_in_middle() of all documents; the text is rebuilt from each output and its form."""
     cut = fill_in_middle(table(spark, sf_dir, "documents"))
@@ -203,5 +230,5 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint en
 from p
 """
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards, "op13_fill_in_middle": op13_fill_in_middle}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards, "op12_collocations": op12_collocations, "op13_fill_in_middle": op13_fill_in_middle}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
