@@ -18,6 +18,7 @@ from .collocations import collocations
 from .exact_dedup import exact_groups
 from .fill_in_middle import fill_in_middle, restored
 from .html_extraction import extract
+from .jaccard_join import jaccard_groups
 from .mixing import in_training_order, mix
 from .near_dedup import near_groups
 from .quality import quality
@@ -174,6 +175,14 @@ from p join g using (h) join b using (h)
 """
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_join.jaccard_groups() of all documents, linked from a similarity of 0.80 on."""
+    return jaccard_groups(table(spark, sf_dir, "documents"), least=80).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+OP11_SQL = OP9_SQL.replace("100 * c >= 85 *", "100 * c >= 80 *").replace(", g.doc_id = component_id as kept", "")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """collocations.collocations() of all documents: the first 2,000 phrases of each language."""
     return collocations(table(spark, sf_dir, "documents"))
@@ -230,5 +239,5 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint en
 from p
 """
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards, "op12_collocations": op12_collocations, "op13_fill_in_middle": op13_fill_in_middle}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_exact_dedup": op7_exact_dedup, "op8_topk": op8_topk, "op9_near_dedup": op9_near_dedup, "op10_shards": op10_shards, "op11_jaccard_join": op11_jaccard_join, "op12_collocations": op12_collocations, "op13_fill_in_middle": op13_fill_in_middle}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL, "op12_collocations": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
