@@ -17,7 +17,7 @@ the running sum within its slice gives its exact position.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,12 +55,21 @@ def _inverted(segments: Column, y: Column) -> Column:
     return F.least(s["t1"], s["t0"] + F.when(left > 0, 2.0 * left / (s["w"] + root)).otherwise(0.0))
 
 
+def _integrated(schedule: Schedule, t: Column) -> Column:
+    """The integral of the schedule up to time t."""
+    segments = _segments(schedule)
+    s = F.element_at(F.filter(segments, lambda x: (x["t0"] <= t) | (x["t0"] == F.element_at(segments, 1)["t0"])), -1)
+    gone = F.greatest(F.least(t, s["t1"]) - s["t0"], F.lit(0.0))
+    return s["before"] + gone * (s["w"] + s["slope"] * gone / 2.0)
+
+
 def targets(sizes: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
     """sizes (key, source, source_size; a row per source) with weight, target and the schedule's turn (from 1).
 
     Sources in code point order, null last, take the schedules of the curriculum in turn. The level
     at which sharing by weight ends is found in closed form: in order of capacity over weight, the
-    first source that its share doesn't fill settles the level for itself and all after it.
+    first source that its share doesn't fill settles the level for itself and all after it. A source whose schedule
+    is 0 throughout has a target of 0, also where others can't take all of the budget.
     """
     order = W.orderBy(F.col("source").isNull(), "source")  # a row per source
     turn = (F.row_number().over(order) - 1) % len(curriculum)
@@ -69,11 +78,11 @@ def targets(sizes: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share
     filling = W.orderBy("ratio", F.col("source").isNull(), "source")
     turn_at = F.col("turn")
     t = sizes.select("key", "source", "source_size", weight.alias("weight"), (turn + 1).cast("int").alias("turn"))
-    t = t.withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = t.withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf"))))
     left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(filling.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    t = t.withColumn("level", left / F.sum("weight").over(filling.rowsBetween(0, W.unboundedFollowing)))
+    t = t.withColumn("level", F.try_divide(left, F.sum("weight").over(filling.rowsBetween(0, W.unboundedFollowing))))
     t = t.withColumn("level", F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull(), "source"))).over(everything))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
+    target = F.when(F.col("weight") <= 0, F.lit(0.0)).when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return t.select("key", "source_size", "weight", turn_at.alias("turn"), target.alias("target"))
 
 
@@ -141,11 +150,23 @@ def in_training_order(mixed: DataFrame, position: Column) -> DataFrame:
     return mixed.withColumn("due", F.coalesce(position, after)).repartitionByRange(n, "due").sortWithinPartitions("due", "ticket")
 
 
+def _demand(slices: DataFrame, curriculum: Sequence[Schedule]) -> Callable[[Column], Column]:
+    """The share of all demanded words that is due up to a time. A source demands its goal in proportion to the
+    integral of its schedule, so the sources of one schedule add up to one number, of which there are as many as
+    schedules."""
+    each = slices.select("key", "turn", "weight", _goal().alias("goal")).distinct().where("goal > 0")
+    by_turn = {r.turn: r.per_weight for r in each.groupBy("turn").agg(F.sum(F.col("goal") / F.col("weight")).alias("per_weight")).collect()}
+    total = sum(integral(curriculum[turn - 1]) * per for turn, per in by_turn.items())
+    return lambda t: sum((_integrated(curriculum[turn - 1], t) * (per / total) for turn, per in sorted(by_turn.items())), F.lit(0.0))
+
+
 def _cuts(narrow: DataFrame, slices: DataFrame, sliced: Column, curriculum: Sequence[Schedule], max_repeat: int, parts: int) -> DataFrame:
     """For each slice (key, slice) of which documents are taken: weight, turn, target and, as an array, its runs of
     tickets that are due within one part of training time: pass, lo and hi (tickets from lo to below hi; null is
-    the end), part, and base, the words before the run in the source's demand."""
-    part = lambda at: F.least(F.lit(parts - 1), F.floor(_due(curriculum, at) * parts)).cast("int")
+    the end), part, and base, the words before the run in the source's demand. Parts are stretches of time in which
+    equally many words are due, however steep the schedules are."""
+    demand = _demand(slices, curriculum)
+    part = lambda at: F.least(F.lit(parts - 1), F.floor(demand(_due(curriculum, at)) * parts)).cast("int")
     each = slices.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))).withColumn("from", F.col("before") + F.col("pass") * F.col("source_size")).where((F.col("words") > 0) & (F.col("from") < _goal()))
     each = stage(each.withColumn("part", part(F.col("from"))).withColumn("last", part(F.least(_goal(), F.col("from") + F.col("words")))), "mix-passes")
     about = ["key", "slice", "pass", "weight", "turn", "target"]

@@ -103,3 +103,43 @@ def test_reruns_agree_without_identifiers(spark):
         got = mix(docs(spark, rows).repartition(n), keep=["doc_id", "text"]).select("row.*", "taken", "positions", "ticket").collect()
         runs.append(sorted(map(str, got)))
     assert runs[0] == runs[1] == runs[2] and len({r.ticket[:2] for r in got}) > 1
+
+
+STEEP = [
+    (((0.0, 0.0), (0.9, 0.01), (1.0, 20.0)), ((0.0, 0.0), (0.8, 0.02), (1.0, 9.0))),
+    (((0.0, 0.0), (0.94, 0.0), (0.95, 50.0), (1.0, 50.0)),),
+    (((0.0, 30.0), (0.02, 0.0), (1.0, 0.0)), ((0.0, 0.0), (0.5, 1.0), (1.0, 0.0))),
+]
+
+
+@pytest.mark.parametrize("curriculum", STEEP)
+def test_steep_schedules_fill_parts_alike(spark, curriculum):
+    """No part holds more than twice the mean of words, and the order is still that of the positions."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (i * 7 % 40 + 1), "aab"[i % 3], f"k{i}") for i in range(1600)]
+    df = docs(spark, rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = mixed_documents(df, curriculum)
+        got = [(r.doc_id, r.size) for r in out.collect()]
+        words = [r.words for r in out.groupBy(F.spark_partition_id()).agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("words")).collect()]
+        placed = mix(df, curriculum, keep=["doc_id", "size"]).selectExpr("row.*", "size as words", "copies", "positions", "ticket").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = []
+    for r in placed:
+        taken = [c for c in r.copies if c > 0]
+        want += [((p, r.ticket), (r.doc_id, r["size"])) for c, p in zip(taken, r.positions, strict=True) if 2 * c >= r.doc_id * 7 % 40 + 1]
+    assert got == [w for _, w in sorted(want, key=lambda w: w[0])]
+    assert max(words) <= 2 * sum(words) / 16
+
+
+@pytest.mark.parametrize("curriculum", [(((0.0, 0.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, 1.0))), (((0.0, 0.0), (1.0, 0.0)),)])
+def test_a_source_of_no_weight_is_left_out(spark, curriculum):
+    rows = [(i, "w " * 10, "ab"[i % 2], None) for i in range(100)]
+    got = mix(docs(spark, rows), curriculum, keep=["source"]).collect()
+    assert {(r.row.source, r.target) for r in got} == {("a", 0.0), ("b", 1000.0 if len(curriculum) > 1 else 0.0)}
+    assert all(r.taken == 0 for r in got if r.row.source == "a") and len(got) == 100
+    assert {r.source for r in mixed_documents(docs(spark, rows), curriculum).collect()} <= {"b"}
