@@ -9,10 +9,15 @@ and the count only grow, the maximum over all triggers is the state itself.
 
 Then the hits, digests seen more than once, are checked on full bytes: the content at the retained locator is
 compared with each text under that digest. Texts without a hit stay where they are.
+
+The state of a call lives as long as the call, unless a folder is named that keeps it: then the next table that is
+streamed meets all that came before, and of earlier tables nothing is read but the content at the locators of hits.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +44,13 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+def stream_state(entries: DataFrame, files_per_trigger: int | None = None, kept: str | None = None) -> DataFrame:
     """entries (id, digest, file, row), a staged table, through the keyed state: digest, keep, file, row, n. Without
-    files_per_trigger the table is streamed in TRIGGERS triggers."""
+    files_per_trigger the table is streamed in TRIGGERS triggers. With `kept` the state goes on from what this folder
+    holds, and all digests that ever came are returned."""
     spark = entries.sparkSession
     files = [] if entries.isEmpty() else entries.inputFiles()
-    out, at = new_folder(spark, "dedup-state"), new_folder(spark, "dedup-checkpoint")
+    out, at = (f"{kept}/state", f"{kept}/checkpoint") if kept else (new_folder(spark, "dedup-state"), new_folder(spark, "dedup-checkpoint"))
     top = F.struct("id", "file", "row").alias("top")
     if files:
         old = {k: spark.conf.get(k, None) for k in STATE}
@@ -52,13 +58,15 @@ def stream_state(entries: DataFrame, files_per_trigger: int | None = None) -> Da
             spark.conf.set(k, v)
         try:
             reader = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", files_per_trigger or -(-len(files) // TRIGGERS))
-            state = reader.parquet(files[0].rsplit("/", 1)[0]).groupBy("digest").agg(F.max(top).alias("top"), F.count(F.lit(1)).alias("n"))
+            state = reader.parquet(f"{kept}/entries/*" if kept else files[0].rsplit("/", 1)[0]).groupBy("digest").agg(F.max(top).alias("top"), F.count(F.lit(1)).alias("n"))
             emit = lambda changed, trigger: changed.write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
             state.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
         finally:
             for k, v in old.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         emitted = spark.read.parquet(out).select("digest", "top", "n")
+    elif kept:
+        raise ValueError("a kept state takes no empty table")
     else:
         emitted = entries.select("digest", top, F.lit(1).cast("long").alias("n")).limit(0)
     last = emitted.groupBy("digest").agg(F.max("top").alias("top"), F.max("n").alias("n"))
@@ -80,17 +88,40 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", text.alias("text"), "file", "row").withColumn("digest", F.sha2("text", 256))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _kept_entries(rows: DataFrame, kept: str) -> DataFrame:
+    """The entries of a table, written beside those of earlier ones."""
+    path = f"{kept}/entries/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _earlier(hits: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | None:
+    """digest and text of the hits whose content is in files of earlier tables; of these only the rows at the locators."""
+    others = [r.file for r in hits.select("file").distinct().join(entries.select("file").distinct(), "file", "left_anti").collect()]  # a row a file
+    if not others:
+        return None
+    old = hits.sparkSession.read.parquet(*others)
+    place = {c: old.metadataColumn("_metadata")[f] for c, f in (("file", "file_path"), ("row", "row_index"))}
+    at = old.select(old[text_col].alias("text"), *(v.alias(c) for c, v in place.items()))
+    return at.join(checked_small(hits), ["file", "row"]).select("digest", normalised(F.col("text")).alias("text"), "file", "row")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int | None = None, kept: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The staged entries (id, digest, file, row), and the groups of exact_groups()."""
     rows = located(docs, id_col, text_col)
-    entries = stage(rows.select("id", "digest", "file", "row"), "dedup-entries")
-    state = stream_state(entries, files_per_trigger)
+    narrow = rows.select("id", "digest", "file", "row")
+    entries = _kept_entries(narrow, kept) if kept else stage(narrow, "dedup-entries")
+    state = stream_state(entries, files_per_trigger, kept)
+    if kept:
+        state = stage(matching(state, {"digest": state["digest"]}, stage(entries.select("digest").distinct(), "dedup-here"), "left_semi"), "dedup-met")
 
     # Full bytes of the hits: those at the retained locator are the content of a digest, other bytes are unequal to it.
     # Copies meet in the task that reads them, so that a large group sends one row from each.
     hits = stage(state.where("n > 1").select("digest", "file", "row"), "dedup-hits")
     place = checked_small(hits).select("digest", F.struct("file", "row").alias("content"))
-    texts = matching(rows, {"digest": rows["digest"]}, hits, "left_semi").join(place, "digest").select("digest", F.encode("text", "utf-8").alias("bytes"), (F.struct("file", "row") == F.col("content")).alias("here"))
+    texts = matching(rows.select("digest", "text", "file", "row"), {"digest": rows["digest"]}, hits, "left_semi")
+    earlier = _earlier(hits, entries, text_col) if kept else None
+    texts = (texts if earlier is None else texts.unionByName(earlier)).join(place, "digest").select("digest", F.encode("text", "utf-8").alias("bytes"), (F.struct("file", "row") == F.col("content")).alias("here"))
     unequal = stage(texts.groupBy("digest", "bytes").agg(F.max("here").alias("here")).where("not here").select("digest").distinct(), "dedup-unequal")
     groups = entries.select("id", "digest").join(state.select("digest", "keep", "n"), "digest")
     if unequal.isEmpty():
@@ -102,15 +133,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_trigger: int
     return entries, groups.join(unequal, "digest", "left_anti").unionByName(split)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int | None = None, kept: str | None = None) -> DataFrame:
     """A row per row of docs: id, digest (SHA-256 of the normalised text), keep, n (size of its group).
 
     A null text is an empty one; empty texts form a group like others. Texts are equal when they are
     so after lower-casing A-Z, whole and of any length. The largest identifier of a group stays, null counts as
     the smallest; of repeated rows with that identifier all carry it as `keep`. An empty table gives no rows.
     Only `id_col` and `text_col` are read; other columns may have any name.
+
+    Without `kept` the state is that of this table alone and goes with the call. `kept` names a folder, shared by the
+    driver and all executors, that holds the state of earlier tables, or is new: then keep and n are those of all
+    tables so far, whose files must still be where they were and have the same column of texts. Tables are then read
+    from Parquet and not empty; a table that is given twice counts twice. Digests that stand for several texts are
+    told apart within the table that is given.
     """
-    return _grouped(docs, id_col, text_col, files_per_trigger)[1]
+    return _grouped(docs, id_col, text_col, files_per_trigger, kept)[1]
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

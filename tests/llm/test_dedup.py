@@ -42,6 +42,24 @@ def test_exact_bytes_decide_between_equal_digests(spark, monkeypatch):
     assert got == {(i, 40 + i % 20, 3) for i in range(60)}
 
 
+def test_exact_state_outlives_a_call(spark, tmp_path):
+    """Three tables against one kept state: copies in earlier ones count, also of texts long ago."""
+    from siltstone.llm.shared import new_folder
+
+    kept, seen = new_folder(spark, "kept"), []
+    for n, rows in enumerate([[(1, "x"), (2, "y"), (3, None)], [(4, "X"), (5, "z"), (6, "Z")], [(7, "y"), (0, "Z"), (8, "new"), (9, "")]]):
+        path = str(tmp_path / f"table-{n}")
+        spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], SCHEMA).repartition(2).write.parquet(path)
+        seen += rows
+        got = sorted((r.id, r.keep, r.n) for r in exact_dedup.exact_groups(spark.read.parquet(path), kept=kept).collect())
+        groups = defaultdict(list)
+        for i, t in seen:
+            groups[lowered(t)].append(i)
+        assert got == sorted((i, max(groups[lowered(t)]), len(groups[lowered(t)])) for i, t in rows)
+        alone = exact_dedup.exact_groups(spark.read.parquet(path)).collect()
+        assert max(r.n for r in alone) == (2 if n == 1 else 1)
+
+
 def test_exact_documents_that_stay(spark):
     df = spark.createDataFrame([(i, t, "clash", 0) for i, t in ODD], SCHEMA)
     out = exact_dedup.deduplicated(df)
