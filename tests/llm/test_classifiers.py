@@ -164,3 +164,44 @@ def test_network_equals_a_plain_one():
             flat[q] -= quality.RATE * (1 - k / quality.PASSES) * (m[q] / (1 - 0.9 ** (k + 1))) / (sqrt(v[q] / (1 - 0.999 ** (k + 1))) + 1e-8)
         w1, b1, w2, b2 = [flat[d * h : (d + 1) * h] for d in range(3)], flat[3 * h : 4 * h], flat[4 * h : 5 * h], flat[-1]
     assert np.allclose(net.w1, w1, atol=1e-6) and np.allclose(net.b1, b1, atol=1e-6) and np.allclose(net.w2, w2, atol=1e-6) and abs(net.b2 - b2) < 1e-6
+
+
+def test_one_long_text_does_not_empty_the_sample(spark, monkeypatch):
+    """The text that comes first in the seeded order is four times the bound: all others stay."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import labelled
+
+    ids = [r.id for r in spark.range(200).where(labelled.fold(F.col("id"), 4) != 2).orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(38).collect()]
+    docs = spark.createDataFrame([(i, "w" * (40_000 if i == ids[0] else 250)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 10_000)
+    got = labelled.labelled_sample(docs, labels, "quality", 4, 2, 100).collect()
+    assert {r.id for r in got} == set(ids[1:])
+
+
+def test_scores_are_sums_over_distinct_features():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{rng.integers(0, 30)}" for _ in range(rng.integers(0, 40))) for _ in range(60)]
+    hashes = toxicity.Hashes()
+    every = np.unique(toxicity.features(texts, hashes)[1])
+    chosen = rng.choice(every, len(every) // 2, replace=False)
+    model = toxicity.Model(chosen.astype(np.int64), rng.normal(size=len(chosen)), -0.3)
+    weights = dict(zip(chosen.tolist(), model.weights.tolist(), strict=True))
+    for text, got in zip(texts, model.score(texts, hashes), strict=True):
+        mine = {int(f) for f in toxicity.features([text], toxicity.Hashes())[1]}
+        assert abs(got - 1 / (1 + np.exp(-(model.bias + sum(weights.get(f, 0.0) for f in mine))))) < 1e-12
+
+
+def test_pooled_rows_are_means_of_words_shapes_and_index():
+    rng = np.random.default_rng(8)
+    vectors, index = rng.normal(size=(quality.WORDS + quality.SHAPES, quality.WIDTH)).astype(np.float32), quality.index_vectors()
+    texts = ["One two, three. two two", "", "A-1 HTTP://x (y) y y", "z"]
+    got = quality.pooled(texts, quality.Tokens(), vectors, index)
+    for text, row in zip(texts, got, strict=True):
+        word, shape, _ = quality.tokens([text], quality.Tokens())
+        n = len(text.split())
+        for at, rows in ((0, vectors[word]), (1, vectors[shape]), (2, index[shape])):
+            want = rows.sum(axis=0) / n if n else np.zeros(quality.WIDTH)
+            assert np.allclose(row[at * quality.WIDTH : (at + 1) * quality.WIDTH], want, atol=1e-5)
+        assert row[-1] == np.log1p(n) and len(row) == 3 * quality.WIDTH + 1
