@@ -1,6 +1,5 @@
-"""Joins on time and ranges: as-of, interval, band; and a join for skewed keys. All deal rows out by key and
-bucket, so that a hot key is spread over many tasks. Rows travel as one struct beside the helper columns, so
-columns of any name are safe."""
+"""Joins on time and ranges: as-of, interval, band, overlap. All deal rows out by key and bucket, so that a hot key is
+spread over many tasks. Rows travel as one struct beside the helper columns, so columns of any name are safe."""
 
 from __future__ import annotations
 
@@ -10,16 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .dyadic import number, within
+from .skew import skewed_join, whole  # noqa: F401
+
 
 def _bucket(time: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(time.cast("timestamp")) / (seconds * 1_000_000)).cast("long")
 
 
-def whole(df: DataFrame) -> Column:
-    """A row of df as one column."""
-    return F.struct(*(df[c] for c in df.columns))
-
-
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str], bucket_seconds: int = 86_400) -> DataFrame:
     """left with the columns `take` of the latest row of right that has its key and is not later; nulls if
     there is none. Of right rows at one time the one with the greatest `take` counts. A null key or time
@@ -45,31 +42,51 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within_seconds: int) -> DataFrame:
     """Pairs of rows with one key where right is 0 to `within_seconds` after left. The columns of the two
     sides must differ but for the key. Left rows go to two buckets, right rows to one, so each pair meets
-    once."""
-    at = _bucket(left[left_time], within_seconds)
+    once. With 0 seconds the times must be equal. Null keys and times find nothing."""
+    bucket_seconds = max(1, within_seconds)
+    at = _bucket(left[left_time], bucket_seconds)
     l = left.select(left[key].alias("key"), F.unix_micros(left[left_time].cast("timestamp")).alias("from"), whole(left).alias("left"), F.explode(F.array(at, at + 1)).alias("bucket"))  # noqa: E741
     others = [c for c in right.columns if c != key]
-    r = right.select(right[key].alias("key"), F.unix_micros(right[right_time].cast("timestamp")).alias("to"), F.struct(*(right[c] for c in others)).alias("right"), _bucket(right[right_time], within_seconds).alias("bucket"))
+    r = right.select(right[key].alias("key"), F.unix_micros(right[right_time].cast("timestamp")).alias("to"), F.struct(*(right[c] for c in others)).alias("right"), _bucket(right[right_time], bucket_seconds).alias("bucket"))
     gap = F.col("to") - F.col("from")
     return l.join(r, ["key", "bucket"]).where((gap >= 0) & (gap <= within_seconds * 1_000_000)).select("left.*", "right.*")
 
 
 def band_join(left: DataFrame, value: str, bands: DataFrame, low: str, high: str, width: float) -> DataFrame:
     """Pairs of a row of left and a band that holds its value, low and high included: a join without an equality.
-    Values and bands meet by buckets of `width`, a band in as many as it spans, instead of row by row. The columns
-    of the two sides must differ; nulls and bands whose low is above their high find nothing."""
-    bucket = lambda c: F.floor(c / width).cast("long")
-    l = left.select(whole(left).alias("left"), left[value].alias("value"), bucket(left[value]).alias("bucket"))  # noqa: E741
-    r = bands.where(bands[low] <= bands[high]).select(whole(bands).alias("right"), bands[low].alias("low"), bands[high].alias("high"), F.explode(F.sequence(bucket(bands[low]), bucket(bands[high]))).alias("bucket"))
-    return l.join(r, "bucket").where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).select("left.*", "right.*")
-
-
-def skewed_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """left joined to a right side of few rows a key, with the rows of a hot left key dealt to `salts` tasks.
-    `how` is inner, left, left_semi or left_anti. Columns but the key must differ."""
-    l = left.select(left[key].alias("key"), whole(left).alias("left"), F.pmod(F.xxhash64(whole(left)), F.lit(salts)).cast("int").alias("salt"))  # noqa: E741
-    others = [c for c in right.columns if c != key]
-    packed = F.struct(*(right[c] for c in others)) if others else F.lit(1)
-    r = right.select(right[key].alias("key"), packed.alias("right"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = l.join(r, ["key", "salt"], how)
-    return joined.select("left.*", "right.*") if others and how in ("inner", "left") else joined.select("left.*")
+    Values and bands meet by dyadic blocks of steps of `width`, so a band takes a few blocks however wide it is, and
+    may have an infinite end. The columns of the two sides must differ; nulls, not-a-number and bands whose low is
+    above their high find nothing."""
+    points = left.select(F.struct(whole(left).alias("row"), left[value].alias("value")).alias("point"), number(left[value], width).alias("number"))
+    packed = F.struct(whole(bands).alias("row"), bands[low].alias("low"), bands[high].alias("high")).alias("range")
+    ranges = bands.where(bands[low] <= bands[high]).select(packed, number(bands[low], width).alias("low"), number(bands[high], width).alias("high"))
+    held = (F.col("point.value") >= F.col("range.low")) & (F.col("point.value") <= F.col("range.high"))
+    return within(points, ranges).where(held).select("point.row.*", "range.row.*")
+
+
+def _spans(df: DataFrame, start: str, end: str, key: str | None, grain_seconds: float) -> DataFrame:
+    """row, from and to in microseconds, their numbers, and the key, of the spans of df that have both ends."""
+    micros = lambda c: F.unix_micros(df[c].cast("timestamp"))
+    keys = [df[key].alias("key")] if key else []
+    spans = df.select(whole(df).alias("row"), micros(start).alias("from"), micros(end).alias("to"), *keys).where("from <= to")
+    return spans.withColumn("low", number(F.col("from"), grain_seconds * 1e6)).withColumn("high", number(F.col("to"), grain_seconds * 1e6))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, key: str | None = None, grain_seconds: float = 60.0, names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """Pairs of a row of left and a row of right whose spans of time share a moment, ends included, as two structs.
+
+    Of two spans that overlap, one begins within the other: either the left one within the right one, or the right
+    one within the left one and later. Each is a join of moments with the dyadic blocks of spans, so a year-long span
+    takes as few blocks as a short one, and every pair meets once. With a key its values must be equal. Spans without
+    an end, without a start or that end before they start find nothing, nor do null keys.
+    """
+    l, r = _spans(left, start, end, key, grain_seconds), _spans(right, start, end, key, grain_seconds)  # noqa: E741
+    same = ["key"] if key else []
+    point = lambda s: s.select(F.struct("row", "from").alias("point"), F.col("low").alias("number"), *same)
+    span = lambda s: s.select(F.struct("row", "from", "to").alias("range"), "low", "high", *same)
+    inside = F.col("point.from") <= F.col("range.to")
+    first = within(point(l), span(r), same).where(inside & (F.col("point.from") >= F.col("range.from")))
+    second = within(point(r), span(l), same).where(inside & (F.col("point.from") > F.col("range.from")))
+    rows = first.select(F.col("point.row").alias("l"), F.col("range.row").alias("r"))
+    rows = rows.union(second.select(F.col("range.row").alias("l"), F.col("point.row").alias("r")))
+    return rows.select(F.col("l").alias(names[0]), F.col("r").alias(names[1]))

@@ -6,6 +6,8 @@ orders have tie-breakers, so that results don't depend on the engine or on parti
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +20,9 @@ from pyspark.sql import types as T
 from ..functions.columns import dot, json_long, masked_emails, money, revenue
 from ..operators.grouping import ranked, running_total, sessions, tile, top_per_key
 from ..operators.joins import asof_join, band_join, interval_join, skewed_join
-from ..sources.tables import TABLES, register, round_trip, table
+from ..sources.tables import TABLES, round_trip, table
 from ..streaming import events as streams
+from .extended import EXTENDED
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "revenue_by_nation"
@@ -52,12 +55,6 @@ SHARED_SQL: dict[str, str] = {
         union all (select o_custkey from orders where o_orderstatus = 'F' intersect all select o_custkey from orders where o_orderstatus = 'O')
         union all (select o_custkey from orders where o_orderstatus = 'O' except all select o_custkey from orders where o_orderstatus = 'P')
         union (select n_regionkey from nation)""",
-    "recursive_hierarchy": """
-        with recursive climb(event_id, node, depth) as (
-          select event_id, event_id as node, 0 as depth from events
-          union all
-          select event_id, cast(floor(node / 10) as bigint), depth + 1 from climb where node > 0)
-        select cast(depth as bigint) as depth, count(*) as leaves, count(distinct node) as nodes from climb group by depth""",
     "nth_events": """
         select event_id, nth_value(event_id, 2) over w as second_id, nth_value(event_type, 3) over w as third_type
         from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)""",
@@ -87,14 +84,14 @@ SHARED_SQL: dict[str, str] = {
 }
 
 
-def _sql(text: str) -> Query:
-    names = [t for t in TABLES if t in text]
+def query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over the tables of a folder, which are passed as frames: the session's own views stay as they are."""
+    named = re.sub(rf"\b(from|join)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", text)
+    return spark.sql(named, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in named})
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir, names)
-        return spark.sql(text)
 
-    return run
+def _sql(text: str) -> Query:
+    return lambda spark, sf_dir: query(spark, sf_dir, text)
 
 
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +105,7 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of suppliers of a nation where the first has less: the second's rank says how many those are, so no pair
     is made."""
-    placed = ranked(table(spark, sf_dir, "supplier").where("s_acctbal is not null and s_nationkey is not null"), ["s_nationkey"], [("s_acctbal", False)], F.floor(F.col("s_acctbal") / 100))
+    placed = ranked(table(spark, sf_dir, "supplier").where("s_acctbal is not null and s_nationkey is not null"), ["s_nationkey"], [("s_acctbal", False)])
     return placed.groupBy("s_nationkey").agg(F.sum(F.col("rank") - 1).alias("pairs")).where("pairs > 0")
 
 
@@ -128,15 +125,15 @@ def correlated_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks within few keys in two levels: a slice of prices or a month is ranked in one task, not a third of all rows."""
+    """Ranks within few keys in two levels: a range of about as many rows as any other is ranked in one task."""
     orders = table(spark, sf_dir, "orders")
     own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     rows = orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate", F.row_number().over(own).cast("long").alias("rn"), F.lag("o_orderkey").over(own).alias("earlier"))
-    rows = ranked(rows, ["o_orderpriority"], [("o_totalprice", True)], F.floor(F.col("o_totalprice") / -2000), rank="rk").drop("number", "of")
+    rows = ranked(rows, ["o_orderpriority"], [("o_totalprice", True)], rank="rk").drop("number", "of")
     kinds = orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
     dense = F.dense_rank().over(W.partitionBy("o_orderpriority").orderBy("o_orderstatus")).cast("long")  # a row for each priority and status
     rows = rows.join(kinds.select("o_orderpriority", "o_orderstatus", dense.alias("dr")), ["o_orderpriority", "o_orderstatus"])
-    rows = ranked(rows, ["o_orderstatus"], [("o_orderdate", False), ("o_orderkey", False)], F.date_trunc("month", "o_orderdate"))
+    rows = ranked(rows, ["o_orderstatus"], [("o_orderdate", False), ("o_orderkey", False)])
     return rows.select("o_orderkey", "rk", "dr", "rn", "earlier", tile(F.col("number"), F.col("of"), 4).alias("quarter"))
 
 
@@ -147,11 +144,6 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.cube("l_returnflag", "l_linestatus").agg(level, *measures).unionByName(line.rollup("l_returnflag", "l_linestatus").agg((level + 10).alias("level"), *measures))
 
 
-def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    return line.groupBy("l_returnflag").agg(F.median("l_quantity").alias("median"), F.percentile("l_quantity", F.lit(0.9)).alias("p90"), F.round(F.stddev("l_quantity"), 6).alias("spread"))
-
-
 def distinct_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the sketch is within five standard errors of the exact count."""
     line = table(spark, sf_dir, "lineitem")
@@ -165,8 +157,7 @@ def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ["customer", "orders"])
-    return spark.sql("select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000")
+    return query(spark, sf_dir, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000")
 
 
 def asof_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +181,7 @@ def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("price", money("o_totalprice"))
-    total = running_total(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], "price", F.date_trunc("month", "o_orderdate"))
+    total = running_total(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], "price")
     return total.select("o_orderkey", F.col("running").cast("double").alias("running"))
 
 
@@ -219,10 +210,12 @@ def exploded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_label_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors whose product with the mean vector of their label reaches a threshold."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("place", "x"))
-    mean = v.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    product = v.join(mean, ["label", "place"]).groupBy("label", "vec_id").agg(F.sum(F.col("x").cast("double") * F.col("mean")).alias("product"))
+    """Vectors whose product with the mean vector of their label reaches a threshold. The means are put together once a
+    label and joined as one array; vectors stay whole."""
+    v = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    means = v.select("label", F.posexplode("embedding").alias("place", "x")).groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    centre = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "mean")))["mean"].alias("centre"))
+    product = v.join(centre, "label").select("label", dot(F.col("embedding"), F.col("centre")).alias("product"))
     return product.groupBy("label").agg(F.count_if(F.col("product") >= 0.02).alias("near"), F.count(F.lit(1)).alias("n"))
 
 
@@ -295,34 +288,64 @@ def previous_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ["lineitem"])
-    spark.sql("create or replace temporary function net_price(price double, discount double) returns decimal(22,4) return cast(price as decimal(18,2)) * (1 - cast(discount as decimal(3,2)))")
-    return spark.sql("select l_linestatus, cast(sum(net_price(l_extendedprice, l_discount)) as double) as net from lineitem group by l_linestatus")
-
-
-@F.pandas_udf(T.LongType())
-def _checksum(text: pd.Series) -> pd.Series:
-    """Sum of the code points of the digits in a text, a batch at a time."""
-    digits = text.fillna("").str.replace(r"[^0-9]", "", regex=True)
-    total = np.concatenate([[0], np.cumsum(np.frombuffer("".join(digits).encode(), dtype=np.uint8), dtype=np.int64)])
-    ends = digits.str.len().cumsum().to_numpy(dtype=np.int64)
-    return pd.Series(np.diff(total[np.concatenate([[0], ends])]))
+    """A function in SQL, under a name of its own, which goes when the query is planned."""
+    name = f"net_price_{uuid.uuid4().hex}"
+    spark.sql(f"create temporary function {name}(price double, discount double) returns decimal(22,4) return cast(price as decimal(18,2)) * (1 - cast(discount as decimal(3,2)))")
+    try:
+        return query(spark, sf_dir, f"select l_linestatus, cast(sum({name}(l_extendedprice, l_discount)) as double) as net from lineitem group by l_linestatus")
+    finally:
+        spark.sql(f"drop temporary function {name}")
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Likeness of two strings, 0 to 1: matches within half the longer one's length, less half of the transposed ones,
+    and a bonus for up to four equal first characters if it is above 0.7."""
+    if not a or not b:
+        return float(a == b)
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    used = [False] * len(b)
+    left = []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                left.append(c)
+                break
+    if not left:
+        return 0.0
+    right = [c for c, u in zip(b, used, strict=True) if u]
+    m, moved = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    score = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return score + same * 0.1 * (1 - score) if score > 0.7 else score
+
+
+@F.pandas_udf(T.DoubleType())
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", _checksum("c_name").alias("checksum"))
+    """Likeness of a part's name and its type, which no function of Spark gives, in Arrow batches."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat("p_type", F.lit(" "), "p_brand")).alias("b"))
+    return part.select("p_partkey", F.round(_likeness("a", "b"), 6).alias("likeness"))
 
 
-def _longest_pause(events: pd.DataFrame) -> pd.DataFrame:
-    at = np.sort(events["us"].to_numpy())
-    return pd.DataFrame({"user_id": events["user_id"].iloc[:1], "month": events["month"].iloc[:1], "n": [len(at)], "pause_us": [int(np.diff(at).max(initial=0))]})
+def _spaced(events: pd.DataFrame) -> pd.DataFrame:
+    """Of a user's events in a month, in order, those at least a day after the last one kept: each choice depends on
+    the one before."""
+    kept, last = 0, None
+    for us in np.sort(events["us"].to_numpy()):
+        if last is None or us >= last + 86_400_000_000:
+            kept, last = kept + 1, us
+    return pd.DataFrame({"user_id": events["user_id"].iloc[:1], "month": events["month"].iloc[:1], "n": [len(events)], "kept": [kept]})
 
 
 def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pandas function for each user and month, a group that what a person does in a month bounds."""
     at = F.col("ts").cast("timestamp")
     events = table(spark, sf_dir, "events").select("user_id", F.unix_date(F.trunc(at.cast("date"), "month")).cast("long").alias("month"), F.unix_micros(at).alias("us"))
-    return events.groupBy("user_id", "month").applyInPandas(_longest_pause, "user_id long, month long, n long, pause_us long")
+    return events.groupBy("user_id", "month").applyInPandas(_spaced, "user_id long, month long, n long, kept long")
 
 
 @F.udtf(returnType="place long, word string", useArrow=True)
@@ -334,9 +357,7 @@ class _Words:
 
 
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ["part"])
-    spark.udtf.register("words_of", _Words)
-    return spark.sql("select p_partkey, w.place, w.word from part, lateral words_of(p_name) w")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").lateralJoin(_Words(F.col("p_name").outer())).select("p_partkey", "place", "word")
 
 
 def _through(kind: str) -> Query:
@@ -378,11 +399,13 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         select * from w where last_at + interval 30 minute <= (select max(ts) from events) - interval 10 minute"""),
     "streamed_days": (streamed_days, "select user_id, count(*) as days, max(n) as busiest from (select user_id, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2) group by 1"),
     "grouped_frames": (grouped_frames, """
-        with e as (select user_id, cast(date_diff('day', date '1970-01-01', cast(date_trunc('month', ts) as date)) as bigint) as month, epoch_us(ts) as us from events),
-        p as (select *, us - lag(us) over (partition by user_id, month order by us) as pause from e)
-        select user_id, month, count(*) as n, cast(coalesce(max(pause), 0) as bigint) as pause_us from p group by 1, 2"""),
+        with recursive e as (select user_id, cast(date_diff('day', date '1970-01-01', cast(date_trunc('month', ts) as date)) as bigint) as month, epoch_us(ts) as us from events),
+        k as (
+          select user_id, month, min(us) as us from e group by 1, 2
+          union all
+          select k.user_id, k.month, min(e.us) from k join e on e.user_id = k.user_id and e.month = k.month and e.us >= k.us + 86400000000 group by 1, 2)
+        select user_id, month, n, kept from (select user_id, month, count(*) as n from e group by 1, 2) join (select user_id, month, count(*) as kept from k group by 1, 2) using (user_id, month)"""),
     "table_function": (table_function, "select p_partkey, cast(place as bigint) as place, string_split(p_name, ' ')[place] as word from (select *, unnest(range(1, len(string_split(p_name, ' ')) + 1)) as place from part)"),
-    "quantiles": (quantiles, "select l_returnflag, median(l_quantity) as median, quantile_cont(l_quantity, 0.9) as p90, round(stddev(l_quantity), 6) as spread from lineitem group by 1"),
     "distinct_estimate": (distinct_estimate, "select count(distinct l_orderkey) as exact, true as within from lineitem"),
     "top_orders_per_customer": (top_orders_per_customer, "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3"),
     "lateral_top": (lateral_top, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000"),
@@ -416,9 +439,10 @@ BUILT: dict[str, tuple[Query, str | None]] = {
           substring(p_type, 2, 3) as middle, p_size % 7 as rest, reverse(p_brand) as back, try_cast(p_brand as int) as none, trim('  ' || p_name || ' ') as trimmed, cast(p_size // 7 as bigint) as sevens, round(p_retailprice / 3, 2) as third from part"""),
     "previous_gap": (previous_gap, "select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_us from events"),
     "sql_function": (sql_function, "select l_linestatus, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(3,2)))) as double) as net from lineitem group by 1"),
-    "vectorised_function": (vectorised_function, "select c_custkey, cast(list_sum(list_transform(string_split(regexp_replace(c_name, '[^0-9]', '', 'g'), ''), lambda c: ord(c))) as bigint) as checksum from customer"),
+    "vectorised_function": (vectorised_function, "select p_partkey, round(jaro_winkler_similarity(lower(p_name), lower(p_type || ' ' || p_brand)), 6) as likeness from part"),
     **{f"{kind}_round_trip": (_through(kind), "select * from events") for kind in ("parquet", "orc", "json", "csv")},
 }
 
+BUILT |= EXTENDED
 QUERIES: dict[str, Query] = {name: _sql(text) for name, text in SHARED_SQL.items()} | {name: q for name, (q, _) in BUILT.items()}
 ORACLES: dict[str, str] = SHARED_SQL | {name: text for name, (_, text) in BUILT.items() if text}

@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> None:
-    """Temporary views of the tables, for SQL."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share; a temporary one
     where the setting is absent and the master is local, as executors elsewhere would not see it."""
@@ -37,6 +31,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder once and read back: later steps neither compute it again nor depend on an
+    executor that may be lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, path: str, kind: str, partition_by: Sequence[str] = ()) -> None:
     """df as parquet, orc, json or csv files below path."""
     options = MICROSECONDS if kind in ("json", "csv") else {}

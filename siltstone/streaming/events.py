@@ -20,13 +20,13 @@ from ..sources.tables import shared_folder, table
 FILES = 64
 
 #: Keyed state is kept on the executors' disks.
-ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+DISK_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = FILES) -> DataFrame:
     """The table as a stream; event times as timestamps, which watermarks need."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -93,12 +93,18 @@ def active_days(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(Days(), "user_id bigint, days bigint, busiest bigint", "Update", "None")
 
 
-def with_disk_state(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
-    """What run() returns, with the session's keyed state on the executors' disks meanwhile."""
-    name, store = ROCKSDB
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, store)
+def with_settings(spark: SparkSession, settings: dict[str, str], run: Callable[[], DataFrame]) -> DataFrame:
+    """What run() returns, with the session's settings changed meanwhile and put back afterwards."""
+    old = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         return run()
     finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def with_disk_state(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """What run() returns, with the session's keyed state on the executors' disks meanwhile."""
+    return with_settings(spark, DISK_STATE, run)
