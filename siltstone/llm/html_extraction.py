@@ -248,7 +248,7 @@ def features(block: Block, hints: bool = True) -> tuple[float, ...]:
 def log_odds(block: Block, weights: Sequence[float] = WEIGHTS, hints: bool = True) -> float:
     x = features(block, hints)
     score = sum(w * v for w, v in zip(weights, x, strict=True))
-    return score + IN_CONTENT + (LINKED_IN_CONTENT - weights[2]) * x[2] if block.node.content else score
+    return score + IN_CONTENT + (LINKED_IN_CONTENT - weights[2]) * x[2] if block.node.content and not x[-1] else score
 
 
 def placed(found: list[Block], hints: bool = True) -> list[float]:
@@ -280,7 +280,7 @@ def placed(found: list[Block], hints: bool = True) -> list[float]:
         inside.update((id(n), known) for n in path)
         return known
 
-    return [INSIDE if within(b.node) else OUTSIDE for b in found]
+    return [INSIDE if within(b.node) and not (b.node.frame if hints else b.node.fixed) else OUTSIDE for b in found]
 
 
 def distance(a: Node, b: Node) -> int:
