@@ -5,15 +5,18 @@ join asks which sets occur on T or more of a set's inverted lists, without count
 the lists are divided, the shortest are merged on a heap, which jumps over sets that can no longer reach T, and what
 occurs on enough of them is looked up by bisection in the long ones until it has T or can't get there.
 
-Before that the sets are dealt out so that linked ones meet in a task. Under any one order of all shingles two
-linked sets share one of their first n - T' + 1, T' being the least that a set of n shares with any partner. The
-order puts shingles last that are frequent by a table of counters of fixed size, so a passage that many documents
-share brings hardly any of them together; it is a matter of speed alone. Sets that share such a shingle are a
-bucket. Equal sets are one class and take part once; buckets with the same members are one. Each bucket is first
-searched for one member's partners, its hub's, then, if it is not within one component, for another one's; buckets
-that still hold several components are searched completely, in squares of two blocks bounded in members and bytes,
-leaving out partners of one's own component. No link between different components is lost, nor does any bucket, list
-or number of partners have a cap. Shingles are compared as 64-bit hashes.
+Before that the sets are dealt out so that linked ones meet in a task. Under any one order of all shingles the first
+n - T' + l of a set of n, T' being the least that it shares with any partner, hold l that it has in common with each
+partner; so a set that shares fewer than l of them with all others has none. With l = 1, any partner is in a bucket
+with it, the sets that have one shingle among these. The order puts shingles last that are frequent by a table of counters of
+fixed size, so a passage that many documents share brings few of them together; it is a matter of speed alone. Equal
+sets are one class and take part once; buckets with the same members are one. Each bucket is first searched for one
+member's partners, its hub's, then, if it is not within one component, for another one's; buckets that still hold
+several components are searched completely, in squares of two blocks bounded in members and bytes, leaving out
+partners of one's own component and those that are also in an earlier bucket together, so each pair is searched for
+once. No link between different components is lost, nor does any bucket, list or number of
+partners have a cap. Sets are compared by 64-bit hashes of their shingles; buckets are formed by shorter ones, which
+may only bring more sets together.
 """
 
 from __future__ import annotations
@@ -32,20 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import blocks
-from .near_dedup import SIDES, SQUARE, SQUARE_BYTES, Limit, dealt, merged, mixed, runs, sets_of, shingle_sets
+from .near_dedup import SIDES, SQUARE, SQUARE_BYTES, Limit, common, dealt, merged, mixed, runs, sets_of, shingle_sets
 from .shared import checked_small, released, scratch, stage, staged_texts
 
 #: Bytes of text at once; counters of shingles, as a power of two, and slices in which they travel.
-BLOCK, CELL_BITS, SLICES = 2 << 20, 22, 64
+BLOCK, CELL_BITS, SLICES = 2 << 20, 20, 64
+
+#: Shingles in common that first ones must show, for each 100 of a set.
+SHOWN = 20
 
 #: Entries of first shingles that a task packs at once, and that one range of shingles should hold.
-PACKED, RANGE_ENTRIES = 1 << 18, 2 << 20
+PACKED, RANGE_ENTRIES = 1 << 20, 4 << 20
 
 #: A shingle with more documents than this by its counter is sent row by row, so that no range is filled by one.
 HOT = 1 << 20
 
-#: Rounds with one hub a bucket.
-HUB_ROUNDS = 2
+#: Rounds with one hub a bucket; members of a block of a bucket that is searched completely.
+HUB_ROUNDS, MEMBERS = 2, 1_000
 
 #: The cost of a probe in a long list against a step of the merge, which settles how many lists are long.
 MU = 0.0085
@@ -69,18 +75,17 @@ class Lists:
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         self.token, self.start, self.row = token[first], np.append(first, len(token)), row
 
-    def of(self, query: np.ndarray, low: int, high: int) -> list[list[int]]:
-        """The lists of the query's shingles, as far as they hold sets from low to below high."""
+    def of(self, query: np.ndarray, allowed: np.ndarray) -> list[list[int]]:
+        """The lists of the query's shingles, with the sets that are allowed."""
         at = np.searchsorted(self.token, query)
         at = at[(at < len(self.token)) & (self.token[np.minimum(at, len(self.token) - 1)] == query)]
-        found = []
-        for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True):
-            rows = self.row[a:b].tolist()
-            if rows[0] < low or rows[-1] >= high:
-                rows = rows[bisect_left(rows, low) : bisect_left(rows, high)]
-            if rows:
-                found.append(rows)
-        return found
+        length = self.start[at + 1] - self.start[at]
+        entry = np.arange(length.sum()) + np.repeat(self.start[at] - (np.cumsum(length) - length), length)
+        row, number = self.row[entry], np.repeat(np.arange(len(at)), length)
+        kept = allowed[row]
+        row, number = row[kept].tolist(), number[kept]
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(row)]
+        return [row[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
 def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
@@ -114,24 +119,21 @@ def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, rows[at] * width + i)
 
 
-def partners(query: np.ndarray, index: Lists, least: int, welcome, after: int = 0) -> Iterator[int]:
-    """The sets of the index from number `after` on, of those that welcome(row) lets in, that are linked with the
-    query."""
+def partners(query: np.ndarray, index: Lists, least: int, allowed: np.ndarray) -> Iterator[int]:
+    """The sets of the index, of those that are allowed, that are linked with the query."""
     n = len(query)
-    low = max(after, bisect_left(index.sizes, -(-n * least // 100)))
-    high = bisect_left(index.sizes, n * 100 // least + 1)
-    if low >= high:
+    low, high = bisect_left(index.sizes, -(-n * least // 100)), bisect_left(index.sizes, n * 100 // least + 1)
+    allowed = allowed & (np.arange(len(allowed)) >= low) & (np.arange(len(allowed)) < high)
+    if not allowed.any():
         return
-    lists = index.of(query, low, high)
-    need = least_common(n, index.sizes[low], least)
+    lists = index.of(query, allowed)
+    need = least_common(n, index.sizes[int(allowed.argmax())], least)
     if len(lists) < need:
         return
     lists.sort(key=len)
     long = min(need - 1, int(need / (MU * math.log2(max(2, len(lists[-1]))) + 1)))
     short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
     for row, count in merge_skip(short, need - long):
-        if not welcome(row):
-            continue
         wanted = least_common(n, index.sizes[row], least)
         for left, rows in zip(range(len(probed), 0, -1), probed, strict=True):
             if count >= wanted or count + left < wanted:
@@ -142,16 +144,45 @@ def partners(query: np.ndarray, index: Lists, least: int, welcome, after: int =
             yield row
 
 
+def _sides(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of a run: the rows of its two sides by size, which of them may be partners, and components as numbers. Partners
+    differ in component and little enough in size, and have no earlier key than the run's in common."""
+    side, size = t["side"].to_numpy(), t["n"].to_numpy()
+    comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+    itself = not t["up"][0].as_py() and t["i"][0].as_py() == t["j"][0].as_py()
+    order = np.argsort(size, kind="stable")
+    left = order[side[order] == 0]
+    right = left if itself else order[side[order] == 1]
+    a, b = size[left][:, None], size[right][None, :]
+    may = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * least)
+    if itself:
+        may = np.triu(may, 1)
+    if may.any():
+        key = t["key"][0].as_py()
+        keys = [x.values.to_numpy() for x in t["keys"]]
+        earlier = [x[x < key] for x in keys]
+        if any(map(len, earlier)):
+            may &= common([earlier[i] for i in left], [earlier[i] for i in right]) == 0
+    return left, right, may, comp.tolist()
+
+
+def hopeful(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of every run that may have a partner in it."""
+    for t in runs(released(batches), SIDES):
+        left, right, may, _ = _sides(t, least)
+        kept = np.zeros(t.num_rows, dtype=bool)
+        kept[left] |= may.any(axis=1)
+        kept[right] |= may.any(axis=0)
+        yield from t.filter(pa.array(kept)).combine_chunks().to_batches()
+
+
 def searched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that join components, one each, of every run of rows with one name (SIDES): the sets of side 0
     search among those of side 1, or among themselves where the run has one block only."""
     for t in runs(released(batches), SIDES):
-        side, size = t["side"].to_numpy(), t["n"].to_numpy()
-        comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy().tolist()
-        itself = not t["up"][0].as_py() and t["i"][0].as_py() == t["j"][0].as_py()
-        order = np.argsort(size, kind="stable")
-        left = order[side[order] == 0]
-        right = left if itself else order[side[order] == 1]
+        left, right, may, comp = _sides(t, least)
+        if not may.any():
+            continue
         above = list(range(max(comp) + 1))
 
         def root(c: int, above: list[int] = above) -> int:
@@ -160,15 +191,18 @@ def searched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                 c = above[c]
             return c
 
-        if not len(left) or not len(right) or len({*comp}) == 1:
-            continue
         sets = [x.values.to_numpy() for x in t["set"]]
         index, out = Lists([sets[i] for i in right]), []
-        number = right.tolist()
-        for place, x in enumerate(left.tolist(), 1):
-            for row in partners(sets[x], index, least, lambda r, x=x: root(comp[number[r]]) != root(comp[x]), place if itself else 0):
-                out.append((x, number[row]))
-                above[root(comp[number[row]])] = root(comp[x])
+        for place, x in enumerate(left.tolist()):
+            if not may[place].any():
+                continue
+            own = root(comp[x])
+            roots = np.array([root(comp[y]) for y in right.tolist()])
+            for row in partners(sets[x], index, least, may[place] & (roots != own)):
+                y = int(right[row])
+                if root(comp[y]) != root(comp[x]):
+                    out.append((x, y))
+                    above[root(comp[y])] = root(comp[x])
         if out:
             node, (a, b) = t["node"].combine_chunks(), zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
@@ -220,89 +254,133 @@ def counters(rows: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.node, dtype=f"<u{r.width}").astype(np.uint64) for r in found]) if found else np.zeros(2, dtype=np.uint64)
 
 
-def first_shingles(docs: DataFrame, levels, id_col: str, text_col: str, least: int) -> DataFrame:
-    """id, n, node and prefix of every row with words: of the shingles in order of their counters the first n - T' + 1."""
+def shown(n: int, least: int) -> int:
+    """How many of the first shingles of a set of n it has in common with a partner at least."""
+    return max(1, min(SHOWN * n // 100, -(-n * least // 100)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, dtype=np.uint8)
-        shift = U(64 - (len(level).bit_length() - 1))
-        for batch in released(batches):
-            texts = batch.column(1)
-            for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK):
-                sets = shingle_sets(texts.slice(a, b - a).to_pylist())
-                firsts = []
-                for s in sets:
-                    rank = level[(s >> shift).astype(np.int64)].astype(np.uint64) << U(56) | s >> U(8)
-                    firsts.append(s[np.argsort(rank, kind="stable")[: len(s) - -(-len(s) * least // 100) + 1]].tobytes() if len(s) else b"")
-                arrays = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64())]
-                arrays += [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(firsts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "node", "prefix"])
 
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, node binary, prefix binary").where("n > 0")
+class Order:
+    """The order of all shingles: frequent ones last."""
+
+    def __init__(self, levels: bytes, least: int, hot: int) -> None:
+        self.level, self.least = np.frombuffer(levels, dtype=np.uint8), least
+        self.shift, self.bound = U(64 - (len(self.level).bit_length() - 1)), _level(np.array([hot]))[0]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.level[(s >> self.shift).astype(np.int64)]
 
+    def first(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The first shingles, and how many of them make buckets."""
+        n = len(s)
+        rank = self.of(s).astype(np.uint64) << U(56) | s >> U(8)
+        left = n - -(-n * self.least // 100)
+        return s[np.argsort(rank, kind="stable")[: left + shown(n, self.least)]], left + 1
 
-def _ranged(batches: Iterator[pa.RecordBatch], ranges: int, hot: int, levels) -> Iterator[pa.RecordBatch]:
-    """First shingles by ranges: part, tokens, owner (the place of its class in nodes) and nodes, many entries a
-    row; and with part -1 those that may be in more than `hot` documents, row by row."""
-    level = np.frombuffer(levels.value, dtype=np.uint8)
-    shift, bound = U(64 - (len(level).bit_length() - 1)), _level(np.array([hot]))[0]
-    held: list[tuple[bytes, np.ndarray]] = []
+
+def _firsts(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[tuple[bytes, np.ndarray, int]]:
+    """Class, first shingles and how many of them make buckets, of every text with words."""
+    for batch in released(batches):
+        texts = batch.column(0)
+        for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK):
+            for s in shingle_sets(texts.slice(a, b - a).to_pylist()):
+                if len(s):
+                    yield xxhash.xxh3_128_digest(s.tobytes()), *order.first(s)
+
+
+def _ranged(batches: Iterator[pa.RecordBatch], ranges: int, hot: int, levels, least: int) -> Iterator[pa.RecordBatch]:
+    """First shingles by ranges: part, tokens (32 bits of each), owner (twice the place of its class in nodes, plus 1 if
+    it makes a bucket) and nodes, many entries a row, without those that may be in more than `hot` documents. A class
+    comes once among so many."""
+    order = Order(levels.value, least, hot)
+    held: dict[bytes, tuple[np.ndarray, int]] = {}
 
     def given() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        token = np.concatenate([x for _, x in held])
-        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, x in held])
-        part = (token % U(ranges)).astype(np.int64)
-        part[level[(token >> shift).astype(np.int64)] > bound] = -1
-        order = np.argsort(part, kind="stable")
-        token, owner, part = token[order], owner[order], part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        nodes, token = list(held), np.concatenate([x for x, _ in held.values()])
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x, _ in held.values()])
+        makes = np.concatenate([np.arange(len(x)) < n for x, n in held.values()])
+        cool = order.of(token) <= order.bound
+        token, owner, makes = token[cool], owner[cool], makes[cool]
+        part = (token >> U(32)) % U(ranges)
+        at = np.argsort(part, kind="stable")
+        token, owner, makes, part = token[at].astype(np.uint32), owner[at], makes[at], part[at].astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, dtype=np.int64)
         rows = []
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
-            if part[a] < 0:
-                rows += [(-1, token[i].tobytes(), b"\0\0\0\0", held[owner[i]][0]) for i in range(a, b)]
-                continue
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=len(cuts) > 0):
             used, place = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(part[a]), token[a:b].tobytes(), place.astype("<i4").tobytes(), b"".join(held[i][0] for i in used)))
+            kind = "<u2" if len(used) <= 1 << 15 else "<u4"
+            rows.append((int(part[a]), token[a:b].astype("<u4").tobytes(), (2 * place + makes[a:b]).astype(kind).tobytes(), b"".join(nodes[i] for i in used)))
         held.clear()
-        columns = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "tokens", "owner", "nodes"])
+        if rows:
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "tokens", "owner", "nodes"])
 
     size = 0
-    for batch in released(batches):
-        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.append((node, np.frombuffer(raw.as_py(), dtype=np.uint64)))
-            size += len(held[-1][1])
-            if size > PACKED:
-                yield from given()
-                size = 0
+    for node, first, n in _firsts(batches, order):
+        size += 0 if node in held else len(first)
+        held[node] = first, n
+        if size > PACKED:
+            yield from given()
+            size = 0
     yield from given()
 
 
+def _hot(batches: Iterator[pa.RecordBatch], hot: int, levels, least: int) -> Iterator[pa.RecordBatch]:
+    """What _shared() gives, of the first shingles that _ranged() leaves out: tokens is 1, and key the shingle if it
+    makes a bucket."""
+    order = Order(levels.value, least, hot)
+    for node, first, n in _firsts(batches, order):
+        found = order.of(first) > order.bound
+        token, makes = first[found].view(np.int64), np.flatnonzero(found) < n
+        arrays = [pa.array(token, mask=~makes), pa.array([node] * len(token), pa.binary()), pa.array(token)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "token"])
+
+
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """key (shingle) and node of the shingles of a range that several classes have; of shingles with the same
-    classes one."""
-    token, node, base, names = [], [], 0, []
-    for raw, owner, nodes in zip(table["tokens"], table["owner"], table["nodes"], strict=True):
-        token.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
-        node.append(np.frombuffer(owner.as_py(), dtype="<i4").astype(np.int64) + base)
+    """Of a range the first shingles that several classes have: rows with node and tokens, their number in a class;
+    and rows with key (shingle) and node for those that make a bucket, of buckets with the same classes one."""
+    part, token, owner, base, names = key[0].as_py(), [], [], 0, []
+    for raw, own, nodes in zip(table["tokens"], table["owner"], table["nodes"], strict=True):
+        token.append(np.frombuffer(raw.as_py(), dtype="<u4"))
+        kind = "<u2" if len(own.as_py()) == 2 * len(token[-1]) else "<u4"
+        owner.append(np.frombuffer(own.as_py(), dtype=kind).astype(np.int64) + 2 * base)
         names.append(nodes.as_py())
         base += len(names[-1]) // 16
-    token, node, names = np.concatenate(token), np.concatenate(node), np.frombuffer(b"".join(names), dtype="V16")
-    order = np.argsort(token, kind="stable")
-    token, node = token[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    m = np.diff(np.append(first, len(token)))
-    print_ = np.add.reduceat(names.view("<u8").reshape(-1, 2)[node, 0], first)
-    several = np.flatnonzero(m > 1)
-    one = several[np.unique(np.stack([print_[several], m[several].astype(np.uint64)], axis=1), axis=0, return_index=True)[1]] if len(several) else several
+    token, owner, names = np.concatenate(token), np.concatenate(owner), np.frombuffer(b"".join(names), dtype="V16")
+    brief = names.view("<u8").reshape(-1, 2)[:, 0]
+    order = np.lexsort((brief[owner >> 1], token))
+    token, node, makes = token[order], owner[order] >> 1, (owner[order] & 1).astype(bool)
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    once = new | np.concatenate([[True], brief[node[1:]] != brief[node[:-1]]])  # a class comes from many tasks
+    token, node, makes, new = token[once], node[once], makes[once], new[once]
+    several = np.repeat(_lengths(new) > 1, _lengths(new))
+    token, node, makes = token[several], node[several], makes[several]
+    _, first, tokens = np.unique(brief[node], return_index=True, return_counts=True)
+    counts = node[first]
+
+    token, node = token[makes], node[makes]
+    new = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+    m = _lengths(new)
+    prints = np.add.reduceat(_scattered(brief[node]), np.flatnonzero(new)) if len(token) else np.zeros(0, dtype=np.uint64)
     kept = np.zeros(len(m), dtype=bool)
-    kept[one] = True
-    rows = np.repeat(kept, m)
-    width = pa.array([x.tobytes() for x in names[node[rows]]], pa.binary())
-    return pa.table([pa.array(token[rows].view(np.int64)), width], names=["key", "node"])
+    if len(m):
+        kept[np.unique(np.stack([prints, m.astype(np.uint64)], axis=1), axis=0, return_index=True)[1]] = True
+    rows = np.repeat(kept & (m > 1), m)
+    keys = token[rows].astype(np.int64) | part << 32
+    none = np.arange(len(counts) + len(keys)) < len(counts)
+    out = names[np.concatenate([counts, node[rows]])]
+    key_column = pa.array(np.concatenate([np.zeros(len(counts), dtype=np.int64), keys]), mask=none)
+    return pa.table([key_column, pa.array([x.tobytes() for x in out], pa.binary()), pa.array(np.concatenate([tokens, np.zeros(len(keys), dtype=np.int64)]))], names=["key", "node", "tokens"])
+
+
+def _lengths(new: np.ndarray) -> np.ndarray:
+    """The lengths of the runs that begin where `new` is true."""
+    return np.diff(np.append(np.flatnonzero(new), len(new)))
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> U(29))) * U(0x9E3779B97F4A7C15)
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -310,27 +388,42 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def buckets(classes: DataFrame, levels, hot: int = HOT) -> DataFrame:
-    """key and node of the shingles that several classes have among their first ones; of keys with the same classes
-    one."""
-    entries = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    ranges = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // RANGE_ENTRIES))
-    sent = classes.select("node", "prefix").mapInArrow(partial(_ranged, ranges=ranges, hot=hot, levels=levels), "part int, tokens binary, owner binary, nodes binary")
-    sent = stage(sent, "join-ranges")
-    members = sent.where("part >= 0").groupBy("part").applyInArrow(_shared, "key long, node binary")
-    alone = sent.where("part < 0").select(F.xxhash64("tokens").alias("key"), F.col("nodes").alias("node"))
-    members = stage(members.unionByName(alone), "join-shared")
+def buckets(docs: DataFrame, classes: DataFrame, counts: np.ndarray, text_col: str, least: int, hot: int = HOT) -> DataFrame:
+    """key and node of the first shingles that several classes have, of the classes that share enough with others
+    to be linked with any; of keys with the same classes one."""
+    spark = docs.sparkSession
+    levels = spark.sparkContext.broadcast(_level(counts).tobytes())
+    entries = (classes.agg(F.sum("n")).first()[0] or 0) * (100 - least + SHOWN) // 100
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
+    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    sent = texts.mapInArrow(partial(_ranged, ranges=ranges, hot=hot, levels=levels, least=least), "part int, tokens binary, owner binary, nodes binary")
+    members = sent.groupBy("part").applyInArrow(_shared, "key long, node binary, tokens long")
+    if (_level(counts) > _level(np.array([hot]))[0]).any():
+        alone = texts.mapInArrow(partial(_hot, hot=hot, levels=levels, least=least), "key long, node binary, token long").distinct()
+        members = members.unionByName(alone.select("key", "node", F.lit(1).cast("long").alias("tokens")))
+    members = staged_texts(members, "join-shared")
+    shares = members.groupBy("node").agg(F.sum("tokens").alias("tokens")).join(checked_small(classes).select("node", "n"), "node")
+    partner = F.ceil(F.col("n") * least / 100)  # the size of the smallest partner
+    enough = F.greatest(F.lit(1), F.least(F.floor(partner * SHOWN / 100), F.ceil(partner * least / 100)))
+    nodes = stage(shares.where(F.col("tokens") >= enough).select("node"), "join-nodes")
+    members = stage(members.where("key is not null").join(checked_small(nodes), "node", "left_semi").select("key", "node"), "join-near")
     keys = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("print"), F.count(F.lit(1)).alias("m")).where("m > 1")
     keys = stage(keys.groupBy("print", "m").agg(F.min("key").alias("key")).select("key"), "join-keys")
     return stage(members.join(checked_small(keys), "key"), "join-members")
 
 
+COLUMNS = [*SIDES, "side", "node", "comp", "n", "keys"]
+
+
 def _links(rows: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The links within runs of rows (SIDES, side, node, comp, n)."""
+    """The links within runs of rows (COLUMNS). Rows that may have a partner in their run get their sets."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = rows.join(sets, "node").select(*SIDES, "side", "node", "comp", "n", "set")
-    found = full.repartition(parts, *SIDES).sortWithinPartitions(*SIDES).mapInArrow(partial(searched, least=least), "a binary, b binary")
-    return staged_texts(found, "join-links")
+    schema = "key long, class int, up int, i int, j int, side int, node binary, comp binary, n long, keys array<bigint>"
+    rows = rows.select(*COLUMNS).repartition(parts, *SIDES).sortWithinPartitions(*SIDES).mapInArrow(partial(hopeful, least=least), schema)
+    rows = stage(rows, "join-runs")
+    some = sets.join(checked_small(stage(rows.select("node").distinct(), "join-met")), "node", "left_semi")
+    found = rows.join(some, "node").repartition(parts, *SIDES).sortWithinPartitions(*SIDES).select(*COLUMNS, "set")
+    return staged_texts(found.mapInArrow(partial(searched, least=least), "a binary, b binary"), "join-links")
 
 
 def stars(open_: DataFrame, classes: DataFrame, turn: int, least: int) -> DataFrame:
@@ -348,7 +441,7 @@ def stars(open_: DataFrame, classes: DataFrame, turn: int, least: int) -> DataFr
     left = sizes.select(*name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), F.col("hub_n").alias("n"))
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     right = pairs.join(checked_small(sizes).select("hub", "blocks"), "hub").select(*name, block.alias("j"), F.lit(1).alias("side"), "node", "comp", "n")
-    return left.unionByName(right)
+    return left.unionByName(right).withColumn("keys", F.array().cast("array<bigint>"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80) -> DataFrame:
@@ -359,18 +452,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words than five is one shingle. Null ids are no least id; a component of null ids only has a null one. Repeated
     rows are in one class. Texts of any length are read whole. No rows give none; other columns are not read.
     """
-    limit, spark = Limit(least), docs.sparkSession
+    limit = Limit(least)
     with scratch():
         rows = staged_texts(sized(docs, id_col, text_col), "join-rows", keep=True)
-        levels = spark.sparkContext.broadcast(_level(counters(rows)).tobytes())
-        found = first_shingles(docs, levels, id_col, text_col, least)
-        first = found.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        classes = staged_texts(first, "join-classes")
-        members = buckets(classes, levels)
+        classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n")), "join-classes")
+        members = buckets(docs, classes, counters(rows), text_col, least)
         comp = stage(members.select("node").distinct().select("node", F.col("node").alias("comp")), "join-comp")
-        some = stage(classes.select("node", "least", "n").join(checked_small(comp), "node", "left_semi"), "join-some")
-        chosen = sets_of(docs, stage(some.select(F.col("least").alias("id")).distinct(), "join-ids"), id_col, text_col)
-        sets = staged_texts(chosen.groupBy("node").agg(F.first("set").alias("set")), "join-sets")
+        some = stage(classes.join(checked_small(comp), "node", "left_semi").select("node", "least", "n"), "join-some")
+        ids = stage(some.select(F.col("least").alias("id")).distinct(), "join-ids")
+        sets = sets_of(docs, ids, id_col, text_col)
+        met = rows.where("n > 0").join(checked_small(ids), rows["id"].eqNullSafe(ids["id"]), "left_semi")
+        if not met.groupBy("id", "node").count().where("count > 1").isEmpty():  # repeated rows: of each set one is enough
+            sets = sets.groupBy("node").agg(F.first("set").alias("set"))
+        sets = staged_texts(sets, "join-sets")
         open_ = mixed(members, comp)
         for turn in range(HUB_ROUNDS):
             if open_.isEmpty():
@@ -378,8 +472,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             comp = merged(comp, _links(stars(open_, some, turn, least), sets, least))
             open_ = mixed(open_.select("key", "node"), comp)
         if not open_.isEmpty():
+            keys = stage(open_.groupBy("node").agg(F.collect_list("key").alias("keys")), "join-keys-of")  # of first shingles
             whole = open_.select("key", "node", "comp").join(checked_small(some).select("node", "n"), "node")
-            comp = merged(comp, _links(dealt(whole, limit), sets, least))
+            comp = merged(comp, _links(dealt(whole, limit, MEMBERS).join(checked_small(keys), "node"), sets, least))
         by_node = classes.select("node", "least").join(comp, "node", "left")
         joined = stage(by_node.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component")), "join-least")
         reached = stage(by_node.join(joined, "comp", "left").select("node", F.coalesce("component", "least").alias("component")), "join-reached", keep=True)

@@ -318,11 +318,11 @@ def size_class(n: Column, limit: Limit) -> Column:
     return F.floor(F.log(n.cast("double")) / (-math.log(limit.least / 100) * (1 + 1e-9))).cast("int")
 
 
-def dealt(rows: DataFrame, limit: Limit) -> DataFrame:
+def dealt(rows: DataFrame, limit: Limit, square: int | None = None) -> DataFrame:
     """The rows (key, node, n and others) of compared buckets, once for each square that they take part in, with its
-    name (SIDES) and their side of it."""
+    name (SIDES) and their side of it. A block holds some `square` members."""
     rows = stage(rows.withColumn("class", size_class(F.col("n"), limit)), "near-open")
-    most = F.greatest(F.ceil(F.count(F.lit(1)) / SQUARE), F.ceil(F.sum("n") * 8 / SQUARE_BYTES)).cast("int")
+    most = F.greatest(F.ceil(F.count(F.lit(1)) / (square or SQUARE)), F.ceil(F.sum("n") * 8 / SQUARE_BYTES)).cast("int")
     counts = stage(rows.groupBy("key", "class").agg(most.alias("blocks"), F.count(F.lit(1)).alias("members")), "near-blocks")
     near = counts.select("key", "class", "blocks", "members")
     for name, shift in (("up", -1), ("down", 1)):

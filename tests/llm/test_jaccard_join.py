@@ -66,11 +66,11 @@ def test_small_squares_ranges_and_hot_shingles(spark, monkeypatch):
     rows = odd_rows(7)
     for module in (jj, near_dedup):
         monkeypatch.setattr(module, "SQUARE", 5)
-    for name, value in (("HUB_ROUNDS", 1), ("PACKED", 40), ("RANGE_ENTRIES", 50)):
+    for name, value in (("HUB_ROUNDS", 1), ("PACKED", 40), ("RANGE_ENTRIES", 50), ("MEMBERS", 5)):
         monkeypatch.setattr(jj, name, value)
     want = brute(rows, 80)
     assert got(frame(spark, rows), least=80) == want
-    monkeypatch.setattr(jj.buckets, "__defaults__", (0,))
+    monkeypatch.setattr(jj.buckets, "__defaults__", (0,))  # all shingles count as hot
     monkeypatch.setattr(jj, "HUB_ROUNDS", 0)
     assert got(frame(spark, rows), least=80) == want
 
@@ -101,5 +101,6 @@ def test_partners_equal_plain_intersections(monkeypatch):
             for least in (50, 80, 100):
                 for q in sets[::5]:
                     linked = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= least * len(np.union1d(q, s))]
-                    assert sorted(jj.partners(q, index, least, lambda r: True)) == linked
-                    assert sorted(jj.partners(q, index, least, lambda r: r % 2, 10)) == [i for i in linked if i % 2 and i >= 10]
+                    allowed = rng.random(30) < 0.5
+                    assert sorted(jj.partners(q, index, least, np.ones(30, dtype=bool))) == linked
+                    assert sorted(jj.partners(q, index, least, allowed)) == [i for i in linked if allowed[i]]
