@@ -81,7 +81,7 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(names)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(names)
 
 
 def test_run_leaves_only_what_is_read(spark):
