@@ -13,6 +13,10 @@ from ..sources.tables import staged
 from .skew import skewed_join
 
 
+#: Pairs from which on a hot ancestor is looked for; fewer are a task's work anyway.
+LOOK_FOR_HOT = 200_000
+
+
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """node, ancestor and distance (from 1) for all ancestors of every child, with as many rounds as the depth has
     binary digits.
@@ -44,7 +48,8 @@ def _moved(pairs: DataFrame, jumps: DataFrame, steps: int = 0) -> DataFrame:
     """The pairs whose ancestor has a jump, with its end as their ancestor and `steps` more in distance, if they
     have one."""
     further = jumps.select(F.col("node").alias("via"), F.col("ancestor").alias("end"))
-    moved = skewed_join(pairs.withColumnRenamed("ancestor", "via"), further, "via")
+    named = pairs.withColumnRenamed("ancestor", "via")
+    moved = skewed_join(named, further, "via") if pairs.count() > LOOK_FOR_HOT else named.join(further, "via")
     distance = [(F.col("distance") + steps).alias("distance")] if "distance" in pairs.columns else []
     return moved.select("node", F.col("end").alias("ancestor"), *distance)
 

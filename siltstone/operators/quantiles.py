@@ -37,16 +37,16 @@ def select_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, few: int =
     names = [f"of_{k}" for k in keys]
     kind = rows.schema["value"].dataType
     none = F.lit(None).cast(kind)
-    open_ = staged(wanted.select(*names, "rank", F.col("rank").alias("left"), F.col("n"), none.alias("low"), none.alias("high")), "quantile-ranks")
+    open_ = wanted.select(*names, "rank", F.col("rank").alias("left"), F.col("n"), none.alias("low"), none.alias("high"))
     done: list[DataFrame] = []
     while True:
-        small = open_.where(F.col("n") <= few)
-        if not small.isEmpty():
-            sorted_ = _inside(rows, small, keys).groupBy(*names, "rank").agg(F.sort_array(F.collect_list("value")).alias("values"), F.first("left").alias("left"))
+        few_left, more = open_.agg(F.count_if(F.col("n") <= few), F.count_if(F.col("n") > few)).first()
+        if few_left:
+            sorted_ = _inside(rows, open_.where(F.col("n") <= few), keys).groupBy(*names, "rank").agg(F.sort_array(F.collect_list("value")).alias("values"), F.first("left").alias("left"))
             done.append(staged(sorted_.select(*names, "rank", F.element_at("values", F.col("left").cast("int") + 1).alias("found")), "quantile-found"))
-        open_ = open_.where(F.col("n") > few)
-        if open_.isEmpty():
+        if not more:
             break
+        open_ = open_.where(F.col("n") > few)
         intervals = open_.select(*names, "low", "high").distinct()
         shares = [i / SPLITS for i in range(SPLITS + 1)]
         splits = _inside(rows, intervals, keys).groupBy(*names, "low", "high").agg(F.percentile_approx("value", shares, ACCURACY).alias("splits"))
@@ -55,7 +55,6 @@ def select_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, few: int =
         at = F.col("left") / F.col("n") * SPLITS
         take = lambda i: F.when((i >= 0) & (i <= SPLITS), F.try_element_at("splits", i.cast("int") + 1))
         guess = open_.join(splits, same).select(*open_.columns, take(F.floor(at) - 1).alias("a"), take(F.ceil(at) + 1).alias("b"))
-        guess = staged(guess, "quantile-guesses")
         value, a, b = F.col("value"), F.col("a"), F.col("b")
         below, on_a = a.isNotNull() & (value < a), a.isNotNull() & (value == a)
         above, on_b = b.isNotNull() & (value > b), b.isNotNull() & (value == b) & ~on_a
@@ -72,7 +71,7 @@ def select_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, few: int =
         done.append(counted.where(hit.isNotNull()).select(*names, "rank", hit.alias("found")))
         keep = lambda n, less, low, high: F.struct(F.col(n).alias("n"), (left - less).alias("left"), low.alias("low"), high.alias("high"))
         rest = F.when(left < ends[0], keep("below", F.lit(0), F.col("low"), a)).when(left < ends[2], keep("between", ends[1], a, b)).otherwise(keep("above", ends[3], b, F.col("high")))
-        open_ = staged(counted.where(hit.isNull()).select(*names, "rank", rest.alias("rest")).select(*names, "rank", "rest.left", "rest.n", "rest.low", "rest.high"), "quantile-open")
+        open_ = counted.where(hit.isNull()).select(*names, "rank", rest.alias("rest")).select(*names, "rank", "rest.left", "rest.n", "rest.low", "rest.high")
     return reduce(DataFrame.unionByName, done) if done else wanted.select(*names, "rank", none.alias("found"))
 
 

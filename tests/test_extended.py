@@ -77,7 +77,11 @@ def chain(parents):
     return sorted(out)
 
 
-def test_ancestors_of_paths_trees_and_odd_edges(spark):
+@pytest.mark.parametrize("hot", [0, 200_000])
+def test_ancestors_of_paths_trees_and_odd_edges(spark, monkeypatch, hot):
+    from siltstone.operators import closure
+
+    monkeypatch.setattr(closure, "LOOK_FOR_HOT", hot)
     rng = random.Random(2)
     parents = {i: i + 1 for i in range(100, 171)} | {i: rng.randrange(200, i) for i in range(201, 320)} | {i: 7 for i in range(400, 500)}
     edges = [*parents.items(), (100, 101), (None, 3), (7, None), (170, 171)]
