@@ -17,7 +17,7 @@ the running sum within its slice gives its exact position.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -150,14 +150,22 @@ def in_training_order(mixed: DataFrame, position: Column) -> DataFrame:
     return mixed.withColumn("due", F.coalesce(position, after)).repartitionByRange(n, "due").sortWithinPartitions("due", "ticket")
 
 
-def _demand(slices: DataFrame, curriculum: Sequence[Schedule]) -> Callable[[Column], Column]:
-    """The share of all demanded words that is due up to a time. A source demands its goal in proportion to the
-    integral of its schedule, so the sources of one schedule add up to one number, of which there are as many as
+def _weight_at(schedule: Schedule, t: float) -> float:
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:], strict=False):
+        if t0 <= t <= t1:
+            return w0 + (w1 - w0) * (t - t0) / (t1 - t0)
+    return 0.0
+
+
+def _demand(slices: DataFrame, curriculum: Sequence[Schedule]) -> Schedule:
+    """How much of all words is due around each time, as one schedule whose integral is 1. A source demands its goal in
+    proportion to its schedule, so the sources of one schedule add up to one number, of which there are as many as
     schedules."""
     each = slices.select("key", "turn", "weight", _goal().alias("goal")).distinct().where("goal > 0")
     by_turn = {r.turn: r.per_weight for r in each.groupBy("turn").agg(F.sum(F.col("goal") / F.col("weight")).alias("per_weight")).collect()}
-    total = sum(integral(curriculum[turn - 1]) * per for turn, per in by_turn.items())
-    return lambda t: sum((_integrated(curriculum[turn - 1], t) * (per / total) for turn, per in sorted(by_turn.items())), F.lit(0.0))
+    total = sum(integral(curriculum[turn - 1]) * per for turn, per in by_turn.items()) or 1.0
+    knots = sorted({t for schedule in curriculum for t, _ in schedule})
+    return [(t, sum(_weight_at(curriculum[turn - 1], t) * per / total for turn, per in sorted(by_turn.items()))) for t in knots]
 
 
 def _cuts(narrow: DataFrame, slices: DataFrame, sliced: Column, curriculum: Sequence[Schedule], max_repeat: int, parts: int) -> DataFrame:
@@ -166,9 +174,10 @@ def _cuts(narrow: DataFrame, slices: DataFrame, sliced: Column, curriculum: Sequ
     the end), part, and base, the words before the run in the source's demand. Parts are stretches of time in which
     equally many words are due, however steep the schedules are."""
     demand = _demand(slices, curriculum)
-    part = lambda at: F.least(F.lit(parts - 1), F.floor(demand(_due(curriculum, at)) * parts)).cast("int")
+    part = lambda due: F.least(F.lit(parts - 1), F.floor(_integrated(demand, F.col(due)) * parts)).cast("int")
     each = slices.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))).withColumn("from", F.col("before") + F.col("pass") * F.col("source_size")).where((F.col("words") > 0) & (F.col("from") < _goal()))
-    each = stage(each.withColumn("part", part(F.col("from"))).withColumn("last", part(F.least(_goal(), F.col("from") + F.col("words")))), "mix-passes")
+    each = each.withColumn("first_due", _due(curriculum, F.col("from"))).withColumn("last_due", _due(curriculum, F.least(_goal(), F.col("from") + F.col("words"))))
+    each = stage(each.withColumn("part", part("first_due")).withColumn("last", part("last_due")), "mix-passes")
     about = ["key", "slice", "pass", "weight", "turn", "target"]
     whole = each.where("part = last").select(*about, F.lit("").alias("lo"), "part", F.col("from").alias("base"))
     # A slice that ends in another part is cut between tickets; rows with one ticket are alike and stay together.
@@ -177,7 +186,8 @@ def _cuts(narrow: DataFrame, slices: DataFrame, sliced: Column, curriculum: Sequ
     inside = W.partitionBy("key", "slice", "pass").orderBy("ticket").rowsBetween(W.unboundedPreceding, 0)
     tickets = tickets.withColumn("start", F.col("from") + F.sum("words").over(inside) - F.col("words"))
     middle = F.col("start") + F.greatest(F.lit(0), F.least(_goal() - F.col("start"), F.col("size"))) / 2.0
-    cut = tickets.where(F.col("start") < _goal()).groupBy(*about, part(middle).alias("part")).agg(F.min("ticket").alias("lo"), F.min("start").alias("base"))
+    tickets = tickets.where(F.col("start") < _goal()).withColumn("due", _due(curriculum, middle))
+    cut = tickets.withColumn("part", part("due")).groupBy(*about, "part").agg(F.min("ticket").alias("lo"), F.min("start").alias("base"))
     runs = whole.unionByName(cut.select(*whole.columns))
     hi = F.lead("lo").over(W.partitionBy("key", "slice", "pass").orderBy("part"))
     runs = runs.withColumn("hi", hi).groupBy("key", "slice", "weight", "turn", "target").agg(F.collect_list(F.struct("pass", "lo", "hi", "part", "base")).alias("runs"))
