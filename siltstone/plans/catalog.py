@@ -157,7 +157,8 @@ def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query(spark, sf_dir, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000")
+    """The two latest orders of each customer with a balance above 5000; nulls of dates and keys come last."""
+    return query(spark, sf_dir, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc nulls last, o_orderkey nulls last limit 2) t where c_acctbal > 5000")
 
 
 def asof_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +409,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "table_function": (table_function, "select p_partkey, cast(place as bigint) as place, string_split(p_name, ' ')[place] as word from (select *, unnest(range(1, len(string_split(p_name, ' ')) + 1)) as place from part)"),
     "distinct_estimate": (distinct_estimate, "select count(distinct l_orderkey) as exact, true as within from lineitem"),
     "top_orders_per_customer": (top_orders_per_customer, "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3"),
-    "lateral_top": (lateral_top, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 2) t where c_acctbal > 5000"),
+    "lateral_top": (lateral_top, "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc nulls last, o_orderkey nulls last limit 2) t where c_acctbal > 5000"),
     "asof_purchase": (asof_purchase, """
         select b.event_id, b.user_id, v.event_id as view_id from (select * from events where event_type = 'purchase') b
         asof left join (select * from events where event_type = 'view') v on b.user_id = v.user_id and b.ts >= v.ts"""),
