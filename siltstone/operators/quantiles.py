@@ -20,13 +20,18 @@ from ..sources.tables import staged
 #: Splitting points of a round; accuracy of the sketch; rows of an interval that are sorted.
 SPLITS, ACCURACY, FEW = 256, 4096, 4096
 
+#: Intervals that are broadcast; more belong to so many groups that a shuffle deals them out.
+SENT = 100_000
+
 
 def _same(keys: list[str]) -> Column:
     return reduce(lambda on, k: on & F.col(k).eqNullSafe(F.col(f"of_{k}")), keys, F.lit(True))
 
 
-def _inside(rows: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows (keys, value) with each interval (of_..., low, high, and others) of their group that holds them."""
+def _inside(rows: DataFrame, open_: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
+    """The rows (keys, value) with each interval (of_..., low, high, and others) of their group that holds them. Few
+    intervals go to the rows: a shuffle would bring all rows of a group to one task."""
+    open_ = F.broadcast(open_) if broadcast else open_
     held = (F.col("low").isNull() | (F.col("value") > F.col("low"))) & (F.col("high").isNull() | (F.col("value") < F.col("high")))
     return rows.join(open_, _same(keys) & held).drop(*keys)
 
@@ -42,14 +47,14 @@ def select_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, few: int =
     while True:
         few_left, more = open_.agg(F.count_if(F.col("n") <= few), F.count_if(F.col("n") > few)).first()
         if few_left:
-            sorted_ = _inside(rows, open_.where(F.col("n") <= few), keys).groupBy(*names, "rank").agg(F.sort_array(F.collect_list("value")).alias("values"), F.first("left").alias("left"))
+            sorted_ = _inside(rows, open_.where(F.col("n") <= few), keys, few_left <= SENT).groupBy(*names, "rank").agg(F.sort_array(F.collect_list("value")).alias("values"), F.first("left").alias("left"))
             done.append(staged(sorted_.select(*names, "rank", F.element_at("values", F.col("left").cast("int") + 1).alias("found")), "quantile-found"))
         if not more:
             break
         open_ = open_.where(F.col("n") > few)
         intervals = open_.select(*names, "low", "high").distinct()
         shares = [i / SPLITS for i in range(SPLITS + 1)]
-        splits = _inside(rows, intervals, keys).groupBy(*names, "low", "high").agg(F.percentile_approx("value", shares, ACCURACY).alias("splits"))
+        splits = _inside(rows, intervals, keys, more <= SENT).groupBy(*names, "low", "high").agg(F.percentile_approx("value", shares, ACCURACY).alias("splits"))
         splits = staged(splits.select(*(F.col(c).alias(f"s_{c}") for c in [*names, "low", "high"]), "splits"), "quantile-splits")
         same = reduce(lambda on, c: on & F.col(c).eqNullSafe(F.col(f"s_{c}")), [*names, "low", "high"], F.lit(True))
         at = F.col("left") / F.col("n") * SPLITS
@@ -60,7 +65,7 @@ def select_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, few: int =
         above, on_b = b.isNotNull() & (value > b), b.isNotNull() & (value == b) & ~on_a
         counts = [F.count_if(c).alias(name) for name, c in (("below", below), ("on_a", on_a), ("on_b", on_b), ("above", above))]
         about = [*names, "rank", "left", "n", "low", "high", "a", "b"]
-        counted = _inside(rows, guess, keys).groupBy(*about).agg(*counts)
+        counted = _inside(rows, guess, keys, more <= SENT).groupBy(*about).agg(*counts)
         between = F.col("n") - F.col("below") - F.col("on_a") - F.col("on_b") - F.col("above")
         counted = staged(counted.withColumn("between", between), "quantile-counts")
         left = F.col("left")

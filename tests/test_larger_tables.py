@@ -15,6 +15,30 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_group_is_shuffled_to_find_its_quantiles(spark, monkeypatch):
+    plans = []
+    real = quantiles.staged
+    monkeypatch.setattr(quantiles, "staged", lambda df, name: plans.append((name, plan(df))) or real(df, name))
+    rng = random.Random(5)
+    df = spark.createDataFrame([("ab"[i % 2], rng.random()) for i in range(2000)], "k string, v double").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where Spark thinks the intervals many
+    try:
+        assert quantiles.exact_quantiles(df, ["k"], "v", [0.5], few=20).count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joined = [p for name, p in plans if name in ("quantile-splits", "quantile-found")]
+    assert joined and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in joined)
+    assert all("BroadcastHashJoin" in p for name, p in plans if name == "quantile-counts")
+
+
+@pytest.mark.parametrize("few", [1, 20])
+def test_quantiles_where_intervals_are_not_sent(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "SENT", 0)
+    df = spark.range(1001).selectExpr("id % 2 as k", "id as v")
+    assert sorted((r.k, r.q0) for r in quantiles.exact_quantiles(df, ["k"], "v", [0.5], few).collect()) == [(0, 500.0), (1, 500.0)]
+
+
 def test_latest_orders_where_keys_and_dates_are_missing(spark, tmp_path):
     customers = [(1, 6000.0), (2, 6000.0), (3, 6000.0), (1, 7000.0), (None, 9000.0), (4, 5000.0)]
     orders = [(None, 1, "2024-01-02"), (5, 1, "2024-01-02"), (4, 1, "2024-01-02"), (6, 1, "2024-01-01"), (7, 2, None), (8, 2, "2024-01-01"), (None, 2, None), (9, None, "2024-01-01"), (None, 3, None)]
