@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -349,16 +349,11 @@ def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id", "month").applyInPandas(_spaced, "user_id long, month long, n long, kept long")
 
 
-@F.udtf(returnType="place long, word string", useArrow=True)
-class _Words:
-    """The words of a text with their places, from 1."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        yield from enumerate((text or "").split(" "), 1) if text else ()
-
-
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").lateralJoin(_Words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+    """The words of a part's name with their places, from 1, by a table function joined laterally."""
+    words = spark.tvf.posexplode(F.split(F.col("p_name").outer(), " ")).toDF("at", "word")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name").lateralJoin(words)
+    return rows.select("p_partkey", (F.col("at") + 1).cast("long").alias("place"), "word")
 
 
 def _through(kind: str) -> Query:

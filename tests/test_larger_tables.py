@@ -15,6 +15,14 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_of_odd_names(spark, tmp_path):
+    names = ["a b", "", None, " two  spaces ", "one"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["table_function"](spark, str(tmp_path))
+    assert rows(found) == expected(str(tmp_path), ORACLES["table_function"])
+    assert "Python" not in plan(found)
+
+
 def test_no_group_is_shuffled_to_find_its_quantiles(spark, monkeypatch):
     plans = []
     real = quantiles.staged
