@@ -15,6 +15,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_sketch_is_kept_for_each_key(spark, sf_dir):
+    lines = plan(QUERIES["distinct_estimate"](spark, sf_dir)).splitlines()
+    sketches = [x for x in lines if "approx_count_distinct" in x and "Aggregate(keys=" in x]
+    assert sketches and all("Aggregate(keys=[]," in x for x in sketches)
+
+
 def test_words_of_odd_names(spark, tmp_path):
     names = ["a b", "", None, " two  spaces ", "one"]
     spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
