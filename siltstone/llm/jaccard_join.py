@@ -47,6 +47,9 @@ SHOWN = 20
 #: Entries of first shingles that a task packs at once, and that one range of shingles should hold.
 PACKED, RANGE_ENTRIES = 1 << 20, 4 << 20
 
+#: Entries of first shingles whose classes, if all were shared, one slice of classes should hold.
+SLICE_ENTRIES = 2 << 20
+
 #: A shingle with more documents than this by its counter is sent row by row, so that no range is filled by one.
 HOT = 1 << 20
 
@@ -277,29 +280,30 @@ class Order:
         return s[np.argsort(rank, kind="stable")[: left + shown(n, self.least)]], left + 1
 
 
-def _firsts(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[tuple[bytes, np.ndarray, int]]:
-    """Class, first shingles and how many of them make buckets, of every text with words."""
+def _firsts(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[tuple[bytes, np.ndarray, int, int]]:
+    """Class, first shingles, how many of them make buckets and how many it must share with others to be linked with
+    any, which its smallest partner says, of every text with words."""
     for batch in released(batches):
         texts = batch.column(0)
         for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK):
             for s in shingle_sets(texts.slice(a, b - a).to_pylist()):
                 if len(s):
-                    yield xxhash.xxh3_128_digest(s.tobytes()), *order.first(s)
+                    yield xxhash.xxh3_128_digest(s.tobytes()), *order.first(s), shown(-(-len(s) * order.least // 100), order.least)
 
 
 def _ranged(batches: Iterator[pa.RecordBatch], ranges: int, hot: int, levels, least: int) -> Iterator[pa.RecordBatch]:
     """First shingles by ranges: part, tokens (32 bits of each), owner (twice the place of its class in nodes, plus 1 if
-    it makes a bucket) and nodes, many entries a row, without those that may be in more than `hot` documents. A class
+    it makes a bucket), nodes and needs (what each must share), many entries a row, without those that may be in more than `hot` documents. A class
     comes once among so many."""
     order = Order(levels.value, least, hot)
-    held: dict[bytes, tuple[np.ndarray, int]] = {}
+    held: dict[bytes, tuple[np.ndarray, int, int]] = {}
 
     def given() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        nodes, token = list(held), np.concatenate([x for x, _ in held.values()])
-        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x, _ in held.values()])
-        makes = np.concatenate([np.arange(len(x)) < n for x, n in held.values()])
+        nodes, token, needs = list(held), np.concatenate([x for x, _, _ in held.values()]), np.array([x for _, _, x in held.values()], dtype="<u4")
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x, _, _ in held.values()])
+        makes = np.concatenate([np.arange(len(x)) < n for x, n, _ in held.values()])
         cool = order.of(token) <= order.bound
         token, owner, makes = token[cool], owner[cool], makes[cool]
         part = (token >> U(32)) % U(ranges)
@@ -310,16 +314,16 @@ def _ranged(batches: Iterator[pa.RecordBatch], ranges: int, hot: int, levels, le
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=len(cuts) > 0):
             used, place = np.unique(owner[a:b], return_inverse=True)
             kind = "<u2" if len(used) <= 1 << 15 else "<u4"
-            rows.append((int(part[a]), token[a:b].astype("<u4").tobytes(), (2 * place + makes[a:b]).astype(kind).tobytes(), b"".join(nodes[i] for i in used)))
+            rows.append((int(part[a]), token[a:b].astype("<u4").tobytes(), (2 * place + makes[a:b]).astype(kind).tobytes(), b"".join(nodes[i] for i in used), needs[used].tobytes()))
         held.clear()
         if rows:
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "tokens", "owner", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "tokens", "owner", "nodes", "needs"])
 
     size = 0
-    for node, first, n in _firsts(batches, order):
+    for node, first, n, need in _firsts(batches, order):
         size += 0 if node in held else len(first)
-        held[node] = first, n
+        held[node] = first, n, need
         if size > PACKED:
             yield from given()
             size = 0
@@ -327,28 +331,62 @@ def _ranged(batches: Iterator[pa.RecordBatch], ranges: int, hot: int, levels, le
 
 
 def _hot(batches: Iterator[pa.RecordBatch], hot: int, levels, least: int) -> Iterator[pa.RecordBatch]:
-    """What _shared() gives, of the first shingles that _ranged() leaves out: tokens is 1, and key the shingle if it
-    makes a bucket."""
+    """The first shingles that _ranged() leaves out, with their classes and what these must share; key is the shingle
+    if it makes a bucket."""
     order = Order(levels.value, least, hot)
-    for node, first, n in _firsts(batches, order):
+    for node, first, n, need in _firsts(batches, order):
         found = order.of(first) > order.bound
         token, makes = first[found].view(np.int64), np.flatnonzero(found) < n
-        arrays = [pa.array(token, mask=~makes), pa.array([node] * len(token), pa.binary()), pa.array(token)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "token"])
+        arrays = [pa.array(token, mask=~makes), pa.array([node] * len(token), pa.binary()), pa.array([need] * len(token), pa.int32()), pa.array(token)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "need", "token"])
+
+
+#: Of a slice of classes, many a row: nodes with their needs and the number of shingles that each shares (tokens), and
+#: buckets (keys) with their members.
+SHARED = "slice int, nodes binary, needs binary, tokens binary, keys binary, members binary"
+
+
+def _brief(names: np.ndarray) -> np.ndarray:
+    return names.view("<u8").reshape(-1, 2)[:, 0]
+
+
+def _named(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(x.as_py() for x in c), dtype="V16") for c in columns]
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a range the first shingles that several classes have: rows with node and tokens, their number in a class;
-    and rows with key (shingle) and node for those that make a bucket, of buckets with the same classes one."""
-    part, token, owner, base, names = key[0].as_py(), [], [], 0, []
+def _by_slice(slices: int, names: np.ndarray, needs: np.ndarray, tokens: np.ndarray, keys: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+    """SHARED: every slice once. Members are among the names."""
+    to, into = _brief(names) % U(slices), _brief(members) % U(slices)
+    a, b = np.argsort(to, kind="stable"), np.argsort(into, kind="stable")
+    found = np.unique(to)
+    cuts, more = np.searchsorted(to[a], found), np.searchsorted(into[b], found)
+    runs_ = list(zip(np.split(a, cuts[1:]), np.split(b, more[1:]), strict=True)) if len(found) else []
+    columns = [[names[i].tobytes(), needs[i].astype("<u4").tobytes(), tokens[i].astype("<u4").tobytes(), keys[j].astype("<i8").tobytes(), members[j].tobytes()] for i, j in runs_]
+    arrays = [pa.array(found.astype(np.int32)), *(pa.array([c[k] for c in columns], pa.binary()) for k in range(5))]
+    return pa.RecordBatch.from_arrays(arrays, names=["slice", "nodes", "needs", "tokens", "keys", "members"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
+    """SHARED of the rows of _hot(), each a shingle that its class shares."""
+    for batch in batches:
+        if batch.num_rows:
+            names, (key, need) = _named(batch["node"])[0], (batch["key"], batch["need"].to_numpy())
+            makes = key.is_valid().to_numpy(zero_copy_only=False)
+            yield _by_slice(slices, names, need, np.ones(len(names)), key.drop_null().to_numpy(), names[makes])
+
+
+def _shared(key: tuple, table: pa.Table, slices: int) -> pa.Table:
+    """Of a range the first shingles that several classes have (SHARED), those that make a bucket with a key, of
+    buckets with the same classes one."""
+    part, token, owner, base = key[0].as_py(), [], [], 0
     for raw, own, nodes in zip(table["tokens"], table["owner"], table["nodes"], strict=True):
         token.append(np.frombuffer(raw.as_py(), dtype="<u4"))
         kind = "<u2" if len(own.as_py()) == 2 * len(token[-1]) else "<u4"
         owner.append(np.frombuffer(own.as_py(), dtype=kind).astype(np.int64) + 2 * base)
-        names.append(nodes.as_py())
-        base += len(names[-1]) // 16
-    token, owner, names = np.concatenate(token), np.concatenate(owner), np.frombuffer(b"".join(names), dtype="V16")
-    brief = names.view("<u8").reshape(-1, 2)[:, 0]
+        base += len(nodes.as_py()) // 16
+    token, owner, names = np.concatenate(token), np.concatenate(owner), _named(table["nodes"])[0]
+    needs = np.frombuffer(b"".join(x.as_py() for x in table["needs"]), dtype="<u4")
+    brief = _brief(names)
     order = np.lexsort((brief[owner >> 1], token))
     token, node, makes = token[order], owner[order] >> 1, (owner[order] & 1).astype(bool)
     new = np.concatenate([[True], token[1:] != token[:-1]])
@@ -367,11 +405,19 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     if len(m):
         kept[np.unique(np.stack([prints, m.astype(np.uint64)], axis=1), axis=0, return_index=True)[1]] = True
     rows = np.repeat(kept & (m > 1), m)
-    keys = token[rows].astype(np.int64) | part << 32
-    none = np.arange(len(counts) + len(keys)) < len(counts)
-    out = names[np.concatenate([counts, node[rows]])]
-    key_column = pa.array(np.concatenate([np.zeros(len(counts), dtype=np.int64), keys]), mask=none)
-    return pa.table([key_column, pa.array([x.tobytes() for x in out], pa.binary()), pa.array(np.concatenate([tokens, np.zeros(len(keys), dtype=np.int64)]))], names=["key", "node", "tokens"])
+    return pa.Table.from_batches([_by_slice(slices, names[counts], needs[counts], tokens, token[rows].astype(np.int64) | part << 32, names[node[rows]])])
+
+
+def _near(table: pa.Table) -> pa.Table:
+    """Of a slice of classes the buckets, with key and node, of those that share enough with others. Classes of which
+    the first halves of the names agree count as one here, which may only leave more in."""
+    names, members = _named(table["nodes"], table["members"])
+    needs, tokens, keys = (np.frombuffer(b"".join(x.as_py() for x in table[c]), dtype=kind) for c, kind in (("needs", "<u4"), ("tokens", "<u4"), ("keys", "<i8")))
+    found, place = np.unique(_brief(names), return_inverse=True)
+    least = np.full(len(found), np.iinfo(np.uint32).max, dtype=np.uint32)
+    np.minimum.at(least, place, needs)
+    enough = np.isin(_brief(members), found[np.bincount(place, weights=tokens, minlength=len(found)) >= least])
+    return pa.table([pa.array(keys[enough]), pa.array([x.tobytes() for x in members[enough]], pa.binary())], names=["key", "node"])
 
 
 def _lengths(new: np.ndarray) -> np.ndarray:
@@ -395,18 +441,15 @@ def buckets(docs: DataFrame, classes: DataFrame, counts: np.ndarray, text_col: s
     levels = spark.sparkContext.broadcast(_level(counts).tobytes())
     entries = (classes.agg(F.sum("n")).first()[0] or 0) * (100 - least + SHOWN) // 100
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // SLICE_ENTRIES))
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    sent = texts.mapInArrow(partial(_ranged, ranges=ranges, hot=hot, levels=levels, least=least), "part int, tokens binary, owner binary, nodes binary")
-    members = sent.groupBy("part").applyInArrow(_shared, "key long, node binary, tokens long")
+    sent = texts.mapInArrow(partial(_ranged, ranges=ranges, hot=hot, levels=levels, least=least), "part int, tokens binary, owner binary, nodes binary, needs binary")
+    shares = sent.groupBy("part").applyInArrow(lambda key, table: _shared(key, table, slices), SHARED)
     if (_level(counts) > _level(np.array([hot]))[0]).any():
-        alone = texts.mapInArrow(partial(_hot, hot=hot, levels=levels, least=least), "key long, node binary, token long").distinct()
-        members = members.unionByName(alone.select("key", "node", F.lit(1).cast("long").alias("tokens")))
-    members = staged_texts(members, "join-shared")
-    shares = members.groupBy("node").agg(F.sum("tokens").alias("tokens")).join(checked_small(classes).select("node", "n"), "node")
-    partner = F.ceil(F.col("n") * least / 100)  # the size of the smallest partner
-    enough = F.greatest(F.lit(1), F.least(F.floor(partner * SHOWN / 100), F.ceil(partner * least / 100)))
-    nodes = stage(shares.where(F.col("tokens") >= enough).select("node"), "join-nodes")
-    members = stage(members.where("key is not null").join(checked_small(nodes), "node", "left_semi").select("key", "node"), "join-near")
+        alone = texts.mapInArrow(partial(_hot, hot=hot, levels=levels, least=least), "key long, node binary, need int, token long").distinct()
+        shares = shares.unionByName(alone.mapInArrow(partial(_packed, slices=slices), SHARED))
+    shares = staged_texts(shares, "join-shared")
+    members = stage(shares.groupBy("slice").applyInArrow(_near, "key long, node binary"), "join-near")
     keys = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("print"), F.count(F.lit(1)).alias("m")).where("m > 1")
     keys = stage(keys.groupBy("print", "m").agg(F.min("key").alias("key")).select("key"), "join-keys")
     return stage(members.join(checked_small(keys), "key"), "join-members")
