@@ -7,6 +7,7 @@ was committed. Results go to Parquet files of which each trigger writes its own.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,18 +70,17 @@ def first_of_each(events: DataFrame, keys: list[str], late: str = "1 hour") -> D
 
 class Days(StatefulProcessor):
     """By user: on how many days there were events, and how many on the busiest. The state is a number for each day,
-    so neither the order nor the batches in which a trigger's events come matter."""
+    read and written once a trigger, so neither the order nor the batches in which a trigger's events come matter."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "day int", "events bigint")
+        self.days = handle.getValueState("days", "day array<int>, events array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for day, n in batch["day"].value_counts().items():
-                before = self.days.getValue((int(day),))[0] if self.days.containsKey((int(day),)) else 0
-                self.days.updateValue((int(day),), (before + int(n),))
-        counts = [n for (n,) in self.days.values()]
-        yield pd.DataFrame({"user_id": [key[0]], "days": [len(counts)], "busiest": [max(counts)]})
+        counts = Counter(day for batch in rows for day in batch["day"].tolist())
+        if (old := self.days.get()) is not None:
+            counts.update(dict(zip(old[0], old[1], strict=True)))
+        self.days.update((list(counts), list(counts.values())))
+        yield pd.DataFrame({"user_id": [key[0]], "days": [len(counts)], "busiest": [max(counts.values())]})
 
     def close(self) -> None:
         pass
