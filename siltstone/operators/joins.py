@@ -72,21 +72,56 @@ def _spans(df: DataFrame, start: str, end: str, key: str | None, grain_seconds:
     return spans.withColumn("low", number(F.col("from"), grain_seconds * 1e6)).withColumn("high", number(F.col("to"), grain_seconds * 1e6))
 
 
+def _begun(points: DataFrame, ranges: DataFrame, same: list[str]) -> DataFrame:
+    """Spans of points that begin after a span of ranges and no later than it ends: the columns of both, with point_
+    and range_ before their names. A moment holds no other, so only spans with a length are cut into blocks."""
+    named = lambda df, side: [F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in ("low", "high", *same)]
+    p = points.select(*named(points, "point"), F.col("low").alias("number"), *same)
+    r = ranges.where("from < to").select(*named(ranges, "range"), "low", "high", *same)
+    return within(p, r, same).where("point_from > range_from and point_from <= range_to")
+
+
+def _begun_together(left: DataFrame, right: DataFrame, same: list[str]) -> DataFrame:
+    """Spans of left and right that begin at one moment: the columns of both, with left_ and right_ before their names."""
+    known = F.lit(True)
+    for c in same:
+        known &= F.col(c).isNotNull()
+    at = (F.struct(*same, "from") if same else F.col("from")).alias("at")
+    named = lambda df, side: df.where(known).select(at, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in ("low", "high", *same)))
+    return skewed_join(named(left, "left"), named(right, "right"), "at")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, key: str | None = None, grain_seconds: float = 60.0, names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """Pairs of a row of left and a row of right whose spans of time share a moment, ends included, as two structs.
 
-    Of two spans that overlap, one begins within the other: either the left one within the right one, or the right
-    one within the left one and later. Each is a join of moments with the dyadic blocks of spans, so a year-long span
-    takes as few blocks as a short one, and every pair meets once. With a key its values must be equal. Spans without
-    an end, without a start or that end before they start find nothing, nor do null keys.
+    Two spans that overlap begin together, which is a join on equal starts, or one begins later within the other. The
+    latter is a join of moments with the dyadic blocks of spans, so a year-long span takes few blocks, and every pair
+    meets once. With a key its values must be equal. Spans without an end, without a start or that end before they
+    start find nothing, nor do null keys.
     """
     l, r = _spans(left, start, end, key, grain_seconds), _spans(right, start, end, key, grain_seconds)  # noqa: E741
     same = ["key"] if key else []
-    point = lambda s: s.select(F.struct("row", "from").alias("point"), F.col("low").alias("number"), *same)
-    span = lambda s: s.select(F.struct("row", "from", "to").alias("range"), "low", "high", *same)
-    inside = F.col("point.from") <= F.col("range.to")
-    first = within(point(l), span(r), same).where(inside & (F.col("point.from") >= F.col("range.from")))
-    second = within(point(r), span(l), same).where(inside & (F.col("point.from") > F.col("range.from")))
-    rows = first.select(F.col("point.row").alias("l"), F.col("range.row").alias("r"))
-    rows = rows.union(second.select(F.col("range.row").alias("l"), F.col("point.row").alias("r")))
-    return rows.select(F.col("l").alias(names[0]), F.col("r").alias(names[1]))
+    rows = _begun_together(l, r, same).select("left_row", "right_row")
+    rows = rows.union(_begun(l, r, same).select("point_row", "range_row")).union(_begun(r, l, same).select("range_row", "point_row"))
+    return rows.toDF(*names)
+
+
+def overlaps_among(df: DataFrame, start: str, end: str, by: str, grain_seconds: float = 60.0, names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """The pairs of overlap_join(df, df, ...) in which `by` is less on the left, each looked for once: of two spans
+    only the later one is sought in the earlier. Rows with a null `by` have no pairs. The columns of df are joined as
+    they are, so that those which are not asked for do not travel."""
+    at = [f"c{i}" for i in range(len(df.columns))]
+    key = at[df.columns.index(by)]
+    spans = _spans(df.where(df[by].isNotNull()), start, end, None, grain_seconds)
+    spans = spans.select("from", "to", "low", "high", *(F.col("row")[c].alias(a) for c, a in zip(df.columns, at, strict=True)))
+    together = _begun_together(spans, spans, []).where(F.col(f"left_{key}") < F.col(f"right_{key}"))
+    begun = _begun(spans, spans, []).where(F.col(f"point_{key}") != F.col(f"range_{key}"))
+    early = F.col(f"range_{key}") < F.col(f"point_{key}")
+
+    def pair(a: list[Column], b: list[Column]) -> list[Column]:
+        return [F.struct(*(x.alias(c) for x, c in zip(side, df.columns, strict=True))).alias(name) for side, name in zip((a, b), names, strict=True)]
+
+    rows = together.select(*pair([F.col(f"left_{a}") for a in at], [F.col(f"right_{a}") for a in at]))
+    first = [F.when(early, F.col(f"range_{a}")).otherwise(F.col(f"point_{a}")) for a in at]
+    second = [F.when(early, F.col(f"point_{a}")).otherwise(F.col(f"range_{a}")) for a in at]
+    return rows.union(begun.select(*pair(first, second)))

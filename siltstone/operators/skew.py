@@ -30,19 +30,20 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
     Null keys match nothing and are spread like the rest. Equal rows of a hot key are spread by the input partition
     that holds them, so a lost task gives the same rows again. Columns but the key must differ between the sides;
-    else any names are safe.
+    else any names are safe. Columns travel one by one, under names of their own: a condition on the result is then
+    tested on plain values within the join, where many pairs may meet.
     """
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.xxhash64(whole(left)).bitwiseXOR(F.spark_partition_id() * 2654435761)
-    l = left.select(left[key].alias("key"), whole(left).alias("left"), place.alias("place"))  # noqa: E741
+    own, others = ([c for c in df.columns if c != key] for df in (left, right))
+    l = left.select(left[key].alias("key"), *(left[c].alias(f"left{i}") for i, c in enumerate(own)), place.alias("place"))  # noqa: E741
     heavy = F.broadcast(heavy_keys(l.select(F.when(F.col("key").isNotNull(), F.xxhash64("key")).alias("hash")), tasks, least_rows))
     l = l.join(heavy, F.xxhash64("key") == F.col("heavy"), "left")  # noqa: E741
     salt = F.when(F.col("key").isNull(), F.pmod("place", F.lit(tasks))).otherwise(F.coalesce(F.pmod(F.col("place"), F.col("copies")), F.lit(0)))
-    l = l.select("key", "left", salt.cast("int").alias("salt"))  # noqa: E741
-    others = [c for c in right.columns if c != key]
-    packed = F.struct(*(right[c] for c in others)) if others else F.lit(1)
-    r = right.select(right[key].alias("key"), packed.alias("right"))
+    l = l.withColumn("salt", salt.cast("int")).drop("place", "heavy", "copies")  # noqa: E741
+    r = right.select(right[key].alias("key"), *(right[c].alias(f"right{i}") for i, c in enumerate(others)))
     r = r.join(heavy, F.xxhash64("key") == F.col("heavy"), "left")
-    r = r.select("key", "right", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("salt"))
+    r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1))).drop("heavy", "copies")
     joined = l.join(r, ["key", "salt"], how)
-    return joined.select("left.*", "right.*") if others and how in ("inner", "left") else joined.select("left.*")
+    out = [F.col("key" if c == key else f"left{own.index(c)}").alias(c) for c in left.columns]
+    return joined.select(*out, *(F.col(f"right{i}").alias(c) for i, c in enumerate(others) if how in ("inner", "left")))

@@ -12,7 +12,7 @@ from ..functions.columns import money, variant_leaves
 from ..operators.closure import ancestors, fixpoint
 from ..operators.distinct_counts import bitmaps, counted
 from ..operators.grouping import sessions
-from ..operators.joins import overlap_join
+from ..operators.joins import overlaps_among
 from ..operators.quantiles import exact_quantiles
 from ..sources.checked import read_lines
 from ..sources.export import export, read_export, stream_export
@@ -53,7 +53,7 @@ def recursive_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of two users that share a moment."""
     found = staged(sessions(table(spark, sf_dir, "events"), "user_id", "ts"), "sessions")
-    pairs = overlap_join(found, found, "first_at", "last_at").where("left.user_id < right.user_id")
+    pairs = overlaps_among(found.select("user_id", "first_at", "last_at"), "first_at", "last_at", "user_id")
     return pairs.select(F.col("left.user_id").alias("user_id"), F.col("left.first_at").alias("first_at"), F.col("right.user_id").alias("other_id"), F.col("right.first_at").alias("other_at"))
 
 
